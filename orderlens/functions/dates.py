@@ -1,110 +1,117 @@
-"""Date parsing and period labels. Everything is zone-free (``timestamp_ntz``)."""
+"""Date parsing and period labels. Everything is zone-free (``timestamp_ntz``).
+
+Cells in ISO form are cast at once. Any other cell is rewritten step by step into ISO text;
+those steps run inside an array lambda, which is evaluated only for such cells and keeps a
+dozen regular expressions out of the method that is generated for the whole stage (a method
+of more than 8000 bytes is never compiled to machine code by the JVM).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F, types as T
 
 from .. import vocab
 from .text import strip
 
 _DAY_MICROS = 86_400_000_000
-_EXCEL_EPOCH = "timestamp_ntz'1899-12-30 00:00:00'"
+_EXCEL_EPOCH_DAYS = -25_569  # 1899-12-30 in days from 1970-01-01
 _UNIX_EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
-# Years that a nanosecond timestamp can hold in full.
-_FIRST_YEAR, _LAST_YEAR = 1678, 2261
+_END = r"(?=$|\s)"
+
+# Rewrites into ISO order, applied one after another; the first numbers of day-first dates
+# are recognised by a value above twelve.
+_REWRITES = (
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+    (r"^(\d{4})(\d{2})$", "$1-$2"),
+    (rf"^(1[3-9]|[23]\d)-(\d{{1,2}})-(\d{{4}}){_END}", "$3-$2-$1"),
+    (rf"^(\d{{1,2}})-(\d{{1,2}})-(\d{{4}}){_END}", "$3-$1-$2"),
+    (rf"^(1[3-9]|[23]\d)-(\d{{1,2}})-([7-9]\d){_END}", "19$3-$2-$1"),
+    (rf"^(1[3-9]|[23]\d)-(\d{{1,2}})-(\d{{2}}){_END}", "20$3-$2-$1"),
+    (rf"^(\d{{1,2}})-(\d{{1,2}})-([7-9]\d){_END}", "19$3-$1-$2"),
+    (rf"^(\d{{1,2}})-(\d{{1,2}})-(\d{{2}}){_END}", "20$3-$1-$2"),
+)
+# Years 1678 to 2261, the range of a nanosecond timestamp; other text is left out.
+_IN_RANGE = r"^(?:167[89]|16[89]\d|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[01])(?:$|[-\sT].*$)"
+# Cells that are ISO text already skip the rewrites.
+_ISO = r"^\s*((?:1[7-9]|2[01])\d\d-\d\d?-\d\d?(?:[ T]\d\d?:\d\d(?::\d\d)?)?)\s*$"
+_MONTH_NAME = r"^([A-Za-z]{3})[A-Za-z]*\.?\s+(\d{1,2}),?\s+(\d{4})$"
+
+
+def _from_unix_micros(micros: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", micros.cast("bigint"), F.expr(_UNIX_EPOCH))
+
+
+def _serial_micros(days: Column) -> Column:
+    return F.round((days + F.lit(float(_EXCEL_EPOCH_DAYS))) * F.lit(float(_DAY_MICROS)))
+
+
+def _from_number(number: Column) -> Column:
+    """Excel serial, Unix seconds or Unix milliseconds, told apart by their size."""
+    micros = (
+        F.when(number.between(20_000, 80_000), _serial_micros(number))
+        .when((number >= 1e9) & (number < 1e10), number * 1e6)
+        .when((number >= 1e12) & (number < 1e13), number * 1e3)
+    )
+    return _from_unix_micros(micros)
 
 
-def _plus_micros(epoch: str, micros: Column) -> Column:
-    return F.timestamp_add("MICROSECOND", micros.cast("bigint"), F.expr(epoch))
+def _from_calendar(text: Column, year: int | None) -> Column:
+    cell = strip(text)
+    iso = F.regexp_replace(cell, r"(:\d{1,2})[.,]\d+", "$1")
+    iso = F.translate(iso, "年月/.：", "----:")
+    iso = strip(F.replace(iso, F.lit("日"), F.lit(" ")))
+    this_year = F.year(F.current_date()) if year is None else F.lit(year)
+    month_day = F.concat(this_year.cast("string"), F.lit("-$1"))
+    iso = F.regexp_replace(iso, F.lit(r"^(\d{1,2}-\d{1,2}(?:\s.*)?)$"), month_day)
+    for pattern, order in _REWRITES:
+        iso = F.regexp_replace(iso, pattern, order)
+    named = F.initcap(F.regexp_replace(cell, _MONTH_NAME, "$1 $2 $3"))
+    return F.coalesce(
+        F.regexp_extract(iso, _IN_RANGE, 0).try_cast("timestamp_ntz"),
+        F.try_to_date(named, "MMM d yyyy").cast("timestamp_ntz"),
+    )
 
 
-def _from_excel_serial(days: Column) -> Column:
-    return _plus_micros(_EXCEL_EPOCH, F.round(days * F.lit(float(_DAY_MICROS))))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _is_excel_serial(number: Column) -> Column:
-    return number.between(20_000, 80_000)
+def _iso_first(value: Column, otherwise: Callable[[Column], Column]) -> Column:
+    iso = F.regexp_extract(value, _ISO, 1).try_cast("timestamp_ntz")
+    return F.coalesce(iso, _let(value, otherwise))
 
 
-def _from_calendar_text(text: Column, year: Column) -> Column:
-    """Dates written with separators, year first or month first, with an optional time."""
-    cell = F.regexp_replace(text, r"(:\d{1,2})[.,]\d+", "$1")
-    cell = F.translate(cell, "年月/.：", "----:")
-    cell = strip(F.replace(cell, F.lit("日"), F.lit(" ")))
-    month_day = cell.rlike(r"^\d{1,2}-\d{1,2}(\s.*)?$")
-    cell = F.when(month_day, F.concat_ws("-", year.cast("string"), cell)).otherwise(cell)
+def parse_calendar(text: Column, year: int | None = None) -> Column:
+    """Read calendar text, year or month first, with an optional time.
 
-    def rearranged(pattern: str, order: str | Column) -> Column:
-        return F.regexp_replace(cell, pattern, order).try_cast("timestamp_ntz")
+    ``year`` completes dates that name only month and day (default: the current year).
+    """
+    return _iso_first(text, lambda cell: _from_calendar(cell, year))
 
-    def named_month(pattern: str) -> Column:
-        return F.try_to_date(F.initcap(cell), F.lit(pattern)).cast("timestamp_ntz")
 
-    short = r"^(\d{1,2})-(\d{1,2})-(\d{2})(?=$|\s)"
-    century = F.when(F.regexp_extract(cell, short, 3) >= "70", F.lit("19")).otherwise(F.lit("20"))
-    long = r"^(\d{1,2})-(\d{1,2})-(\d{4})(?=$|\s)"
-    value = (
-        F.when(cell.rlike(r"^\d{4}($|[-\sT])"), cell.try_cast("timestamp_ntz"))
-        .when(cell.rlike(long), F.coalesce(rearranged(long, "$3-$1-$2"), rearranged(long, "$3-$2-$1")))
-        .when(
-            cell.rlike(short),
-            F.coalesce(rearranged(short, F.concat(century, F.lit("$3-$1-$2"))),
-                       rearranged(short, F.concat(century, F.lit("$3-$2-$1")))),
-        )
-        .when(cell.rlike(r"^\d{6}$"), F.try_to_date(cell, F.lit("yyyyMM")).cast("timestamp_ntz"))
-        .when(
-            cell.rlike(r"^[A-Za-z]{3,9}\s"),
-            F.coalesce(named_month("MMMM d yyyy"), named_month("MMM d yyyy"),
-                       named_month("MMMM d, yyyy"), named_month("MMM d, yyyy")),
-        )
-    )
-    return value
+def _from_text(value: Column, year: int | None) -> Column:
+    text = F.regexp_replace(strip(value), r"\.0$", "")
+    number = F.regexp_extract(text, r"^(?:\d{5}(?:\.\d+)?|[1-9]\d{9}|[1-9]\d{12})$", 0)
+    return F.coalesce(_let(number.try_cast("double"), _from_number), _from_calendar(text, year))
 
 
 def parse_datetime(value: Column, data_type: T.DataType | None = None,
                    year: int | None = None) -> Column:
     """Read a date cell: calendar text, ``yyyyMMdd``, Excel serial or Unix time.
 
-    ``data_type`` is the type of ``value`` (string if not given). ``year`` completes dates
-    that name only month and day; the current year applies if it is not given. Anything
-    that cannot be read gives NULL.
+    ``data_type`` is the type of ``value`` (string if not given); ``year`` as for
+    :func:`parse_calendar`. Anything that cannot be read gives NULL.
     """
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return value.cast("timestamp_ntz")
     if isinstance(data_type, T.NumericType):
         number = value.cast("double")
         whole = F.when(number == F.floor(number), number.cast("decimal(30,0)").cast("string"))
-        return (
-            F.when(_is_excel_serial(number), _from_excel_serial(number))
-            .when((number >= 1e9) & (number < 1e10), _plus_micros(_UNIX_EPOCH, number * 1e6))
-            .when((number >= 1e12) & (number < 1e13), _plus_micros(_UNIX_EPOCH, number * 1e3))
-            .otherwise(_from_text(whole, year))
-        )
-    return _from_text(value, year)
-
-
-def _from_text(value: Column, year: int | None) -> Column:
-    text = F.regexp_replace(strip(value), r"\.0$", "")
-    number = text.try_cast("double")
-    year_column = F.year(F.current_date()) if year is None else F.lit(year)
-    parsed = (
-        F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, F.lit("yyyyMMdd")).cast("timestamp_ntz"))
-        .when(text.rlike(r"^\d{5}(\.\d+)?$") & _is_excel_serial(number), _from_excel_serial(number))
-        .when(text.rlike(r"^\d{10}$"), _plus_micros(_UNIX_EPOCH, number * 1e6))
-        .when(text.rlike(r"^\d{13}$"), _plus_micros(_UNIX_EPOCH, number * 1e3))
-        .otherwise(_from_calendar_text(text, year_column))
-    )
-    return F.when(F.year(parsed).between(_FIRST_YEAR, _LAST_YEAR), parsed)
-
-
-def parse_calendar(text: Column, year: int | None = None) -> Column:
-    """Read calendar text only: no Excel serials and no Unix times."""
-    year_column = F.year(F.current_date()) if year is None else F.lit(year)
-    cell = strip(text)
-    parsed = F.when(
-        cell.rlike(r"^\d{8}$"), F.try_to_date(cell, F.lit("yyyyMMdd")).cast("timestamp_ntz")
-    ).otherwise(_from_calendar_text(cell, year_column))
-    return F.when(F.year(parsed).between(_FIRST_YEAR, _LAST_YEAR), parsed)
+        return F.coalesce(_from_number(number), _iso_first(whole, lambda cell: _from_text(cell, year)))
+    return _iso_first(value, lambda cell: _from_text(cell, year))
 
 
 def period_label(timestamp: Column, granularity: str) -> Column:

@@ -2,32 +2,26 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from .. import vocab
-from .text import drop_nan, strip
+from .text import drop_nan
+
+_IN_PARENTHESES = r"(?Us)^\s*\([^0-9.+\-]*[+\-]?(.*)\)\s*$"
 
 
 def parse_number(text: Column) -> Column:
     """Read money and quantities: ``￥1,299.00``, ``1.2万``, ``(12)`` for a negative.
 
-    Only one unit applies, the largest that occurs. Text that holds no number gives NULL.
+    Only one unit applies, the largest that occurs. Text that holds no number gives NULL;
+    that includes all the words for a missing value, since none of them holds a digit.
     """
-    cell = strip(text)
-    digits = F.regexp_replace(cell, r"[^0-9.+\-]", "").try_cast("double")
-    unit = reduce(
-        lambda rest, pair: F.when(cell.contains(pair[0]), F.lit(pair[1])).otherwise(rest),
-        reversed(vocab.NUMBER_UNITS),
-        F.lit(1.0),
-    )
-    value = digits * unit
-    in_parentheses = cell.startswith("(") & cell.endswith(")")
-    return F.when(
-        ~F.lower(cell).isin(*vocab.BAD_NUMBER),
-        F.when(in_parentheses, -F.abs(value)).otherwise(value),
-    )
+    signed = F.regexp_replace(text, _IN_PARENTHESES, "-$1")
+    digits = F.regexp_replace(signed, r"[^0-9.+\-]", "").try_cast("double")
+    unit = F.lit(1.0)
+    for character, factor in reversed(vocab.NUMBER_UNITS):
+        unit = F.when(text.contains(character), F.lit(factor)).otherwise(unit)
+    return digits * unit
 
 
 def lenient_number(text: Column, default: float) -> Column:

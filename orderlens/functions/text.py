@@ -20,7 +20,7 @@ def lower_strip(text: Column) -> Column:
 
 def drop_nan(value: Column) -> Column:
     """NULL for NaN: inside the library a missing number is always NULL."""
-    return F.when(~F.isnan(value), value)
+    return F.nullif(value, F.lit(float("nan")))
 
 
 def normalize_name(text: Column) -> Column:
