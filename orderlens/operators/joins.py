@@ -9,9 +9,16 @@ SALTS = 32
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Size of a table in memory, from one aggregate (row count and text lengths)."""
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
-    text_bytes = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in texts), F.lit(0))
+    """Size of a table in memory, from one aggregate: row count and lengths of texts and arrays."""
+    sizes = [F.lit(0)]
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            column = column.cast("string")
+        elif not isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            continue
+        sizes.append(F.coalesce(F.octet_length(column), F.lit(0)))
+    text_bytes = sum(sizes[1:], sizes[0])
     row = df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum(text_bytes.cast("bigint")), F.lit(0)).alias("bytes"),

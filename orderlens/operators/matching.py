@@ -6,6 +6,9 @@ next to the data for any number of files.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
@@ -18,6 +21,17 @@ _ALIASES = {
 }
 
 
+# A name that neither contains an alias nor lies inside one scores zero for every field.
+_ALL = sorted({alias for aliases in _ALIASES.values() for alias in aliases})
+_CONTAINS_ALIAS = "|".join(re.escape(alias) for alias in _ALL)
+_ALL_TEXT = "\n".join(_ALL)  # a normalised name holds no line break
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def match_score(name: Column, field: str) -> Column:
     """How well an already normalised name matches a field: 0 to 100.
 
@@ -25,15 +39,17 @@ def match_score(name: Column, field: str) -> Column:
     the name counts for more than the name inside an alias.
     """
     aliases = _ALIASES[field]
+    longer = F.array(*[F.lit(alias) for alias in aliases if len(alias) >= 2])
 
-    def overlap(alias: str) -> Column:
-        cap = vocab.SCORE_LENGTH_CAP
-        inside_name = F.lit(vocab.ALIAS_IN_NAME_BASE + min(len(alias), cap))
-        inside_alias = F.lit(vocab.NAME_IN_ALIAS_BASE) + F.least(F.length(name), F.lit(cap))
-        return F.when(name.contains(alias), inside_name).when(
-            (F.length(name) >= 3) & F.lit(alias).contains(name), inside_alias).otherwise(F.lit(0))
+    def capped(text: Column) -> Column:
+        return F.least(F.length(text), F.lit(vocab.SCORE_LENGTH_CAP))
 
-    best = F.greatest(F.lit(0), *[overlap(alias) for alias in aliases if len(alias) >= 2])
+    def overlap(alias: Column) -> Column:
+        return F.when(name.contains(alias), capped(alias) + vocab.ALIAS_IN_NAME_BASE).when(
+            (F.length(name) >= 3) & alias.contains(name), capped(name) + vocab.NAME_IN_ALIAS_BASE
+        ).otherwise(F.lit(0))
+
+    best = F.array_max(F.transform(longer, overlap))
     if field == "unit_price":
         best = F.when(name.contains("金额") & ~name.contains("单价"), F.lit(0)).otherwise(best)
     if field == "total_amount":
@@ -42,40 +58,60 @@ def match_score(name: Column, field: str) -> Column:
     return F.when(name == "", F.lit(0)).when(name.isin(*aliases), exact).otherwise(best)
 
 
-def field_scores(column_name: Column) -> Column:
-    """Scores of one column name for all fields, as structs (score, rank, field).
+def _scores(name: Column) -> Column:
+    """Scores of a normalised name for all fields, as structs (score, rank, field).
 
     ``rank`` falls in field order, so the largest struct is the best field and the earlier
     field wins a tie.
     """
-    def scores(name: Column) -> Column:
-        return F.array(*[
-            F.struct(match_score(name, field).alias("score"), F.lit(-position).alias("rank"),
-                     F.lit(field).alias("field"))
-            for position, field in enumerate(vocab.STANDARD_FIELDS)
-        ])
+    return F.array(*[
+        F.struct(match_score(name, field).alias("score"), F.lit(-position).alias("rank"),
+                 F.lit(field).alias("field"))
+        for position, field in enumerate(vocab.STANDARD_FIELDS)
+    ])
 
-    return F.get(F.transform(F.array(normalize_name(column_name)), scores), F.lit(0))
+
+def field_scores(column_name: Column) -> Column:
+    """Scores of one column name for all fields."""
+    return _let(normalize_name(column_name), _scores)
 
 
 def header_score(cells: Column) -> Column:
-    """Struct (score, matched): how much a row of cells looks like a header."""
+    """Struct (score, matched): how much a row of cells looks like a header.
+
+    Most cells below a header cannot match any field; one regular expression leaves them out
+    before the scores are computed.
+    """
     filled = F.filter(cells, lambda cell: strip(cell) != "")
-    best = F.transform(filled, lambda cell: F.array_max(field_scores(cell)))
-    accepted = F.filter(best, lambda match: match["score"] >= vocab.ACCEPT_SCORE)
-    matched = F.size(F.array_distinct(F.transform(accepted, lambda match: match["field"])))
-    exact = F.size(F.filter(best, lambda match: match["score"] == vocab.EXACT_SCORE))
-    text_cells = F.size(F.filter(filled, lambda cell: ~looks_numeric(cell)))
-    score = (
-        matched * vocab.HEADER_FIELD_POINTS
-        + exact * vocab.HEADER_EXACT_POINTS
-        + F.least(F.size(filled), F.lit(vocab.HEADER_CELL_CAP))
-        + text_cells
-    )
-    return F.struct(
-        F.when(F.size(filled) > 0, score).otherwise(F.lit(-1)).alias("score"),
-        matched.alias("matched"),
-    )
+
+    def promising(name: Column) -> Column:
+        inside = (F.length(name) >= 3) & F.lit(_ALL_TEXT).contains(name)
+        return inside | name.rlike(_CONTAINS_ALIAS)
+
+    names = F.filter(F.transform(filled, normalize_name), promising)
+
+    def scored(best: Column) -> Column:
+        accepted = F.filter(best, lambda match: match["score"] >= vocab.ACCEPT_SCORE)
+        exact = F.filter(best, lambda match: match["score"] == vocab.EXACT_SCORE)
+        return F.struct(
+            F.size(F.array_distinct(F.transform(accepted, lambda match: match["field"]))).alias("matched"),
+            F.size(exact).alias("exact"))
+
+    hits = _let(F.transform(names, lambda name: F.array_max(_scores(name))), scored)
+
+    def total(found: Column) -> Column:
+        text_cells = F.size(F.filter(filled, lambda cell: ~looks_numeric(cell)))
+        score = (
+            found["matched"] * vocab.HEADER_FIELD_POINTS
+            + found["exact"] * vocab.HEADER_EXACT_POINTS
+            + F.least(F.size(filled), F.lit(vocab.HEADER_CELL_CAP))
+            + text_cells
+        )
+        return F.struct(
+            F.when(F.size(filled) > 0, score).otherwise(F.lit(-1)).alias("score"),
+            found["matched"].alias("matched"))
+
+    return _let(hits, total)
 
 
 def suggested_mapping(names: Column) -> Column:
@@ -100,7 +136,7 @@ def suggested_mapping(names: Column) -> Column:
 
 def suggest_mapping(headers: DataFrame, names: str = "names") -> DataFrame:
     """Suggested mapping for a table of headers (one array of names per row)."""
-    others = [c for c in headers.columns if c != names]
+    others = headers.columns
     return headers.select(*others, F.inline(suggested_mapping(F.col(names)))).select(
         *others, "field", "source", "score")
 
@@ -118,4 +154,4 @@ def unique_names(cells: Column) -> Column:
                 F.concat(name, F.lit("_"), (earlier + 1).cast("string")))
         return F.transform(names, named)
 
-    return F.get(F.transform(F.array(base), suffixed), F.lit(0))
+    return _let(base, suffixed)

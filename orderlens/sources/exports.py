@@ -7,10 +7,11 @@ the header search reads only the leading blocks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from .. import vocab
 from ..functions import strip
@@ -43,14 +44,16 @@ class Export:
         return header.select(F.inline(suggested_mapping(F.col("names")))).select("field", "source", "score")
 
 
-@F.pandas_udf("string")
-def _decode(lines: pd.Series, encodings: pd.Series) -> pd.Series:
-    return pd.Series([line.decode(code) for line, code in zip(lines, encodings)], dtype=object)
+# The functions below travel to the executors by value, so these need only pandas there.
+def _decoder() -> Callable[..., Column]:
+    def decode(lines: pd.Series, encodings: pd.Series) -> pd.Series:
+        return pd.Series([line.decode(code) for line, code in zip(lines, encodings)], dtype=object)
 
+    return F.pandas_udf(decode, T.StringType())
 
-@F.pandas_udf("array<boolean>")
-def _decodable(lines: pd.Series) -> pd.Series:
-    """For each line, which of the encodings other than UTF-8 can read it."""
+
+def _decodable(codes: tuple[str, ...]) -> Callable[..., Column]:
+    """For each line, which of the encodings can read it."""
     def readable(line: bytes, code: str) -> bool:
         try:
             line.decode(code)
@@ -58,7 +61,10 @@ def _decodable(lines: pd.Series) -> pd.Series:
         except UnicodeDecodeError:
             return False
 
-    return pd.Series([[readable(line, code) for code in vocab.ENCODINGS[2:]] for line in lines])
+    def test(lines: pd.Series) -> pd.Series:
+        return pd.Series([[readable(line, code) for code in codes] for line in lines])
+
+    return F.pandas_udf(test, T.ArrayType(T.BooleanType()))
 
 
 def land_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -84,8 +90,8 @@ def detect_encodings(lines: DataFrame) -> DataFrame:
     utf8 = lines.groupBy("file").agg(F.bool_and("utf8").alias("utf8"))
     others = utf8.filter(~F.col("utf8")).select("file")
     foreign = join_dimension(lines.select("file", "line", "bytes"), others, "file", "inner")
-    readable = foreign.select("file", _decodable("bytes").alias("readable"))
     codes = vocab.ENCODINGS[2:]
+    readable = foreign.select("file", _decodable(codes)("bytes").alias("readable"))
     tested = readable.groupBy("file").agg(
         *[F.bool_and(F.get("readable", F.lit(i))).alias(code) for i, code in enumerate(codes)])
     first = F.coalesce(*[F.when(F.col(code), F.lit(code)) for code in codes])
@@ -101,7 +107,7 @@ def decode_lines(lines: DataFrame, encodings: DataFrame, only_utf8: bool) -> Dat
     known = join_dimension(lines, encodings.filter(F.col("encoding").isNotNull()), "file", "inner")
     plain = known.filter(F.col("encoding") == _UTF8).select("file", "block", "line", text.alias("text"))
     foreign = known.filter(F.col("encoding") != _UTF8).select(
-        "file", "block", "line", _decode("bytes", "encoding").alias("text"))
+        "file", "block", "line", _decoder()("bytes", "encoding").alias("text"))
     return plain.unionAll(foreign)
 
 
@@ -112,6 +118,17 @@ def leading_lines(lines: DataFrame, rows: int = vocab.HEADER_SEARCH_ROWS) -> Dat
         "_n", F.row_number().over(order)).filter(F.col("_n") <= rows).drop("_n")
 
 
+def _standard_names(names: Column) -> Column:
+    """Names replaced by the standard fields that they suggest."""
+    def standard(mapping: Column) -> Column:
+        def replaced(name: Column) -> Column:
+            match = F.get(F.filter(mapping, lambda m: m["source"] == name), F.lit(0))
+            return F.coalesce(match["field"], name)
+        return F.transform(names, replaced)
+
+    return F.get(F.transform(F.array(suggested_mapping(names)), standard), F.lit(0))
+
+
 def _describe(lines: DataFrame, encodings: DataFrame, delimiter: str | None) -> DataFrame:
     """One row per file: number, encoding, delimiter, header position and column names."""
     marks = (delimiter,) if delimiter else vocab.DELIMITERS
@@ -142,11 +159,12 @@ def _drop_empty_columns(rows: DataFrame, names: list[str]) -> list[str]:
 
 
 def load_order_exports(spark: SparkSession, paths: str | list[str], *, encoding: str | None = None,
-                       delimiter: str | None = None) -> Export:
+                       delimiter: str | None = None, standard_names: bool = False) -> Export:
     """Read order exports: find encoding, delimiter and header of every file.
 
     Files may differ in all of these; their rows are lined up by column name. ``encoding``
-    and ``delimiter`` replace detection. The rows carry their position, so that cleaning can
+    and ``delimiter`` replace detection. ``standard_names`` maps the columns of every file
+    to standard fields before they are lined up, for files whose names differ. The rows carry their position, so that cleaning can
     keep the first of identical lines.
     """
     landed = land_lines(spark, paths)
@@ -160,15 +178,17 @@ def load_order_exports(spark: SparkSession, paths: str | list[str], *, encoding:
     if None in used:
         raise ValueError("a file is in none of the known encodings; name its encoding")
     lines = decode_lines(landed, encodings, used <= {_UTF8, "utf-8"})
-    files = stage(_describe(lines, encodings, delimiter), "files")
+    files = _describe(lines, encodings, delimiter)
+    placed_names = _standard_names(F.col("names")) if standard_names else F.col("names")
+    files = stage(files.withColumn("columns", placed_names), "files")
 
     # Distinct column names over all files, in order of first appearance.
-    listed = files.select("file_number", F.posexplode("names").alias("slot", "name"))
+    listed = files.select("file_number", F.posexplode("columns").alias("slot", "name"))
     first = listed.groupBy("name").agg(F.min(F.struct("slot", "file_number")).alias("at"))
     names = [row["name"] for row in first.orderBy("at", "name").select("name").collect()]
     wanted = F.array(*[F.lit(name) for name in names])
     layout = files.select("file", "file_number", "delimiter", "header_position", "width", "names",
-                          F.transform(wanted, lambda n: F.array_position("names", n).cast("int")).alias("slots"))
+                          F.transform(wanted, lambda n: F.array_position("columns", n).cast("int")).alias("slots"))
 
     body = join_dimension(lines, layout, "file", "inner").filter(F.col("line") > F.col("header_position"))
     body = body.withColumn("cells", split_cells(F.col("text"), F.col("delimiter")))
@@ -187,5 +207,5 @@ def load_order_exports(spark: SparkSession, paths: str | list[str], *, encoding:
     facts = files.join(counts, "file", "left").select(
         "file", F.lit("CSV").alias("file_type"), "encoding", F.lit(None).cast("string").alias("sheet"),
         "delimiter", "header_row", F.coalesce("rows", F.lit(0)).alias("rows"),
-        F.size(F.array_intersect("names", F.array(*[F.lit(c) for c in kept]))).alias("columns"))
+        F.size(F.array_intersect("columns", F.array(*[F.lit(c) for c in kept]))).alias("columns"))
     return Export(rows, facts)
