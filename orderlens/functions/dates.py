@@ -61,7 +61,7 @@ def _from_calendar(text: Column, year: int | None) -> Column:
     cell = strip(text)
     iso = F.regexp_replace(cell, r"(:\d{1,2})[.,]\d+", "$1")
     iso = F.translate(iso, "年月/.：", "----:")
-    iso = strip(F.replace(iso, F.lit("日"), F.lit(" ")))
+    iso = F.trim(F.regexp_replace(iso, r"(?U)[\s日]+", " "))
     this_year = F.year(F.current_date()) if year is None else F.lit(year)
     month_day = F.concat(this_year.cast("string"), F.lit("-$1"))
     iso = F.regexp_replace(iso, F.lit(r"^(\d{1,2}-\d{1,2}(?:\s.*)?)$"), month_day)
