@@ -57,6 +57,11 @@ def _from_number(number: Column) -> Column:
     return _from_unix_micros(micros)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _from_calendar(text: Column, year: int | None) -> Column:
     cell = strip(text)
     iso = F.regexp_replace(cell, r"(:\d{1,2})[.,]\d+", "$1")
@@ -65,18 +70,21 @@ def _from_calendar(text: Column, year: int | None) -> Column:
     this_year = F.year(F.current_date()) if year is None else F.lit(year)
     month_day = F.concat(this_year.cast("string"), F.lit("-$1"))
     iso = F.regexp_replace(iso, F.lit(r"^(\d{1,2}-\d{1,2}(?:\s.*)?)$"), month_day)
-    for pattern, order in _REWRITES:
-        iso = F.regexp_replace(iso, pattern, order)
-    named = F.initcap(F.regexp_replace(cell, _MONTH_NAME, "$1 $2 $3"))
-    return F.coalesce(
-        F.regexp_extract(iso, _IN_RANGE, 0).try_cast("timestamp_ntz"),
-        F.try_to_date(named, "MMM d yyyy").cast("timestamp_ntz"),
-    )
 
+    def year_first(date: Column) -> Column:
+        rewritten = date
+        for pattern, order in _REWRITES:
+            rewritten = F.regexp_replace(rewritten, pattern, order)
+        return F.when(date.rlike(r"^\d{4}-"), date).otherwise(rewritten)
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` with ``value`` computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    def named(date: Column) -> Column:
+        words = F.initcap(F.regexp_replace(date, _MONTH_NAME, "$1 $2 $3"))
+        return F.when(date.rlike(_MONTH_NAME), F.try_to_date(words, "MMM d yyyy").cast("timestamp_ntz"))
+
+    return F.coalesce(
+        F.regexp_extract(_let(iso, year_first), _IN_RANGE, 0).try_cast("timestamp_ntz"),
+        _let(cell, named),
+    )
 
 
 def _iso_first(value: Column, otherwise: Callable[[Column], Column]) -> Column:

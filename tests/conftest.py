@@ -9,15 +9,16 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent.parent))
 
 @pytest.fixture(scope="session")
 def spark():
-    session = (
+    from orderlens.session import configure
+
+    builder = (
         SparkSession.builder.master("local[8]")
         .appName("orderlens-tests")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
-        .getOrCreate()
     )
+    session = configure(builder).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
