@@ -21,10 +21,19 @@ _ALIASES = {
 }
 
 
-# A name that neither contains an alias nor lies inside one scores zero for every field.
+# A name that neither contains an alias nor lies inside one scores zero for every field. The
+# tests below find such names cheaply: digits occur in no alias, and an alias with wide
+# characters needs a name with wide characters.
 _ALL = sorted({alias for aliases in _ALIASES.values() for alias in aliases})
-_CONTAINS_ALIAS = "|".join(re.escape(alias) for alias in _ALL)
+_LONGEST = max(map(len, _ALL))
 _ALL_TEXT = "\n".join(_ALL)  # a normalised name holds no line break
+_NARROW = "|".join(re.escape(alias) for alias in _ALL if alias.isascii())
+_WIDE = "|".join(re.escape(alias) for alias in _ALL if not alias.isascii())
+
+
+def _promising(name: Column) -> Column:
+    inside = F.length(name).between(3, _LONGEST) & ~name.rlike(r"\d") & F.lit(_ALL_TEXT).contains(name)
+    return inside | name.rlike(_NARROW) | (name.rlike(r"[^\x00-\x7f]") & name.rlike(_WIDE))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -83,36 +92,28 @@ def header_score(cells: Column) -> Column:
     Most cells below a header cannot match any field; one regular expression leaves them out
     before the scores are computed.
     """
-    filled = F.filter(cells, lambda cell: strip(cell) != "")
-
-    def promising(name: Column) -> Column:
-        inside = (F.length(name) >= 3) & F.lit(_ALL_TEXT).contains(name)
-        return inside | name.rlike(_CONTAINS_ALIAS)
-
-    names = F.filter(F.transform(filled, normalize_name), promising)
+    def hits(filled: Column) -> Column:
+        """Best match of each cell that can match at all."""
+        names = F.filter(F.transform(filled, normalize_name), _promising)
+        return F.transform(names, lambda name: F.array_max(_scores(name)))
 
-    def scored(best: Column) -> Column:
+    def points(filled: Column, best: Column) -> Column:
         accepted = F.filter(best, lambda match: match["score"] >= vocab.ACCEPT_SCORE)
-        exact = F.filter(best, lambda match: match["score"] == vocab.EXACT_SCORE)
-        return F.struct(
-            F.size(F.array_distinct(F.transform(accepted, lambda match: match["field"]))).alias("matched"),
-            F.size(exact).alias("exact"))
-
-    hits = _let(F.transform(names, lambda name: F.array_max(_scores(name))), scored)
-
-    def total(found: Column) -> Column:
+        matched = F.size(F.array_distinct(F.transform(accepted, lambda match: match["field"])))
+        exact = F.size(F.filter(best, lambda match: match["score"] == vocab.EXACT_SCORE))
         text_cells = F.size(F.filter(filled, lambda cell: ~looks_numeric(cell)))
         score = (
-            found["matched"] * vocab.HEADER_FIELD_POINTS
-            + found["exact"] * vocab.HEADER_EXACT_POINTS
+            matched * vocab.HEADER_FIELD_POINTS
+            + exact * vocab.HEADER_EXACT_POINTS
             + F.least(F.size(filled), F.lit(vocab.HEADER_CELL_CAP))
             + text_cells
         )
         return F.struct(
             F.when(F.size(filled) > 0, score).otherwise(F.lit(-1)).alias("score"),
-            found["matched"].alias("matched"))
+            matched.alias("matched"))
 
-    return _let(hits, total)
+    filled = F.filter(cells, lambda cell: strip(cell) != "")
+    return _let(filled, lambda row: _let(hits(row), lambda best: points(row, best)))
 
 
 def suggested_mapping(names: Column) -> Column:

@@ -22,7 +22,7 @@ from ..operators.staging import stage
 from ..plans.clean import ROW
 
 HEAD_BYTES = 8 * 1024 * 1024   # the search window lies within the first bytes of a file
-_LINE_BITS = 42                # a row position is the file number and the offset in the file
+_LINE_BITS = 40                # a row position is the file number and the offset in the file
 _UTF8 = vocab.ENCODINGS[0]
 _SAMPLE_ROWS = 1000
 
