@@ -89,6 +89,10 @@ def choose_delimiters(head: DataFrame, keys: list[str], position: str, line: str
     Every delimiter is tried; the one whose header matches most fields wins, then the best
     header score, then the width closest to a typical export, then the order of the list.
     """
+    # Scoring costs far more than the few leading lines weigh: a fixed number of partitions
+    # keeps adaptive execution from merging them by size. The later grouping reuses it.
+    partitions = int(head.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    head = head.repartition(partitions, *keys)
     tried = head.select(*keys, position, line, F.posexplode(
         F.array(*[F.lit(mark) for mark in delimiters])).alias("_order", "delimiter"))
     cells = tried.withColumn("_cells", split_cells(F.col(line), F.col("delimiter")))

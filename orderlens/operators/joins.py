@@ -33,7 +33,8 @@ def join_dimension(facts: DataFrame, dimension: DataFrame, key: str, how: str =
     The dimension is measured first. One that fits is broadcast, so that the facts are not
     shuffled at all. A larger one is repeated once per salt while each fact row takes one
     salt from its own values, which spreads the rows of a hot key over ``salts`` tasks. Fact
-    rows without a key match nothing and are spread over all tasks.
+    rows without a key match nothing and are spread over all tasks. Identical fact rows share a
+    salt; adaptive execution splits a partition that they make too large.
     """
     if measured_bytes(dimension) <= broadcast_bytes:
         return facts.join(F.broadcast(dimension), key, how)
