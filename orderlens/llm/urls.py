@@ -92,7 +92,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule], *, default: str = "allow", id
         found = found.withColumn("hits", hits)
         best = F.array_max(F.transform("hits", lambda i: F.struct(of([r.rank for r in rules], i).alias("rank"), (-i).alias("first"))))
         found = found.withColumn("decides", F.when(F.size("hits") > 0, -best["first"]))
-        name, verdict = of([r.name for r in rules], F.col("decides")), of([r.verdict for r in rules], F.col("decides"))
+        decided = F.col("decides").isNotNull()  # element_at takes a null index for one that is there
+        name = F.when(decided, of([r.name for r in rules], F.col("decides")))
+        verdict = F.when(decided, of([r.verdict for r in rules], F.col("decides")))
     else:
         name = verdict = F.lit(None).cast("string")
     return found.select(
