@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orderlens.operators.staging import shared_folder
 
-from . import caps, mixing, packing, sharding, tokens, topk, urls
+from . import caps, language, mixing, packing, pii, sharding, tokens, topk, urls
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -31,6 +31,13 @@ def op1_shards(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(~language.held_out(F.col("doc_id"))))
+    return language.identify(docs, model).select(
+        "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 # The rules of the contract, and words of the default block list.
 PATH_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
               ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -90,6 +97,14 @@ def op6_mixture(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark, sf_dir):
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.Model(spark))
+    of_kind = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("bigint")
+    return found.select(
+        "doc_id", *[of_kind(i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)],
+        F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 def op8_token_counts(spark, sf_dir):
     """The cache of this query starts empty, so that it shows the cost of a first run."""
     cache = f"{shared_folder(spark).rstrip('/')}/orderlens-token-cache-{uuid.uuid4().hex}"
@@ -120,6 +135,6 @@ def op10_packing(spark, sf_dir):
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES |= {"op1_shards": op1_shards, "op4_url_verdicts": op4_url_verdicts, "op5_near_vectors": op5_near_vectors,
-            "op6_mixture": op6_mixture, "op8_token_counts": op8_token_counts, "op9_top_vectors": op9_top_vectors,
+QUERIES |= {"op1_shards": op1_shards, "op2_language": op2_language, "op4_url_verdicts": op4_url_verdicts, "op5_near_vectors": op5_near_vectors,
+            "op6_mixture": op6_mixture, "op7_personal_data": op7_personal_data, "op8_token_counts": op8_token_counts, "op9_top_vectors": op9_top_vectors,
             "op10_packing": op10_packing}
