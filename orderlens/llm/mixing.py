@@ -39,25 +39,25 @@ def targets(sizes: list[int], weights: list[int], total: int, most: int) -> list
 
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix", id: str = "doc_id",
-        text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` (and ``keep``) of every row of ``docs``.
+        text: str = "text", source: str = "source", shuffle: str | None = None) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` of every row of ``docs``.
 
     The sources in code point order, null last, get ``weights`` in turn and share as many words as there are in all; a
     source stops at ``most`` times its size. ``taken`` is the number of words the mixture takes of the row: its
     size times the number of its passes that come before the budget ends.
 
-    The shuffle is a hash of seed, id and text, so reruns agree; equal rows follow each other. Passes are whole
+    The shuffle is a hash of seed, ``shuffle`` (default: the id) and text, so reruns agree; equal rows follow each other. Passes are whole
     rounds over a source. A source goes over tasks in ranges, whatever its share of the rows, and so does the order
     of all finish times. Texts without words take part with size 0 and are never taken; a source without words has the
     target 0. An empty table gives an empty table. The driver holds one number per source: sources are named by the
     mixture's weights, not by the data's size.
     """
     spark = docs.sparkSession
-    shuffled = F.sha2(F.concat_ws("\x1f", F.lit(seed), F.coalesce(F.col(id).cast("string"), F.lit("")),
+    shuffled = F.sha2(F.concat_ws("\x1f", F.lit(seed), F.coalesce(F.col(shuffle or id).cast("string"), F.lit("")),
                                   F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))), 256)
     rows = stage(docs.select(
         F.col(id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"),
-        F.substring(shuffled, 1, 16).alias("turn"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]), "mix-rows")
+        F.substring(shuffled, 1, 16).alias("turn")), "mix-rows")
     sums = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
     sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     total = sum(r["size"] for r in sums)
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     sent = number(queues, ["number", "turn", "doc_id"], totals=["size"]).withColumn(
         "sent", F.col("_to_size") - F.col("before"))
     entry = stage(sent.withColumnRenamed("_row", "entry").select(
-        "entry", "doc_id", "size", "number", "source_size", "target", "sent", *[f"_keep_{i}" for i in range(len(keep))]), "mix-queues")
+        "entry", "doc_id", "size", "number", "source_size", "target", "sent"), "mix-queues")
     passes = entry.filter(F.col("size") > 0).select(
         "entry", "size", "number",
         F.explode(F.transform(
@@ -84,5 +84,4 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     ordered = number(passes.filter(F.col("finish") - F.col("takes") < 1), ["finish", "number", "entry"], totals=["size"])
     chosen = ordered.filter(F.col("_to_size") <= total).groupBy("entry").agg(F.sum("size").alias("taken"))
     return entry.join(chosen, "entry", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
-        *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)])
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orderlens.operators.staging import shared_folder
 
-from . import caps, language, mixing, packing, pii, sharding, tokens, topk, urls
+from . import caps, jaccard, language, mixing, packing, pii, sharding, tokens, topk, urls
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -38,6 +38,30 @@ def op2_language(spark, sf_dir):
         "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_similar_documents(spark, sf_dir):
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op3_similar_documents"] = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+grams AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT reached.doc_id, links.b FROM reached JOIN links ON links.a = reached.other)
+SELECT reached.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+FROM reached LEFT JOIN sizes ON sizes.doc_id = reached.doc_id GROUP BY reached.doc_id
+"""
+
+
 # The rules of the contract, and words of the default block list.
 PATH_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
               ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -135,6 +159,6 @@ def op10_packing(spark, sf_dir):
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES |= {"op1_shards": op1_shards, "op2_language": op2_language, "op4_url_verdicts": op4_url_verdicts, "op5_near_vectors": op5_near_vectors,
+QUERIES |= {"op1_shards": op1_shards, "op2_language": op2_language, "op3_similar_documents": op3_similar_documents, "op4_url_verdicts": op4_url_verdicts, "op5_near_vectors": op5_near_vectors,
             "op6_mixture": op6_mixture, "op7_personal_data": op7_personal_data, "op8_token_counts": op8_token_counts, "op9_top_vectors": op9_top_vectors,
             "op10_packing": op10_packing}
