@@ -7,10 +7,10 @@ Documents with equal n-gram sets form one class; all later work is on classes.
 2. N-grams of one class link nothing and go no further. A class that shares too few n-grams to
    reach the similarity is done. Of the others, the rarest n-grams (as many as a partner may lack, and
    one) are its prefix; two similar classes share an n-gram of both prefixes.
-3. Candidates share a prefix n-gram and have sizes that allow the similarity. Inside the list of
-   one n-gram every class first meets one leader; classes that links have joined already need no
-   further comparison, so a group of thousands of near copies costs one comparison per class and leader.
-   What is left, pairs of different components, is compared in full.
+3. Candidates share a prefix n-gram, with sizes and positions in the order that allow the similarity. Inside the list of
+   one n-gram every class first meets one leader, then a few others; classes that links have joined
+   already need no further comparison, so a group of thousands of near copies costs some comparisons per
+   class. What is left, pairs of different components, is compared in full.
 4. The ordered n-grams of a pair are cut into fragments again; overlaps are counted per fragment and
    summed per pair.
 """
@@ -26,6 +26,7 @@ from .components import connected
 WORDS = 5
 PER_FRAGMENT = 3_000_000  # n-grams that one task of step 1 or 2 holds, about
 PARTS = 4  # fragments in which the overlap of a pair is counted
+LEADERS = (1, 8, 8, None)  # per n-gram and turn; in the last turn all that is left is compared
 _CHUNK = 1 << 22  # bytes of text hashed at once
 _LOW = (1 << 48) - 1
 
@@ -213,7 +214,7 @@ def _shared(buckets: int):
     return count
 
 
-_CLASS = "set bigint, size int, prefix array<bigint>, parts array<array<bigint>>"
+_CLASS = "set bigint, size int, alone int, prefix array<bigint>, parts array<array<bigint>>"
 
 
 def _prefixes(percent: int):
@@ -233,10 +234,10 @@ def _prefixes(percent: int):
             needed = -(-percent * size // 100)
             if shared >= needed:
                 mine = gram[at:till]
-                rows.append((key, size, mine[:shared - needed + 1], [np.sort(mine[(mine & 0xFFFF) % PARTS == p]) for p in range(PARTS)]))
-        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
-        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 4, kinds)],
-                        names=["set", "size", "prefix", "parts"])
+                rows.append((key, size, size - shared, mine[:shared - needed + 1], [np.sort(mine[(mine & 0xFFFF) % PARTS == p]) for p in range(PARTS)]))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
+        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)],
+                        names=["set", "size", "alone", "prefix", "parts"])
 
     return choose
 
@@ -269,23 +270,29 @@ def similar(docs: DataFrame, *, percent: int = 75, words: int = WORDS, id: str =
     fragments = min(1 << 14, max(8, -(-total // PER_FRAGMENT)))
     shared = _fragments(source, words, fragments).groupBy("bucket").applyInArrow(_shared(fragments), _BLOCK)
     chosen = stage(shared.groupBy("bucket").applyInArrow(_prefixes(percent), _CLASS), "jaccard-prefixes")
-    entries = stage(chosen.select("set", "size", F.explode("prefix").alias("gram")), "jaccard-lists")
+    lists = chosen.select("set", "size", "alone", F.posexplode("prefix").alias("rank", "gram"))
+    entries = stage(lists.select("set", "size", "gram", (F.col("alone") + F.col("rank")).alias("at")), "jaccard-lists")
     names = links = tried = None
-    for turn in ("lowest", "highest", "all"):
+    for turn, leaders in enumerate(LEADERS):
         open_ = entries
         if names is not None:
             open_ = entries.join(names, F.col("set") == F.col("node"), "left").select(
-                "set", "size", "gram", F.coalesce("component", "set").alias("component"))
+                "set", "size", "gram", "at", F.coalesce("component", "set").alias("component"))
             mixed = open_.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("gram")
             open_ = open_.join(mixed, "gram")
         else:
             open_ = open_.withColumn("component", F.col("set"))
-        lead = {"lowest": F.min, "highest": F.max}.get(turn)
-        other = open_.select("gram", F.col("set").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-        if lead:
-            other = other.groupBy("gram").agg(lead(F.struct("b", "size_b", "component_b")).alias("l")).select("gram", "l.*")
-        fits = (F.col("component") != F.col("component_b")) & (100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b"))
-        met = open_.join(other, "gram").filter(fits & (F.col("set") != F.col("b")) if lead else fits & (F.col("set") < F.col("b")))
+        other = open_.select("gram", F.col("set").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), F.col("component").alias("component_b"))
+        if leaders:
+            seat = F.explode(F.sequence(F.lit(1), F.lit(leaders)))
+            drawn = F.xxhash64("b", "seat", F.lit(turn))
+            other = other.withColumn("seat", seat).groupBy("gram", "seat").agg(
+                F.min_by(F.struct("b", "size_b", "at_b", "component_b"), drawn).alias("l")).select("gram", "l.*").distinct()
+        # Two sets with the overlap needed share an n-gram among those that either may lack, and one.
+        needed = F.ceil(percent * (F.col("size") + F.col("size_b")) / F.lit(100.0 + percent) - 1e-9)
+        fits = (F.col("component") != F.col("component_b")) & (F.least("size", "size_b") >= needed) & (
+            F.col("at") <= F.col("size") - needed) & (F.col("at_b") <= F.col("size_b") - needed)
+        met = open_.join(other, "gram").filter(fits & (F.col("set") != F.col("b")) if leaders else fits & (F.col("set") < F.col("b")))
         pairs = met.select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
