@@ -12,6 +12,8 @@ from collections import defaultdict
 
 from pyspark.sql import DataFrame, functions as F
 
+from orderlens.operators.staging import stage
+
 from .sequences import number
 from .vocabulary import Words, some
 
@@ -125,6 +127,7 @@ def pack(pieces: DataFrame, *, window: int = WINDOW, order: tuple[str, ...] = ("
     gapless from 0. An empty table gives an empty table.
     """
     spark = pieces.sparkSession
+    pieces = stage(pieces, "pieces")  # finding the ranges reads them a first time
     ranked = number(pieces, ["length", *order])
     counts = {r["length"]: r["count"] for r in ranked.groupBy("length").count().collect()}  # window rows at most
     if any(not length or not 0 < length <= window for length in counts):
