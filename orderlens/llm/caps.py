@@ -78,8 +78,11 @@ def _units(vectors):
     return matrix / np.sqrt((matrix * matrix).sum(1, keepdims=True))
 
 
-def verify(ids, counts, filters, vectors, sides, current, cosine):
-    """Of one tile: (id, copies of linked vectors) for links that meet here first, and (id, id) that span its links."""
+def verify(ids, counts, vectors, sides, current, cosine, code):
+    """Of one tile: (id, copies of linked vectors) for links that meet here first, and (id, id) that span its links.
+
+    The filters of linked vectors are listed again rather than sent along, since few vectors link.
+    """
     import numpy as np
 
     units = _units(vectors)
@@ -88,11 +91,14 @@ def verify(ids, counts, filters, vectors, sides, current, cosine):
     if sides is not None:
         near &= sides[:, None] != sides[None, :]
     a, b = np.nonzero(near)
-    width = max(map(len, filters))
+    if not len(a):
+        return [], []
+    linked = np.unique(a)
+    before = [passed[passed < current] for passed in code.decode(units[linked])]
+    width = max(1, max(map(len, before)))
     earlier = np.full((len(ids), width), -1, dtype=np.int64)
-    for row, passed in enumerate(filters):
-        before = passed[passed < current]
-        earlier[row, :len(before)] = before
+    for row, passed in zip(linked, before):
+        earlier[row, :len(passed)] = passed
     first = np.ones(len(a), dtype=bool)
     step = max(1, (1 << 22) // (width * width))
     for at in range(0, len(a), step):
@@ -112,7 +118,7 @@ def verify(ids, counts, filters, vectors, sides, current, cosine):
     return list(zip(ids[some].tolist(), links[some].tolist())), list(zip(ids[spans].tolist(), ids[label[spans]].tolist()))
 
 
-def near_duplicates(vectors: DataFrame, *, cosine: float = 0.95, found: float = 0.99, id: str = "vec_id",
+def near_duplicates(vectors: DataFrame, *, cosine: float = 0.95, found: float = 0.93, id: str = "vec_id",
                     vector: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors``.
 
@@ -134,31 +140,37 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.95, found: float =
     sizes = {r["dim"]: r["count"] for r in classes.groupBy(F.size("vector").alias("dim")).count().collect()}
     words = {dim: max(8, int(2 * n ** 0.5) + 1) for dim, n in sizes.items()}
 
+    kind = next(f for f in classes.schema.fields if f.name == "vector").dataType.elementType.simpleString()
+    kind = kind if kind in ("float", "double") else "double"
+
+    def code_of(codes, dim):
+        if dim not in codes:
+            codes[dim] = Code(dim, words[dim], cosine, found)
+        return codes[dim]
+
     def decode(batches):
+        import numpy as np
         import pyarrow as pa
 
         codes: dict[int, Code] = {}
-        names = ["dim", "filter", "class", "copies", "filters", "vector"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
         for batch in batches:
-            by_dim: dict[int, list] = {}
-            for c, n, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                by_dim.setdefault(len(v), []).append((c, n, v))
-            for dim, held in by_dim.items():
-                if dim not in codes:
-                    codes[dim] = Code(dim, words[dim], cosine, found)
-                lines = []
-                for (c, n, v), passed in zip(held, codes[dim].decode(_units([v for _, _, v in held]))):
-                    listed = passed.tolist()
-                    lines += [(dim, f, c, n, listed, v) for f in listed]
-                    if len(lines) > 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*lines), kinds)], names)
-                        lines = []
-                if lines:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*lines), kinds)], names)
-
-    entries = stage(classes.select("class", "copies", "vector").mapInArrow(
-        decode, "dim int, filter bigint, class bigint, copies bigint, filters array<bigint>, vector array<double>"), "cap-filters")
+            ids, copies, values = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            at, flat = values.offsets.to_numpy(), values.values.to_numpy()
+            dims = np.diff(at)
+            for dim in np.unique(dims).tolist():
+                mine = np.flatnonzero(dims == dim)
+                matrix = flat[at[mine][:, None] + np.arange(dim)]
+                for first in range(0, len(mine), 256):
+                    part = matrix[first:first + 256]
+                    passed = list(code_of(codes, dim).decode(_units(part)))
+                    row = np.repeat(np.arange(len(part)), [len(p) for p in passed])
+                    vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * dim), pa.array(part[row].reshape(-1)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(row), dim, np.int32)), pa.array(np.concatenate(passed).astype(np.int64)), pa.array(ids[mine][first:first + 256][row]),
+                         pa.array(copies[mine][first:first + 256][row]), vectors], ["dim", "filter", "class", "copies", "vector"])
+
+    vectors_only = classes.select("class", "copies", F.col("vector").cast(f"array<{kind}>").alias("vector"))
+    entries = stage(vectors_only.mapInArrow(decode, f"dim int, filter bigint, class bigint, copies bigint, vector array<{kind}>"), "cap-filters")
     full = entries.groupBy("dim", "filter").count().filter("count > 1")
     blocks = F.ceil(F.col("count") / F.lit(TILE)).cast("int")
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
@@ -166,22 +178,32 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.95, found: float =
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.select(
         "dim", "filter", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block",
-        "class", "copies", "filters", "vector")
+        "class", "copies", "vector")
     keys = ["dim", "filter", "low", "high"]
 
     def compare(batches):
         import numpy as np
         import pyarrow as pa
 
+        codes: dict[int, Code] = {}
+
         def groups():
+            """Tiles, whose rows follow each other; the last of a batch may go on in the next."""
             now, held = None, []
             for batch in batches:
-                for row in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)]):
-                    if row[:4] != now:
-                        if held:
-                            yield now, held
-                        now, held = row[:4], []
-                    held.append(row[4:])
+                columns = [batch.column(i).to_numpy() for i in range(7)]
+                at, flat = batch.column(7).offsets.to_numpy(), batch.column(7).values.to_numpy()
+                changes = np.zeros(batch.num_rows, bool)
+                for c in columns[:4]:
+                    changes[1:] |= c[1:] != c[:-1]
+                starts = np.flatnonzero(np.r_[True, changes[1:]]) if batch.num_rows else []
+                for i, j in zip(starts, [*starts[1:], batch.num_rows]):
+                    key = tuple(int(c[i]) for c in columns[:4])
+                    if key != now and held:
+                        yield now, held
+                        held = []
+                    now = key
+                    held.append((columns[4][i:j], columns[5][i:j], columns[6][i:j], flat[at[i]:at[j]].reshape(j - i, key[0])))
             if held:
                 yield now, held
 
@@ -189,12 +211,10 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.95, found: float =
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*lines)], ["class", "links", "other"])
 
         lines = []
-        for (_, current, low, high), held in groups():
-            if len(held) > 1:
-                block, ids, copies, filters, vectors = zip(*held)
-                counted, spans = verify(
-                    np.array(ids), np.array(copies), [np.array(f) for f in filters], vectors,
-                    np.array(block) if low != high else None, current, cosine)
+        for (dim, current, low, high), held in groups():
+            block, ids, copies, vectors = (np.concatenate(x) for x in zip(*held))
+            if len(ids) > 1:
+                counted, spans = verify(ids, copies, vectors, block if low != high else None, current, cosine, code_of(codes, dim))
                 lines += [(c, n, None) for c, n in counted] + [(c, None, o) for c, o in spans]
                 if len(lines) > 10_000:
                     yield pack(lines)
