@@ -23,21 +23,6 @@ STANDARD_FIELDS = (
     "user_level",
 )
 
-FIELD_LABELS = {
-    "order_id": "订单ID",
-    "user_id": "用户ID",
-    "product_id": "商品ID / SKU ID",
-    "product_name": "商品名称",
-    "order_date": "订单时间 / 支付时间",
-    "quantity": "商品数量",
-    "unit_price": "商品单价",
-    "total_amount": "实付金额 / GMV",
-    "payment_method": "支付方式",
-    "status": "订单状态",
-    "city": "城市 / 地区",
-    "category": "商品品类",
-    "user_level": "用户等级",
-}
 
 # --- Fixed values: header aliases per standard field -------------------------
 FIELD_ALIASES = {
@@ -139,7 +124,6 @@ HEADER_FIELD_POINTS = 30
 HEADER_EXACT_POINTS = 8
 HEADER_CELL_CAP = 20
 HEADER_SEARCH_ROWS = 30
-DELIMITER_ROW_CAP = 10_000
 DELIMITER_TYPICAL_COLUMNS = 12
 DELIMITERS = (",", "\t", ";", "|")
 ENCODINGS = ("utf-8-sig", "utf-8", "gb18030", "gbk", "big5")
@@ -233,14 +217,6 @@ DISPLAY_PERCENT = {
     "margin": ("gross_margin_pct",),
     "repurchase": ("repurchase_rate",),
 }
-STATUS_LABELS = {
-    "completed": "已完成 / 已支付",
-    "pending": "处理中 / 已发货",
-    "refunded": "退款",
-    "cancelled": "取消 / 关闭",
-    "failed": "失败",
-    "unknown": "未识别状态",
-}
 
 # --- Fixed values: names of missing business dimensions -------------------------
 MISSING_DIMENSIONS = {

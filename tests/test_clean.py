@@ -20,12 +20,12 @@ def report_of(cleaned):
 
 def test_zero_amounts_and_order_lines_are_kept(spark):
     raw = spark.createDataFrame(
-        [("A1", "2026-07-01", 1, 10, 10, "交易成功", "甲"), ("A1", "2026-07-01", 2, 20, 40, "交易成功", "乙"),
-         ("A2", "2026-07-02", 1, 99, 0, "已完成", "赠品")],
+        [("K30", "2025-02-11", 3, 15, 45, "已完成", "茶杯"), ("K30", "2025-02-11", 1, 70, 70, "已完成", "茶壶"),
+         ("K31", "2025-02-14", 2, 35, 0, "交易成功", "试用装")],
         "order_id string, order_date string, quantity int, unit_price int, total_amount int, status string, product_name string")
     cleaned = clean.clean_orders(raw)
     lines = {r["product_name"]: r for r in cleaned.lines.collect()}
-    assert len(lines) == 3 and lines["赠品"]["total_amount"] == 0 and lines["甲"]["product_id"] == "甲"
+    assert len(lines) == 3 and lines["试用装"]["total_amount"] == 0 and lines["茶杯"]["product_id"] == "茶杯"
     report = report_of(cleaned)
     assert report["order_lines"] == 3 and report["distinct_orders"] == 2
     assert "mixed_status_orders" not in report

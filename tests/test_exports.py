@@ -22,14 +22,14 @@ def imported(spark):
 
 def test_fixture_metrics(spark, imported):
     done = workflow.analyze(imported.orders, granularity="日")
-    assert plain(done["summary"]) == [(2, 1, 3, 1487.0, 743.5)]
-    assert plain(done["trend"]) == [("2026-07-01", 1, 1399.0, 1), ("2026-07-03", 1, 88.0, 1)]
-    assert plain(metrics.gmv_change(done["trend"]).select("change_text")) == [("-93.7%",)]
-    assert plain(metrics.gmv_trend(imported.orders)) == [("2026-07", 2, 1487.0, 1)]
+    assert plain(done["summary"]) == [(2, 1, 3, 2320.0, 1160.0)]
+    assert plain(done["trend"]) == [("2025-03-05", 1, 2230.0, 1), ("2025-03-08", 1, 90.0, 1)]
+    assert plain(metrics.gmv_change(done["trend"]).select("change_text")) == [("-96.0%",)]
+    assert plain(metrics.gmv_trend(imported.orders)) == [("2025-03", 2, 2320.0, 1)]
     assert plain(metrics.recommended_granularity(imported.orders)) == [("日",)]
-    assert plain(done["categories"]) == [("未分类", 2, 1487.0, 4.0)]
-    assert plain(done["users"]) == [("U001", "未知", "上海", 2, 1487.0)]
-    assert plain(done["repurchase"]) == [("未知", 1, 2.0, 1487.0, 100.0)]
+    assert plain(done["categories"]) == [("未分类", 2, 2320.0, 6.0)]
+    assert plain(done["users"]) == [("U31", "未知", "杭州", 2, 2320.0)]
+    assert plain(done["repurchase"]) == [("未知", 1, 2.0, 2320.0, 100.0)]
     assert [(r[0], r[1], round(r[2], 2)) for r in plain(done["order_status"])] == [
         ("completed", 2, 66.67), ("refunded", 1, 33.33)]
     assert plain(done["high_value_orders"]) == []
