@@ -258,15 +258,15 @@ FROM raw r LEFT JOIN dims_users u ON r.user_id = u.user_id)"""
     keys = ", ".join(_KEYS)
     sums = ", ".join(f"sum({c}) AS {c}" for c in (
         "n_bad_quantity", "n_bad_price", "n_bad_amount", "n_quantity", "n_payment", "n_city", "n_category"))
-    unique = f"""uniq AS (SELECT {keys}, min(is_anomaly) AS is_anomaly, count(*) AS copies, {sums}
+    unique = f"""uniq AS MATERIALIZED (SELECT {keys}, min(is_anomaly) AS is_anomaly, count(*) AS copies, {sums}
 FROM valued GROUP BY {keys})"""
     dated = f"""named AS (SELECT *, {S.name('status')} AS status_name FROM uniq),
-dated AS (SELECT * EXCLUDE (order_date), {S.normalised_status('status_name')} AS status_norm,
+dated AS MATERIALIZED (SELECT * EXCLUDE (order_date), {S.normalised_status('status_name')} AS status_norm,
   {S.timestamp('order_date', YEAR)} AS order_date FROM named)"""
     priced = """priced AS (SELECT d.* REPLACE (COALESCE(d.unit_price, p.price) AS unit_price),
   CAST(d.unit_price IS NULL AND p.price IS NOT NULL AS INT) AS n_priced
 FROM dated d LEFT JOIN dims_products p ON d.product_id = p.product_id WHERE d.order_date IS NOT NULL)"""
-    amounts = f"""amounts AS (SELECT * REPLACE (
+    amounts = f"""amounts AS MATERIALIZED (SELECT * REPLACE (
   COALESCE(total_amount, quantity * unit_price, 0.0) AS total_amount,
   CASE WHEN COALESCE(total_amount, quantity * unit_price) IS NULL THEN 1.0 ELSE is_anomaly END AS is_anomaly),
   CAST(total_amount IS NULL AND quantity * unit_price IS NOT NULL AS INT) AS n_computed,
@@ -274,8 +274,8 @@ FROM dated d LEFT JOIN dims_products p ON d.product_id = p.product_id WHERE d.or
     limits = """limits AS (SELECT COALESCE(CASE WHEN count(*) >= 2 AND stddev_samp(quantity) > 0
   THEN greatest(CAST(round_even(avg(quantity) + 3 * stddev_samp(quantity), 0) AS DOUBLE), 10.0) END, 20.0) AS threshold
 FROM amounts WHERE quantity > 0)"""
-    flagged = """abnormal AS (SELECT *, COALESCE(quantity <= 0 OR quantity > (SELECT threshold FROM limits)
-  OR COALESCE(unit_price < 0, FALSE) OR total_amount < 0, FALSE) AS odd FROM amounts),
+    flagged = """abnormal AS (SELECT amounts.*, COALESCE(quantity <= 0 OR quantity > threshold
+  OR COALESCE(unit_price < 0, FALSE) OR total_amount < 0, FALSE) AS odd FROM amounts CROSS JOIN limits),
 flagged AS (SELECT * REPLACE (CASE WHEN odd THEN 1 ELSE CAST(trunc(is_anomaly) AS INT) END AS is_anomaly) FROM abnormal)"""
     return [valued, unique, dated, priced, amounts, limits, flagged]
 
