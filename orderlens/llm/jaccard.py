@@ -12,7 +12,7 @@ Documents with equal n-gram sets form one class; all later work is on classes.
    already need no further comparison, so a group of thousands of near copies costs some comparisons per
    class. What is left, pairs of different components, is compared in full.
 4. The ordered n-grams of a pair are cut into fragments again; overlaps are counted per fragment and
-   summed per pair.
+   summed per pair. The prefixes are counted first, and a pair that shares too little of them ends there.
 """
 
 from __future__ import annotations
@@ -242,6 +242,26 @@ def _prefixes(percent: int):
     return choose
 
 
+def _needed(percent: int, size, other):
+    """The overlap that two sets of these sizes need."""
+    return F.ceil(percent * (F.col(size) + F.col(other)) / F.lit(100.0 + percent) - 1e-9)
+
+
+def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Of the ``pairs`` (a, b), those whose prefixes, the first fragment of the order, share enough.
+
+    Of the overlap needed, at most the n-grams behind the prefix can be missing from it, and what is common within
+    the prefix that ends first lies in the other one too.
+    """
+    def heads(end):
+        return classes.select(F.col("set").alias(end), F.col("size").alias(f"size_{end}"), F.col("prefix").alias(f"prefix_{end}"),
+                              (F.col("size") - F.col("alone") - F.size("prefix")).alias(f"behind_{end}"))
+
+    both = pairs.join(heads("a"), "a").join(heads("b"), "b")
+    least = _needed(percent, "size_a", "size_b") - F.greatest("behind_a", "behind_b")
+    return both.filter(F.size(F.array_intersect("prefix_a", "prefix_b")) >= least).select("a", "b")
+
+
 def _links(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Of the ``pairs`` (a, b), those that reach the similarity: overlaps per part, summed."""
     def parts(end):
@@ -289,14 +309,14 @@ def similar(docs: DataFrame, *, percent: int = 75, words: int = WORDS, id: str =
             other = other.withColumn("seat", seat).groupBy("gram", "seat").agg(
                 F.min_by(F.struct("b", "size_b", "at_b", "component_b"), drawn).alias("l")).select("gram", "l.*").distinct()
         # Two sets with the overlap needed share an n-gram among those that either may lack, and one.
-        needed = F.ceil(percent * (F.col("size") + F.col("size_b")) / F.lit(100.0 + percent) - 1e-9)
+        needed = _needed(percent, "size", "size_b")
         fits = (F.col("component") != F.col("component_b")) & (F.least("size", "size_b") >= needed) & (
             F.col("at") <= F.col("size") - needed) & (F.col("at_b") <= F.col("size_b") - needed)
         met = open_.join(other, "gram").filter(fits & (F.col("set") != F.col("b")) if leaders else fits & (F.col("set") < F.col("b")))
         pairs = met.select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "jaccard-pairs")
+        pairs = stage(_promising(pairs, chosen, percent), "jaccard-pairs")
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.union(pairs)
