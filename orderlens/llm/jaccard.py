@@ -10,7 +10,8 @@ Documents with equal n-gram sets form one class; all later work is on classes.
 3. Candidates share a prefix n-gram, with sizes and positions in the order that allow the similarity. Inside the list of
    one n-gram every class first meets one leader, then a few others; classes that links have joined
    already need no further comparison, so a group of thousands of near copies costs some comparisons per
-   class. What is left, pairs of different components, is compared in full.
+   class. Of what is left, pairs of different components, a share is compared first, and then all
+   that are still apart.
 4. The ordered n-grams of a pair are cut into fragments again; overlaps are counted per fragment and
    summed per pair. The prefixes are counted first, and a pair that shares too little of them ends there.
 """
@@ -26,7 +27,8 @@ from .components import connected
 WORDS = 5
 PER_FRAGMENT = 3_000_000  # n-grams that one task of step 1 or 2 holds, about
 PARTS = 4  # fragments in which the overlap of a pair is counted
-LEADERS = (1, 8, 8, None)  # per n-gram and turn; in the last turn all that is left is compared
+LEADERS = (1, 8, 8, None)  # per n-gram and turn; in the last turn all pairs that are left are listed
+FIRST = 4  # in the last turn one pair of so many is compared before the others, which their links may settle
 _CHUNK = 1 << 22  # bytes of text hashed at once
 _LOW = (1 << 48) - 1
 
@@ -262,6 +264,14 @@ def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.size(F.array_intersect("prefix_a", "prefix_b")) >= least).select("a", "b")
 
 
+def _apart(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs whose sets lie in different components."""
+    for end in ("a", "b"):
+        named = names.select(F.col("node").alias(end), F.col("component").alias(f"component_{end}"))
+        pairs = pairs.join(named, end, "left")
+    return pairs.filter(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).drop("component_a", "component_b")
+
+
 def _links(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Of the ``pairs`` (a, b), those that reach the similarity: overlaps per part, summed."""
     def parts(end):
@@ -317,12 +327,16 @@ def similar(docs: DataFrame, *, percent: int = 75, words: int = WORDS, id: str =
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(_promising(pairs, chosen, percent), "jaccard-pairs")
-        if pairs.isEmpty():
-            continue
         tried = pairs if tried is None else tried.union(pairs)
-        found = stage(_links(pairs, chosen, percent), "jaccard-links")
-        links = found if links is None else links.union(found)
-        names = connected(links)
+        for early in (False,) if leaders else (True, False):
+            if pairs.isEmpty():
+                break
+            now = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(FIRST)) == 0) if early else pairs
+            found = stage(_links(now, chosen, percent), "jaccard-links")
+            links = found if links is None else links.union(found)
+            names = connected(links)
+            if early:
+                pairs = stage(_apart(pairs.join(now, ["a", "b"], "left_anti"), names), "jaccard-left")
     ids = classes.select("set", "check", "first")
     if names is not None:
         ids = ids.join(names, F.col("set") == F.col("node"), "left")
