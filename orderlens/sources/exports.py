@@ -2,11 +2,13 @@
 
 The raw lines are written once as a table of (file, block, line, bytes). Position and bytes
 are data from then on, so every later step sees the same rows, large files stay split, and
-the header search reads only the leading blocks.
+the header search reads only the blocks that hold the first filled lines. The lines are split into
+cells once, into a second written table; counts and filled columns come from that one.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,10 +23,18 @@ from ..operators.matching import suggested_mapping, unique_names
 from ..operators.staging import stage
 from ..plans.clean import ROW
 
-HEAD_BYTES = 8 * 1024 * 1024   # the search window lies within the first bytes of a file
-_LINE_BITS = 40                # a row position is the file number and the offset in the file
+_LINE_BITS = 44      # a row position is the file number and the offset in the file, up to 16 TiB
+_NAMED = 20          # so many files are named in an error
 _UTF8 = vocab.ENCODINGS[0]
-_SAMPLE_ROWS = 1000
+_BOM = chr(0xFEFF)
+
+
+def _blank_line() -> str:
+    """Pattern of lines whose cells are all empty, blank or words for a missing value, whatever the delimiter."""
+    marks = "".join("\\t" if mark == "\t" else f"\\{mark}" for mark in vocab.DELIMITERS)
+    words = "|".join(re.escape(word) for word in sorted(vocab.MISSING_CELLS, key=len, reverse=True) if word)
+    cell = rf'[^\S\t]*+"?+[^\S\t]*+(?:{words})?+[^\S\t]*+"?+[^\S\t]*+'
+    return rf"^{_BOM}?+{cell}(?:[{marks}]{cell})*+$"
 
 
 @dataclass(frozen=True)
@@ -77,6 +87,7 @@ def land_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
          + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("line"),
         F.col("value").cast("binary").alias("bytes"),
         F.is_valid_utf8("value").alias("utf8"),
+        (~F.col("value").rlike(_blank_line())).alias("filled"),
     )
     return stage(lines.filter(F.length(F.trim(F.col("bytes").cast("string"))) > 0), "lines")
 
@@ -100,22 +111,33 @@ def detect_encodings(lines: DataFrame) -> DataFrame:
 
 
 def decode_lines(lines: DataFrame, encodings: DataFrame, only_utf8: bool) -> DataFrame:
-    """Lines as text. UTF-8 needs no Python; other encodings are decoded in Arrow batches."""
-    text = F.replace(F.col("bytes").cast("string"), F.lit("﻿"), F.lit(""))
+    """Lines as text. UTF-8 needs no Python; other encodings are decoded in Arrow batches.
+
+    A byte order mark is removed where it starts a line, as in files that were joined together.
+    """
+    text = F.regexp_replace(F.col("bytes").cast("string"), f"^{_BOM}", "")
     if only_utf8:
-        return lines.select("file", "block", "line", text.alias("text"))
+        return lines.select("file", "block", "line", "filled", text.alias("text"))
     known = join_dimension(lines, encodings.filter(F.col("encoding").isNotNull()), "file", "inner")
-    plain = known.filter(F.col("encoding") == _UTF8).select("file", "block", "line", text.alias("text"))
+    plain = known.filter(F.col("encoding") == _UTF8).select("file", "block", "line", "filled", text.alias("text"))
     foreign = known.filter(F.col("encoding") != _UTF8).select(
-        "file", "block", "line", _decoder()("bytes", "encoding").alias("text"))
+        "file", "block", "line", "filled", _decoder()("bytes", "encoding").alias("text"))
     return plain.unionAll(foreign)
 
 
 def leading_lines(lines: DataFrame, rows: int = vocab.HEADER_SEARCH_ROWS) -> DataFrame:
-    """First lines of every file. The limit applies within each task before any shuffle."""
+    """First filled lines of every file.
+
+    Counts per block tell how far a file must be read; the limit then applies within each task before any shuffle.
+    """
+    filled = lines.filter("filled")
+    blocks = filled.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines"))
+    before = F.sum("lines").over(Window.partitionBy("file").orderBy("block")) - F.col("lines")
+    until = blocks.withColumn("_before", before).filter(F.col("_before") < rows).groupBy("file").agg(
+        F.max("block").alias("_until"))
+    head = join_dimension(filled, until, "file", "inner").filter(F.col("block") <= F.col("_until"))
     order = Window.partitionBy("file").orderBy("line")
-    return lines.filter(F.col("block") < HEAD_BYTES).withColumn(
-        "_n", F.row_number().over(order)).filter(F.col("_n") <= rows).drop("_n")
+    return head.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= rows).drop("_n", "_until", "filled")
 
 
 def _standard_names(names: Column) -> Column:
@@ -142,20 +164,18 @@ def _describe(lines: DataFrame, encodings: DataFrame, delimiter: str | None) ->
         "header_row", "matched_fields", "width", unique_names(padded).alias("names"))
 
 
-def _drop_empty_columns(rows: DataFrame, names: list[str]) -> list[str]:
-    """Names of the columns that hold any value.
+def _refuse(files: DataFrame, reason: str) -> None:
+    """Raise an error that names ``files``, if there are any."""
+    named = [row["file"] for row in files.select("file").distinct().orderBy("file").limit(_NAMED + 1).collect()]
+    if named:
+        more = " and others" if len(named) > _NAMED else ""
+        raise ValueError(f"{reason}: {', '.join(named[:_NAMED])}{more}")
 
-    A sample settles most columns; only those empty in the sample are tested on all rows.
-    """
-    def filled(df: DataFrame, columns: list[str]) -> set[str]:
-        if not columns:
-            return set()
-        counts = df.agg(*[F.count(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).first()
-        return {c for i, c in enumerate(columns) if counts[i]}
 
-    present = filled(rows.limit(_SAMPLE_ROWS), names)
-    present |= filled(rows, [c for c in names if c not in present])
-    return [c for c in names if c in present]
+def _filled_columns(rows: DataFrame, names: list[str]) -> list[str]:
+    """Names of the columns that hold any value."""
+    counts = rows.agg(F.count(F.lit(1)), *[F.count(f"`{c}`") for c in names]).first()
+    return [c for c, count in zip(names, counts[1:]) if count]
 
 
 def load_order_exports(spark: SparkSession, paths: str | list[str], *, encoding: str | None = None,
@@ -164,8 +184,11 @@ def load_order_exports(spark: SparkSession, paths: str | list[str], *, encoding:
 
     Files may differ in all of these; their rows are lined up by column name. ``encoding``
     and ``delimiter`` replace detection. ``standard_names`` maps the columns of every file
-    to standard fields before they are lined up, for files whose names differ. The rows carry their position, so that cleaning can
-    keep the first of identical lines.
+    to standard fields before they are lined up, for files whose names differ; of several columns with one name, the
+    leftmost value of a row counts. The rows carry their position, so that cleaning can keep the first of identical lines.
+
+    Lines with more cells than the header are left out and counted per file as ``malformed_lines``. Files that no
+    known encoding reads, that hold no filled line, or that have line breaks inside quoted cells are refused by name.
     """
     landed = land_lines(spark, paths)
     if encoding:
@@ -175,37 +198,55 @@ def load_order_exports(spark: SparkSession, paths: str | list[str], *, encoding:
     used = {row["encoding"] for row in encodings.select("encoding").distinct().collect()}
     if not used:
         raise ValueError("the files hold no lines")
-    if None in used:
-        raise ValueError("a file is in none of the known encodings; name its encoding")
+    _refuse(encodings.filter("encoding IS NULL"), "in none of the known encodings; name the encoding of")
     lines = decode_lines(landed, encodings, used <= {_UTF8, "utf-8"})
     files = _describe(lines, encodings, delimiter)
     placed_names = _standard_names(F.col("names")) if standard_names else F.col("names")
     files = stage(files.withColumn("columns", placed_names), "files")
+    _refuse(encodings.join(files, "file", "left_anti"), "no filled line, so no header, in")
 
     # Distinct column names over all files, in order of first appearance.
     listed = files.select("file_number", F.posexplode("columns").alias("slot", "name"))
     first = listed.groupBy("name").agg(F.min(F.struct("slot", "file_number")).alias("at"))
     names = [row["name"] for row in first.orderBy("at", "name").select("name").collect()]
     wanted = F.array(*[F.lit(name) for name in names])
+
+    def slots(name: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size("columns") - 1), lambda i: F.get("columns", i) == name)
+
     layout = files.select("file", "file_number", "delimiter", "header_position", "width", "names",
-                          F.transform(wanted, lambda n: F.array_position("columns", n).cast("int")).alias("slots"))
+                          F.transform(wanted, slots).alias("slots"))
 
     body = join_dimension(lines, layout, "file", "inner").filter(F.col("line") > F.col("header_position"))
     body = body.withColumn("cells", split_cells(F.col("text"), F.col("delimiter")))
-    body = body.filter((F.size("cells") <= F.col("width")) & F.exists("cells", lambda cell: cell.isNotNull()))
+    body = body.filter(F.exists("cells", lambda cell: cell.isNotNull()))
+    # A quoted cell without its closing quote: the line goes on in the next one.
+    quotes = F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit("")))
+    broken = (quotes % 2 == 1) & F.exists("cells", lambda cell: F.coalesce(cell.startswith('"'), F.lit(False)))
     same_text = F.forall(F.zip_with("names", "cells", lambda name, cell: (
         name.startswith(vocab.UNNAMED_COLUMN) | strip(F.coalesce(cell, F.lit(""))).eqNullSafe(name))), lambda same: same)
     some_name = F.exists("names", lambda name: ~name.startswith(vocab.UNNAMED_COLUMN))
-    columns = [F.get("cells", F.get("slots", F.lit(i)) - 1).alias(name) for i, name in enumerate(names)]
-    placed = body.select(
-        F.shiftleft("file_number", _LINE_BITS).bitwiseOR(F.col("line")).alias(ROW), "file",
-        (same_text & some_name).alias("_repeat"), *columns)
-    kept = _drop_empty_columns(placed.select(*[F.col(f"`{c}`") for c in names]), names)
-    data = placed.filter(~F.col("_repeat"))
-    rows = data.select(ROW, *[F.col(f"`{c}`") for c in kept])
-    counts = data.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+    malformed = F.size("cells") > F.col("width")
+
+    def value(i: int) -> Column:
+        found = F.filter(F.transform(F.get("slots", F.lit(i)), lambda slot: F.get("cells", slot)), lambda cell: cell.isNotNull())
+        return F.when(~malformed, F.get(found, F.lit(0))).alias(names[i])
+
+    fits = F.col("line") < (1 << _LINE_BITS)
+    position = F.when(fits, F.shiftleft("file_number", _LINE_BITS).bitwiseOR(F.col("line"))).otherwise(
+        F.raise_error(F.concat(F.lit("too large: "), "file")))
+    placed = stage(body.select(
+        position.alias(ROW), "file", broken.alias("_broken"), malformed.alias("_malformed"),
+        (~malformed & same_text & some_name).alias("_repeat"), *[value(i) for i in range(len(names))]), "rows")
+    _refuse(placed.filter("_broken"), "a line break inside a quoted cell, or an unclosed quote, in")
+    kept = _filled_columns(placed, names)
+    rows = placed.filter("NOT _malformed AND NOT _repeat").select(ROW, *[F.col(f"`{c}`") for c in kept])
+    counts = placed.groupBy("file").agg(
+        F.count_if(~F.col("_malformed") & ~F.col("_repeat")).alias("rows"),
+        F.count_if(F.col("_malformed")).alias("malformed_lines"))
     facts = files.join(counts, "file", "left").select(
         "file", F.lit("CSV").alias("file_type"), "encoding", F.lit(None).cast("string").alias("sheet"),
         "delimiter", "header_row", F.coalesce("rows", F.lit(0)).alias("rows"),
+        F.coalesce("malformed_lines", F.lit(0)).alias("malformed_lines"),
         F.size(F.array_intersect("columns", F.array(*[F.lit(c) for c in kept]))).alias("columns"))
     return Export(rows, facts)

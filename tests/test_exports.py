@@ -95,6 +95,60 @@ def test_empty_columns_rows_and_overlong_lines(spark, tmp_path):
     assert rows == [("A1", "5", None), ("A3", "7", "z")]
 
 
+def test_overlong_lines_are_counted(spark, tmp_path):
+    text = "订单号,实付金额\nA1,5\nA2,6,x,y\nA3,7\n"
+    facts = load_order_exports(spark, write(tmp_path, "o.csv", text)).files.first()
+    assert (facts["rows"], facts["malformed_lines"]) == (2, 1)
+
+
+@pytest.mark.parametrize("blank", [",", '""', "NULL,", " , ", '"",NaN'])
+def test_blank_lines_do_not_use_up_the_search_window(spark, tmp_path, blank):
+    text = (blank + "\n") * 45 + "订单号,实付金额\nB1,7\n" + (blank + "\n") * 3 + "B2,8\n"
+    columns, rows = rows_of(load_order_exports(spark, write(tmp_path, "o.csv", text)))
+    assert columns == ["订单号", "实付金额"]
+    assert [row for row in rows if (row[0] or "").strip()] == [("B1", "7"), ("B2", "8")]
+
+
+def test_header_behind_many_empty_splits(spark, tmp_path):
+    path = write(tmp_path, "o.csv", "\n" * 200_000 + "订单号,实付金额\nB1,7\nB2,8\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        assert rows_of(load_order_exports(spark, path)) == (["订单号", "实付金额"], [("B1", "7"), ("B2", "8")])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_files_that_cannot_be_read_are_named(spark, tmp_path):
+    write(tmp_path, "good.csv", "订单号,实付金额\nA1,5\n")
+    (tmp_path / "odd.csv").write_bytes(b"a,b\n\xff\xff\xff,1\n")
+    with pytest.raises(ValueError, match="odd.csv"):
+        load_order_exports(spark, str(tmp_path))
+    (tmp_path / "odd.csv").write_bytes(b",,\n,,\n")
+    with pytest.raises(ValueError, match="odd.csv"):
+        load_order_exports(spark, str(tmp_path))
+    write(tmp_path, "odd.csv", '订单号,实付金额\nA1,"第一行\n第二行"\n')
+    with pytest.raises(ValueError, match="odd.csv"):
+        load_order_exports(spark, str(tmp_path))
+
+
+def test_quotes_that_are_closed_or_inside_a_cell_are_kept(spark, tmp_path):
+    text = '订单号,实付金额,备注\nA1,5,"a ""b"" c"\nA2,6,27" 屏\nA3,7,"""x"""\n'
+    _, rows = rows_of(load_order_exports(spark, write(tmp_path, "o.csv", text)))
+    assert [row[2] for row in rows] == ['a "b" c', '27" 屏', '"x"']
+
+
+def test_columns_with_one_name_are_merged(spark, tmp_path):
+    text = "订单号,order_id,实付金额\n,K1,5\nH2,K2,6\n"
+    export = load_order_exports(spark, write(tmp_path, "o.csv", text), standard_names=True)
+    assert plain(export.rows.orderBy("_row").select("order_id", "total_amount")) == [("K1", "5"), ("H2", "6")]
+
+
+def test_a_mark_inside_a_cell_stays(spark, tmp_path):
+    text = "\ufeff订单号,实付金额,备注\nA1,5,a\ufeffb\n"
+    columns, rows = rows_of(load_order_exports(spark, write(tmp_path, "o.csv", text)))
+    assert columns[0] == "订单号" and rows == [("A1", "5", "a\ufeffb")]
+
+
 def test_big5_needs_to_be_named(spark, tmp_path):
     path = write(tmp_path, "o.csv", "訂單,金額\nA1,測試\n", "big5")
     assert rows_of(load_order_exports(spark, path, encoding="big5", delimiter=",")) == (

@@ -92,7 +92,7 @@ def test_existence_tests_read_only_until_the_first_hit(spark):
 
 
 def test_header_search_limits_rows_before_the_shuffle(spark):
-    lines = spark.range(1000).selectExpr("concat('f', id % 3) AS file", "id AS line", "0 AS block", "'x' AS text")
+    lines = spark.range(1000).selectExpr("concat('f', id % 3) AS file", "id AS line", "0 AS block", "'x' AS text", "true AS filled")
     found = leading_lines(lines)
     assert "WindowGroupLimit" in plan_of(found)
     assert found.count() == 90

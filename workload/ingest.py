@@ -83,7 +83,7 @@ def _export_lines(spark, sf_dir):
 
 
 def detect_header(spark, sf_dir):
-    lines = _export_lines(spark, sf_dir).withColumn("block", F.lit(0))
+    lines = _export_lines(spark, sf_dir).withColumns({"block": F.lit(0), "filled": F.lit(True)})
     found = headers.choose_delimiters(leading_lines(lines), ["file"], "line", "text")
     return found.select("file", "delimiter", "header_row", "matched_fields", "width",
                         F.array_join("header_cells", "/").alias("header"))
