@@ -102,12 +102,18 @@ _EXPORT = {
 }
 
 
-def _write_export(spark, sf_dir, code: str, mark: str) -> str:
-    """Write the line items as delimited text; every file starts with titles and a header."""
+def _write_export(spark, sf_dir, code: str, mark: str, columns: dict[str, str] = _EXPORT,
+                  above: int = 0, more: tuple[str, ...] = ()) -> str:
+    """Write the line items as delimited text; every file starts with titles and a header.
+
+    ``above`` lines of delimiters stand before the titles. ``more`` are expressions over ``text`` and the columns
+    of the line item that give a further line or NULL.
+    """
     quoted = [f"CASE WHEN contains({e}, '{mark}') OR contains({e}, '\"') THEN concat('\"', replace({e}, '\"', '\"\"'), '\"') ELSE {e} END"
-              for e in _EXPORT.values()]
-    lines = table(spark, sf_dir, "lineitem").selectExpr(f"concat_ws('{mark}', {', '.join(quoted)}) AS text")
-    head = ["订单明细导出", "统计周期" + mark + "全部", mark.join(_EXPORT)]
+              for e in columns.values()]
+    lines = table(spark, sf_dir, "lineitem").selectExpr("*", f"concat_ws('{mark}', {', '.join(quoted)}) AS text").selectExpr(
+        f"explode(filter(array({', '.join(['text', *more])}), line -> line IS NOT NULL)) AS text")
+    head = [mark * 3] * above + ["订单明细导出", "统计周期" + mark + "全部", mark.join(columns)]
 
     def encode(batches):
         first = True
@@ -141,6 +147,30 @@ def export_files(spark, sf_dir):
         F.sum("rows").alias("rows"))
 
 
+_TWICE = {
+    "订单号": "CASE WHEN l_orderkey % 2 = 0 THEN '' ELSE concat('H', CAST(l_orderkey AS STRING)) END",
+    "order_id": "concat('K', CAST(l_orderkey AS STRING))",
+    "实付金额": _EXPORT["成交件数"],
+}
+
+
+def load_padded_exports(spark, sf_dir):
+    """Empty lines above the header and in between, and lines with too many cells."""
+    folder = _write_export(spark, sf_dir, "utf-8", ",", above=40, more=(
+        "CASE WHEN l_linenumber = 2 THEN ',,,' END", "CASE WHEN l_linenumber = 3 THEN concat(text, ',多,余') END"))
+    export = load_order_exports(spark, folder)
+    rows = export.rows.groupBy(F.col("交易状态").alias("what")).agg(
+        F.count(F.lit(1)).alias("lines"), F.count_distinct("商家订单编号").alias("orders"))
+    facts = export.files.groupBy("header_row").agg(F.sum("malformed_lines").alias("lines"))
+    return rows.unionAll(facts.select(F.lit("malformed"), "lines", F.col("header_row").cast("bigint")))
+
+
+def load_same_field_twice(spark, sf_dir):
+    """Two columns that stand for one field: the leftmost value of every row counts."""
+    rows = load_order_exports(spark, _write_export(spark, sf_dir, "utf-8", ",", _TWICE), standard_names=True).rows
+    return rows.select("order_id", "total_amount")
+
+
 def import_and_summarise(spark, sf_dir):
     """The whole way from text files to the KPI summary."""
     export = load_order_exports(spark, _write_export(spark, sf_dir, "utf-8", ","))
@@ -159,7 +189,7 @@ def result_payload(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     match_scores, suggest_mapping, unique_column_names, detect_header, load_exports, load_mixed_exports,
-    export_files, import_and_summarise, result_payload)}
+    export_files, load_padded_exports, load_same_field_twice, import_and_summarise, result_payload)}
 
 # --- SQL checks -------------------------------------------------------------------------------------------
 _FIELD_ROWS = ", ".join(f"({i}, '{field}')" for i, field in enumerate(vocab.STANDARD_FIELDS))
@@ -214,6 +244,11 @@ FROM (SELECT [trim({_HEADER[0]}), '未命名列_2', trim({_HEADER[0]}), trim({_H
   2 * count(*) AS lines, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY 1, 2""",
     "export_files": """SELECT 'CSV' AS file_type, 'gb18030' AS encoding, '|' AS delimiter, 3 AS header_row, 8 AS columns,
   count(*) AS "rows" FROM lineitem""",
+    "load_padded_exports": f"""SELECT {_EXPORT_SQL['交易状态']} AS what, count(*) AS lines, count(DISTINCT l_orderkey) AS orders
+FROM lineitem GROUP BY 1
+UNION ALL SELECT 'malformed', count(*), 3 FROM lineitem WHERE l_linenumber = 3""",
+    "load_same_field_twice": """SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'K' ELSE 'H' END || CAST(l_orderkey AS VARCHAR) AS order_id,
+  CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS total_amount FROM lineitem""",
     "import_and_summarise": f"""WITH lines AS (SELECT DISTINCT {_EXPORT_SQL['商家订单编号']} AS order_id, {_EXPORT_SQL['买家UID']} AS user_id,
     {_EXPORT_SQL['商品标题']} AS product_id, l_shipdate, l_quantity, l_returnflag, {_EXPORT_SQL['备注']} AS remark,
     CASE WHEN l_linenumber = 1 THEN floor(l_extendedprice) + 0.5 ELSE floor(l_extendedprice) END AS amount FROM lineitem)
