@@ -289,7 +289,8 @@ def similar(docs: DataFrame, *, percent: int = 75, words: int = WORDS, id: str =
     Two rows link if the Jaccard similarity of their sets of ``words``-grams is at least ``percent`` hundredths. A
     text with fewer words has one n-gram, its whole sequence; a null text or one without words has none and links with
     nothing. Equal rows are linked copies. ``component_id`` is the smallest id reachable by links; a null id is
-    never the smallest. An empty table gives an empty table. N-grams are told apart by 63-bit hashes.
+    never the smallest. An empty table gives an empty table. N-grams are told apart by hashes of 51 bits for a few million n-grams,
+    and of up to 62 bits as their number, and so that of the fragments, grows.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
