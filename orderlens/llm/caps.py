@@ -8,7 +8,8 @@ order end where even the best word of the other half cannot reach the threshold.
 
 Vectors that share a filter are verified by their cosine. The code grows with the number of vectors, so
 buckets keep their size; the threshold is set on random pairs at the required cosine so that the
-wanted share of them meets in a filter.
+wanted share of them meets in a filter. Several independent codes share the work, so that this holds for
+the pairs of a single tight group too and not only on average over groups.
 """
 
 from __future__ import annotations
@@ -20,53 +21,84 @@ from orderlens.operators.staging import stage
 from .components import connected
 
 TILE = 512  # vectors of one side of a tile
+CODES = 16  # independent codes, each with a share of the filters
 
 
 class Code:
-    """A product code for vectors of one length. Everything follows from the arguments and the seed."""
+    """``CODES`` independent product codes for vectors of one length. Everything follows from the arguments and the seed.
 
-    def __init__(self, dim: int, words: int, cosine: float, found: float, seed: int = 7):
+    Vectors of one tight group see the same few filters of a code, so their misses are shared. The codes have rotations
+    and words of their own, so a group that one code serves badly is found by the others. ``threshold`` is measured
+    unless it is given.
+    """
+
+    def __init__(self, dim: int, words: int, cosine: float, found: float, threshold: float | None = None, seed: int = 7):
         import numpy as np
 
-        draw = np.random.default_rng([seed, dim, words])
-        self.half, self.words = max(1, dim // 2), words
-        self.rotation = np.linalg.qr(draw.standard_normal((dim, dim)))[0]
+        self.half, self.words, self.turns = max(1, dim // 2), words, []
         unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-        self.codes = [unit(draw.standard_normal((words, n))) for n in (self.half, dim - self.half) if n]
-        pairs = unit(draw.standard_normal((400, dim)))
-        side = draw.standard_normal((400, dim))
-        side = unit(side - (side * pairs).sum(1, keepdims=True) * pairs) if dim > 1 else pairs
-        self.threshold = self._threshold(pairs, unit(cosine * pairs + (1 - cosine ** 2) ** 0.5 * side), found)
-
-    def scores(self, unit):
-        turned = unit @ self.rotation
-        return [part @ code.T for part, code in zip((turned[:, :self.half], turned[:, self.half:]), self.codes)]
+        for number in range(CODES):
+            draw = np.random.default_rng([seed, dim, words, number])
+            rotation = np.linalg.qr(draw.standard_normal((dim, dim)))[0]
+            self.turns.append((rotation, [unit(draw.standard_normal((words, n))) for n in (self.half, dim - self.half) if n]))
+        if threshold is None:
+            pairs = unit(draw.standard_normal((25 * CODES, dim)))
+            side = draw.standard_normal(pairs.shape)
+            side = unit(side - (side * pairs).sum(1, keepdims=True) * pairs) if dim > 1 else pairs
+            threshold = self._threshold(pairs, unit(cosine * pairs + (1 - cosine ** 2) ** 0.5 * side), 1 - (1 - found) ** (1 / CODES))
+        self.threshold = threshold
+
+    def scores(self, unit, number: int):
+        rotation, codes = self.turns[number]
+        turned = unit @ rotation
+        return [part @ code.T for part, code in zip((turned[:, :self.half], turned[:, self.half:]), codes)]
 
     def _threshold(self, one, other, found: float) -> float:
-        """The threshold at which the share ``found`` of the pairs has a filter that both pass."""
+        """The threshold at which the share ``found`` of the pairs, dealt over the codes, has a filter that both pass."""
         import numpy as np
 
-        first, second, meets = self.scores(one), self.scores(other), []
-        for p in range(len(one)):
-            best = [np.argsort(-(a[p] + b[p]))[:64] for a, b in zip(first, second)]
-            sums = [np.add.outer(*[s[p][w] for s, w in zip(side, best)]) if len(best) == 2 else side[0][p][best[0]] for side in (first, second)]
-            meets.append(np.minimum(*sums).max())
+        meets = []
+        for number in range(CODES):
+            first, second = self.scores(one[number::CODES], number), self.scores(other[number::CODES], number)
+            for p in range(len(first[0])):
+                best = [np.argsort(-(a[p] + b[p]))[:64] for a, b in zip(first, second)]
+                sums = [np.add.outer(*[s[p][w] for s, w in zip(side, best)]) if len(best) == 2 else side[0][p][best[0]] for side in (first, second)]
+                meets.append(np.minimum(*sums).max())
         return float(np.quantile(meets, 1 - found))
 
     def decode(self, unit):
-        """For every vector the sorted numbers of all filters it passes; its best filter if it passes none."""
+        """For every vector the sorted numbers of all filters it passes; of a code none of which it passes, its best filter."""
+        import numpy as np
+
+        each = [self._decode(unit, number) for number in range(CODES)]
+        for passed in zip(*each):
+            yield np.concatenate([p + number * self.words ** 2 for number, p in enumerate(passed)])
+
+    def _decode(self, unit, number: int):
         import numpy as np
 
-        scores = self.scores(unit)
-        for row in range(len(unit)):
-            if len(scores) == 1:
-                yield np.flatnonzero(scores[0][row] >= min(self.threshold, scores[0][row].max()))
-                continue
-            a, b = scores[0][row], scores[1][row]
-            threshold = min(self.threshold, a.max() + b.max())
-            left, right = np.flatnonzero(a + b.max() >= threshold), np.flatnonzero(b + a.max() >= threshold)
-            i, j = np.nonzero(np.add.outer(a[left], b[right]) >= threshold)
-            yield np.sort(left[i] * self.words + right[j]) if len(i) else np.array([a.argmax() * self.words + b.argmax()])
+        scores = self.scores(unit, number)
+        if len(scores) == 1:
+            return [np.flatnonzero(s >= min(self.threshold, s.max())) for s in scores[0]]
+        tops = [s.max(1, keepdims=True) for s in scores]
+        threshold = np.minimum(self.threshold, tops[0] + tops[1])
+        (row, left), (rows, right) = np.nonzero(scores[0] + tops[1] >= threshold), np.nonzero(scores[1] + tops[0] >= threshold)
+        begin, end = np.searchsorted(rows, row), np.searchsorted(rows, row, "right")
+        passed = []
+        starts = np.searchsorted(row, np.arange(len(unit) + 1))
+        pairs = np.r_[0, np.cumsum(end - begin)][starts]
+        at = 0
+        while at < len(unit):
+            till = max(at + 1, int(np.searchsorted(pairs, pairs[at] + (1 << 20), "right")) - 1)
+            some = slice(starts[at], starts[till])
+            many = end[some] - begin[some]
+            i = np.repeat(np.arange(starts[at], starts[till]), many)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + begin[i]
+            good = scores[0][row[i], left[i]] + scores[1][row[i], right[j]] >= threshold[row[i], 0]
+            i, j = i[good], j[good]
+            passed += np.split(left[i] * self.words + right[j], np.searchsorted(row[i], np.arange(at + 1, till)))
+            at = till
+        return passed
 
 
 def _units(vectors):
@@ -95,15 +127,16 @@ def verify(ids, counts, vectors, sides, current, cosine, code):
         return [], []
     linked = np.unique(a)
     before = [passed[passed < current] for passed in code.decode(units[linked])]
-    width = max(1, max(map(len, before)))
-    earlier = np.full((len(ids), width), -1, dtype=np.int64)
-    for row, passed in zip(linked, before):
-        earlier[row, :len(passed)] = passed
+    row = np.repeat(linked, [len(passed) for passed in before])
+    _, column, many = np.unique(np.concatenate(before), return_inverse=True, return_counts=True)
+    row, column = row[many[column] > 1], column[many[column] > 1]
+    column = np.unique(column, return_inverse=True)[1]
     first = np.ones(len(a), dtype=bool)
-    step = max(1, (1 << 22) // (width * width))
-    for at in range(0, len(a), step):
-        x, y = earlier[a[at:at + step]], earlier[b[at:at + step]]
-        first[at:at + step] = ~((x[:, :, None] == y[:, None, :]) & (x[:, :, None] >= 0)).any((1, 2))
+    for at in range(0, column.max(initial=-1) + 1, 4096):
+        some = (column >= at) & (column < at + 4096)
+        earlier = np.zeros((len(ids), min(4096, column.max() + 1 - at)), dtype=np.float32)
+        earlier[row[some], column[some] - at] = 1
+        first &= (earlier @ earlier.T)[a, b] == 0
     links = np.bincount(a[first], weights=counts[b[first]], minlength=len(ids)).astype(np.int64)
     label = np.arange(len(ids))
     while len(a):
@@ -123,7 +156,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.95, found: float =
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors``.
 
     Rows link if their cosine in double precision is at least ``cosine``; of the pairs just at it, the share
-    ``found`` is expected to be found, of nearer ones more, and none below it. Vectors that are null, empty, zero or
+    ``found`` is expected to be found, also within one tight group, of nearer ones more, and none below it. Vectors that are null, empty, zero or
     hold null or non-finite components link with nothing, as do vectors of different lengths. Equal vectors are one class
     with a number of copies, so copies are counted and never paired; rows that are equal altogether are copies
     too. A null id is no node: its row has no component unless its copies have one. An empty table gives an empty table.
@@ -138,14 +171,15 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.95, found: float =
         F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
     classes = stage(classes.withColumn("class", F.monotonically_increasing_id()), "cap-classes")
     sizes = {r["dim"]: r["count"] for r in classes.groupBy(F.size("vector").alias("dim")).count().collect()}
-    words = {dim: max(8, int(2 * n ** 0.5) + 1) for dim, n in sizes.items()}
+    words = {dim: max(8, int(2 * (n / CODES) ** 0.5) + 1) for dim, n in sizes.items()}
+    limits = {dim: Code(dim, words[dim], cosine, found).threshold for dim in sizes}
 
     kind = next(f for f in classes.schema.fields if f.name == "vector").dataType.elementType.simpleString()
     kind = kind if kind in ("float", "double") else "double"
 
     def code_of(codes, dim):
         if dim not in codes:
-            codes[dim] = Code(dim, words[dim], cosine, found)
+            codes[dim] = Code(dim, words[dim], cosine, found, limits[dim])
         return codes[dim]
 
     def decode(batches):
