@@ -28,13 +28,20 @@ def keep_known_languages(spark, docs, sf_dir):
 
 
 def keep_one_of_similar(spark, docs, sf_dir):
-    """Of every group of linked documents the one with the smallest id stays, and of equal rows one."""
-    found = stage(jaccard.similar(docs), "similar")
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Of every group of linked rows the one with the smallest id stays, and of equal rows one.
+
+    Rows are told apart by a key of their own, so repeated and null ids decide nothing but the order: a null id comes
+    last, and of equal ids any one row. Texts without words link with nothing; of those, rows of equal id and text are equal.
+    """
+    keyed = stage(docs.withColumn("_key", F.monotonically_increasing_id()), "similar-documents")
+    found = jaccard.similar(keyed, id="_key").select(F.col("doc_id").alias("_found"), "n_shingles", "component_id")
+    wordless = F.col("n_shingles") == 0
+    rows = found.join(keyed.select("_key", "doc_id", "text"), F.col("_found") == F.col("_key"))
+    kept = rows.groupBy(
+        F.when(~wordless, F.col("component_id")).alias("component"), F.when(wordless, F.col("doc_id")).alias("id"),
+        F.when(wordless, F.col("text")).alias("empty")).agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("least")).select("least._key")
+    return keyed.join(kept, "_key", "left_semi").select(docs.columns)
 
 
 def redact_personal_data(spark, docs, sf_dir):

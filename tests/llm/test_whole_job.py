@@ -2,6 +2,7 @@
 
 import numpy as np
 
+import corpus_pipeline
 from orderlens.llm import caps
 
 
@@ -20,3 +21,13 @@ def test_near_vectors_of_every_group_are_found(spark):
     assert (counted <= truth).all()
     recall = [counted[group == g].sum() / max(1, truth[group == g].sum()) for g in range(61) if truth[group == g].sum() >= 10]
     assert len(recall) > 50 and min(recall) >= 0.9, sorted(recall)[:5]
+
+
+def test_one_row_of_similar_stays_whatever_the_ids(spark):
+    words = lambda name, *more: " ".join([*(f"{name}{i}" for i in range(60)), *more])
+    rows = [(1, words("a")), (2, words("a", "x")), (2, words("b")), (None, words("a", "y")), (3, words("c")), (3, words("c", "z")),
+            (None, words("d")), (None, words("d", "z")), (4, words("d", "y")), (None, words("e")), (None, words("e", "x")), (5, ""), (5, ""), (6, ""), (7, None)]
+    kept = corpus_pipeline.keep_one_of_similar(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), None).collect()
+    groups = sorted((str(r["doc_id"]), (r["text"] or "-")[0]) for r in kept if r["text"])
+    assert groups == [("1", "a"), ("2", "b"), ("3", "c"), ("4", "d"), ("None", "e")]
+    assert sorted(str(r["doc_id"]) for r in kept if not r["text"]) == ["5", "6", "7"]
