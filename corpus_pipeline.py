@@ -16,8 +16,13 @@ ORACLE_SQL = None  # the trees, the kernel machine and the tokenizer have no SQL
 
 
 def keep_known_languages(spark, docs, sf_dir):
-    """Documents whose text has letters get a language; the others are rejected. A missing ``lang`` is filled in."""
+    """Documents whose text has letters get a language; the others are rejected. A missing ``lang`` is filled in.
+
+    If no text with letters is labelled, nothing can be learnt: ``lang`` stays null, and the same documents stay.
+    """
     model = language.fit(docs.select("doc_id", "text", "lang"))
+    if model is None:
+        return docs.filter(F.col("text").rlike(language.LETTER))
     inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     at = {name: f"c{i}" for i, name in enumerate(docs.columns)}
     rest = tuple(c for c in inner.columns if c != at["doc_id"])

@@ -15,7 +15,8 @@ ORDERS = 4
 BITS = 18
 LANDMARKS = 240
 TRAINING = 3000  # labelled rows in the fit, over all languages
-LONGEST = 20_000  # characters of a text in the fit; scored texts have no limit
+LONGEST = 20_000  # characters of a text in the fit, where a language has such texts; scored texts have no limit
+LETTER = r"\p{L}"
 _AT_ONCE = 32
 
 
@@ -64,25 +65,36 @@ class Presence:
 
 def kernel_map(texts, languages, landmarks: int, ridge: float):
     """(matrix of hash buckets by languages, names): scores are presence rows times the matrix, each divided by the root
-    of the number of n-grams in its row."""
+    of the number of n-grams in its row. A text may be given as bytes, the bits of its presence row."""
     import numpy as np
 
     names = sorted(set(languages))
     presence, kept = Presence(), []
-    for at in range(0, len(texts), _AT_ONCE):
-        rows, hashes = presence.rows(texts[at:at + _AT_ONCE])
-        kept += np.split(hashes, np.searchsorted(rows, np.arange(1, len(texts[at:at + _AT_ONCE]))))
-    filled = [i for i, h in enumerate(kept) if len(h)]
+    plain = [t for t in texts if not isinstance(t, bytes)]
+    for at in range(0, len(plain), _AT_ONCE):
+        rows, hashes = presence.rows(plain[at:at + _AT_ONCE])
+        kept += np.split(hashes, np.searchsorted(rows, np.arange(1, len(plain[at:at + _AT_ONCE]))))
+    order = iter(kept)
+    kept = [t if isinstance(t, bytes) else next(order) for t in texts]
+
+    def row(i):
+        return np.flatnonzero(np.unpackbits(np.frombuffer(kept[i], np.uint8))) if isinstance(kept[i], bytes) else kept[i]
+
+    filled = [i for i in range(len(kept)) if len(row(i))]
     if not filled:
         return np.zeros((1 << BITS, len(names)), np.float32), names
     by_language = [[i for i in filled if languages[i] == name] for name in names]
     turns = [i for turn in range(len(filled)) for found in by_language if turn < len(found) for i in [found[turn]]]
     chosen = turns[:landmarks]
-    base = np.zeros((1 << BITS, len(chosen)), np.float32)
+    # Only n-grams of landmarks have a row in the driver's matrix; all others share the last, which is zero.
+    used = np.unique(np.concatenate([row(i) for i in chosen]))
+    at = np.full(1 << BITS, len(used))
+    at[used] = np.arange(len(used))
+    base = np.zeros((len(used) + 1, len(chosen)), np.float32)
     for column, i in enumerate(chosen):
-        base[kept[i], column] = len(kept[i]) ** -0.5
-    kernel = np.array([base[kept[i]].sum(0) * len(kept[i]) ** -0.5 for i in filled], np.float64)
-    within = np.array([base[kept[i]].sum(0) * len(kept[i]) ** -0.5 for i in chosen], np.float64)
+        base[at[row(i)], column] = len(row(i)) ** -0.5
+    kernel = np.array([base[at[row(i)]].sum(0) * len(row(i)) ** -0.5 for i in filled], np.float64)
+    within = np.array([base[at[row(i)]].sum(0) * len(row(i)) ** -0.5 for i in chosen], np.float64)
     values, vectors = np.linalg.eigh(within)
     good = values > 1e-8 * values.max()
     nystroem = vectors[:, good] / np.sqrt(values[good])
@@ -92,29 +104,50 @@ def kernel_map(texts, languages, landmarks: int, ridge: float):
     weight = target @ (1 / np.maximum(1, target.sum(0)))
     left = (features * weight[:, None]).T @ features + ridge / len(filled) * np.eye(features.shape[1])
     weights = np.linalg.solve(left, (features * weight[:, None]).T @ target)
-    return base @ (nystroem @ weights).astype(np.float32), names
+    scores = np.zeros((1 << BITS, len(names)), np.float32)
+    scores[used] = base[:-1] @ (nystroem @ weights).astype(np.float32)
+    return scores, names
 
 
 def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", id: str = "doc_id", landmarks: int = LANDMARKS,
         training: int = TRAINING, ridge: float = 0.3):
     """Fit on at most about ``training`` rows of ``labelled``, an equal number for every language.
 
-    Rows without text or language are left out, and so are texts above ``LONGEST`` characters, so that the
-    driver's share has a bound. Which rows are taken follows from a hash of their ids.
+    Rows without letters or language are left out. So are texts above ``LONGEST`` characters, so that the driver's
+    share has a bound, unless a language has no shorter ones: then its rows are drawn from the long ones, which
+    executors turn into presence rows of a fixed length. Which rows are taken follows from a hash of their ids.
     """
-    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) <= LONGEST))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
-    if not counts:
+    rows = labelled.filter(F.col(text).rlike(LETTER) & F.col(lang).isNotNull())
+    short = F.length(text) <= LONGEST
+    found = rows.groupBy(lang).agg(F.count_if(short), F.count(F.lit(1))).collect()
+    if not found:
         return None
-    each, share = max(1, training // len(counts)), F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col(lang) == name, min(1.0, each / n)).otherwise(share)
+    each, share = max(1, training // len(found)), F.lit(0.0)
+    for name, some, n in found:
+        share = F.when((F.col(lang) == name) & (short if some else F.lit(True)), min(1.0, each / (some or n))).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.col(id).cast("string"), F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(drawn < share).select(F.col(text).alias("t"), F.col(lang).alias("l")).collect()
-    sample.sort(key=lambda r: (r["l"], r["t"]))
+    sampled = rows.filter(drawn < share).select(F.col(text).alias("t"), F.col(lang).alias("l"))
+    sample = sorted(map(tuple, sampled.filter(F.length("t") <= LONGEST).collect()), key=lambda r: (r[1], r[0]))
+    if not all(some for _, some, _ in found):
+        sample += sorted(map(tuple, sampled.filter(F.length("t") > LONGEST).mapInArrow(_presences, "t binary, l string").collect()), key=lambda r: (r[1], r[0]))
     if not sample:
         return None
-    return kernel_map([r["t"] for r in sample], [r["l"] for r in sample], landmarks, ridge)
+    return kernel_map([bytes(t) if isinstance(t, bytearray) else t for t, _ in sample], [name for _, name in sample], landmarks, ridge)
+
+
+def _presences(batches):
+    """Presence rows of texts, as bits, with their languages."""
+    import numpy as np
+    import pyarrow as pa
+
+    presence = Presence()
+    for batch in batches:
+        bits = []
+        for text in batch.column(0):
+            held = np.zeros(1 << BITS, bool)
+            held[presence.ids(text.as_py())] = True
+            bits.append(np.packbits(held).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(bits, pa.binary()), batch.column(1)], ["t", "l"])
 
 
 def identify(docs: DataFrame, model, *, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

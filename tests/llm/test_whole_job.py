@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from orderlens.llm import caps
+from orderlens.llm import caps, language
 
 
 def test_near_vectors_of_every_group_are_found(spark):
@@ -31,3 +31,22 @@ def test_one_row_of_similar_stays_whatever_the_ids(spark):
     groups = sorted((str(r["doc_id"]), (r["text"] or "-")[0]) for r in kept if r["text"])
     assert groups == [("1", "a"), ("2", "b"), ("3", "c"), ("4", "d"), ("None", "e")]
     assert sorted(str(r["doc_id"]) for r in kept if not r["text"]) == ["5", "6", "7"]
+
+
+KIND = "doc_id bigint, text string, lang string"
+
+
+def test_no_clean_text_is_lost_without_labels(spark):
+    for label in (None, "aa"):
+        bare = [(1, "some words", None), (2, "1234", None), (3, None, None), (4, "12", label), (None, "more words", None)]
+        kept = corpus_pipeline.keep_known_languages(spark, spark.createDataFrame(bare, KIND), None).collect()
+        assert sorted((str(r["doc_id"]), r["lang"]) for r in kept) == [("1", None), ("None", None)]
+
+
+def test_a_language_with_long_texts_only_is_learnt(spark):
+    long = [(10 + i, "der hund und die katze schlafen im haus " * 600, "de") for i in range(3)]
+    short = [(20 + i, f"the dog and the cat are sleeping in house {i}", "en") for i in range(3)]
+    asked = spark.createDataFrame([(1, "die katze und der hund", None), (2, "the cat and the dog", None)], KIND)
+    for rows, want in ((long + short, ["de", "en"]), (long, ["de", "de"])):
+        model = language.fit(spark.createDataFrame(rows, KIND))
+        assert [r["lang_pred"] for r in language.identify(asked, model).orderBy("doc_id").collect()] == want
