@@ -1,4 +1,7 @@
-"""Exact similarity join on word n-grams by vertical partitioning.
+"""Exact similarity join on word n-grams by prefixes, with n-grams dealt by hash.
+
+The fragments below are hash parts of the n-gram space, not pieces of the global order cut at pivots; candidates come
+from prefixes, and overlaps per part only verify pairs. No link depends on where a part is cut.
 
 Documents with equal n-gram sets form one class; all later work is on classes.
 
@@ -12,7 +15,7 @@ Documents with equal n-gram sets form one class; all later work is on classes.
    already need no further comparison, so a group of thousands of near copies costs some comparisons per
    class. Of what is left, pairs of different components, a share is compared first, and then all
    that are still apart.
-4. The ordered n-grams of a pair are cut into fragments again; overlaps are counted per fragment and
+4. The n-grams of a pair are dealt into ``PARTS`` by their hash; overlaps are counted per part and
    summed per pair. The prefixes are counted first, and a pair that shares too little of them ends there.
 """
 
@@ -220,7 +223,7 @@ _CLASS = "set bigint, size int, alone int, prefix array<bigint>, parts array<arr
 
 
 def _prefixes(percent: int):
-    """Of one bucket of sets: those that share enough n-grams, with their prefix and the ordered n-grams in parts."""
+    """Of one bucket of sets: those that share enough n-grams, with their prefix and the n-grams in parts by hash."""
 
     def choose(table):
         import numpy as np
@@ -250,7 +253,7 @@ def _needed(percent: int, size, other):
 
 
 def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Of the ``pairs`` (a, b), those whose prefixes, the first fragment of the order, share enough.
+    """Of the ``pairs`` (a, b), those whose prefixes share enough.
 
     Of the overlap needed, at most the n-grams behind the prefix can be missing from it, and what is common within
     the prefix that ends first lies in the other one too.
