@@ -97,12 +97,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id: str = "ve
     """``query_id, rank, vec_id, score``: the ``k`` highest scores of every query (all, if fewer), from rank 1.
 
     ``queries`` are rows like ``vectors``; a vector is not a candidate for its own id. Null ids, and vectors that are
-    null or hold null or non-finite components, take no part; vectors of different lengths do not meet. Rows
-    equal in id and vector count once. Ties go to the smaller id. Empty tables give an empty table.
+    null or hold null or non-finite components, take no part; vectors of different lengths do not meet. Repeated
+    rows count as often as they occur, on both sides, and the rows of one query id share its ``k`` ranks. Ties go to the smaller id. Empty tables give an empty table.
     """
     def prepared(df):
         numbers = df.select(F.col(id).cast("bigint").alias("id"), whole_numbers(F.col(vector)).alias("numbers"))
-        return numbers.filter(F.col("id").isNotNull() & F.col("numbers").isNotNull()).distinct()
+        return numbers.filter(F.col("id").isNotNull() & F.col("numbers").isNotNull())
 
     def blocks(df, most):
         return _blobs(prepared(df).repartitionByRange("id").sortWithinPartitions("id"), most, block)

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from orderlens.llm import caps, language
+from orderlens.llm import caps, language, topk
 
 
 def test_near_vectors_of_every_group_are_found(spark):
@@ -50,3 +50,15 @@ def test_a_language_with_long_texts_only_is_learnt(spark):
     for rows, want in ((long + short, ["de", "en"]), (long, ["de", "de"])):
         model = language.fit(spark.createDataFrame(rows, KIND))
         assert [r["lang_pred"] for r in language.identify(asked, model).orderBy("doc_id").collect()] == want
+
+
+def test_top_k_counts_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.5, 0.0]), (2, [0.4, 0.0]), (2, [0.40001, 0.0]), (3, [0.1, 0.0]), (100, [0.0, 1.0]), (100, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    out = topk.search(df, df.filter("vec_id % 100 = 0"), 5).collect()
+    whole = [(i, np.floor(1024 * np.array(v)).astype(int)) for i, v in rows]
+    want = []
+    for query in (0, 100):
+        best = sorted((-int(q @ d), i) for n, q in whole if n == query for i, d in whole if i != query)[:5]
+        want += [(query, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out) == sorted(want)
