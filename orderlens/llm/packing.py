@@ -8,14 +8,17 @@ size of the corpus), and the distributed rows find their place in the plan by le
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, functions as F
 
 from orderlens.operators.staging import stage
 
+from .bytelevel import ByteLevel
+from .columns import by_position, restored
 from .sequences import number
-from .vocabulary import Words, some
+from .vocabulary import some
 
 WINDOW = 2048
 END_ID = 1
@@ -23,40 +26,41 @@ _PLAN_BROADCAST = 200_000
 
 
 def cut(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "text", window: int = WINDOW,
-        end_id: int = END_ID) -> DataFrame:
-    """Pieces of at most ``window`` ids: ``doc_id, start, length, doc_tokens, ids``.
+        end_id: int = END_ID, ids: bool = True) -> DataFrame:
+    """Pieces of at most ``window`` ids: ``doc_id, start, length, doc_tokens, ids_crc32, ids``.
 
     ``tokenizer`` is the text of a byte-level tokenizer's JSON file; ``ids`` holds little-endian unsigned
-    32-bit numbers. The ids of a document are those of its whole text and then ``end_id``. A null or
-    empty text gives the piece ``[end_id]``; equal rows and null ids of documents are kept as they are.
-    Python encodes in Arrow batches; a word is encoded once per task (see ``vocabulary``).
+    32-bit numbers and ``ids_crc32`` their checksum; with ``ids=False`` only the checksum leaves the worker.
+    The ids of a document are those of its whole text and then ``end_id``. A null or empty text gives the piece
+    ``[end_id]``; equal rows and null ids of documents are kept as they are. Python encodes in Arrow batches and
+    keeps nothing but the vocabulary and the texts of a batch.
     """
     end = int(end_id).to_bytes(4, "little")
 
     def pieces(batches):
         import pyarrow as pa
 
-        words = Words(tokenizer, spaced=True)
+        encode = ByteLevel(tokenizer).encode
 
         def rows(batch):
-            for doc, ids in zip(batch.column(0).to_pylist(), words.of(batch.column(1).to_pylist())):
-                ids += end
-                total = len(ids) // 4
+            for doc, body in zip(batch.column(0), batch.column(1)):
+                whole = (encode(body.as_py()).astype("<u4", copy=False).tobytes() if body.is_valid else b"") + end
+                total = len(whole) // 4
                 for start in range(0, total, window):
-                    length = min(window, total - start)
-                    yield doc, start, length, total, ids[4 * start:4 * (start + length)]
+                    part = whole[4 * start:4 * (start + window)]
+                    yield doc.as_py(), start, len(part) // 4, total, zlib.crc32(part), part
 
-        kinds = [None, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        names = ["doc_id", "start", "length", "doc_tokens", "ids"]
         for batch in batches:
-            kinds[0] = batch.schema.field(0).type
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             for block in some(rows(batch)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*block), kinds)], names)
+                columns = [pa.array(c, k) for c, k in zip(zip(*block), kinds)]
+                yield pa.RecordBatch.from_arrays(columns[:len(names)], names)
 
     source = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(
-        pieces, f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, ids binary")
+    schema = f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, ids_crc32 bigint" + (", ids binary" if ids else "")
+    names = ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids"][:6 if ids else 5]
+    return source.mapInArrow(pieces, schema)
 
 
 class _Tightest:
@@ -122,24 +126,26 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, int, i
 def pack(pieces: DataFrame, *, window: int = WINDOW, order: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces of 1 to ``window`` tokens (column ``length``).
 
-    All other columns, ``ids`` among them, pass through. The rows are sorted by length once, in ranges,
-    so a length that a third of all pieces share is still split over tasks. Offsets in a sequence are
+    All other columns, ``ids`` among them, pass through, whatever their names. The rows are sorted by length once,
+    in ranges, so a length that a third of all pieces share is still split over tasks. Offsets in a sequence are
     gapless from 0. An empty table gives an empty table.
     """
     spark = pieces.sparkSession
-    pieces = stage(pieces, "pieces")  # finding the ranges reads them a first time
-    ranked = number(pieces, ["length", *order])
-    counts = {r["length"]: r["count"] for r in ranked.groupBy("length").count().collect()}  # window rows at most
-    if any(not length or not 0 < length <= window for length in counts):
+    inner, at = by_position(pieces)
+    length = at["length"]
+    inner = stage(inner, "pieces")  # finding the ranges reads them a first time
+    ranked = number(inner, [length, *[at[c] for c in order]])
+    counts = {r[length]: r["count"] for r in ranked.groupBy(length).count().collect()}  # window rows at most
+    if any(not n or not 0 < n <= window for n in counts):
         raise ValueError(f"lengths have to lie between 1 and {window}")
     start, starts = 0, {}
-    for length in sorted(counts):
-        starts[length], start = start, start + counts[length]
+    for n in sorted(counts):
+        starts[n], start = start, start + counts[n]
     placed = [(n, starts[n] + rank, starts[n] + rank + k, s, o) for n, rank, k, s, o in plan(counts, window)]
     table = spark.createDataFrame(placed, "_length bigint, _from bigint, _till bigint, _sequence bigint, _offset bigint")
     if len(placed) <= _PLAN_BROADCAST:
         table = F.broadcast(table)
-    here = (F.col("length") == F.col("_length")) & (F.col("_row") >= F.col("_from")) & (F.col("_row") < F.col("_till"))
+    here = (F.col(length) == F.col("_length")) & (F.col("_row") >= F.col("_from")) & (F.col("_row") < F.col("_till"))
     return ranked.join(table, here).select(
-        *pieces.columns, (F.col("_sequence") + F.col("_row") - F.col("_from")).alias("sequence_id"),
-        F.col("_offset").alias("offset"))
+        *restored(pieces.columns),
+        (F.col("_sequence") + F.col("_row") - F.col("_from")).alias("sequence_id"), F.col("_offset").alias("offset"))

@@ -153,9 +153,8 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 
 
 def op10_packing(spark, sf_dir):
-    pieces = packing.cut(table(spark, sf_dir, "documents"), tokenizer_text("byte_bpe_50k.json"))
-    digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    packed = packing.pack(digests, order=("doc_id", "start", "ids_crc32"))
+    pieces = packing.cut(table(spark, sf_dir, "documents"), tokenizer_text("byte_bpe_50k.json"), ids=False)
+    packed = packing.pack(pieces, order=("doc_id", "start", "ids_crc32"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
