@@ -16,6 +16,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .columns import by_position
+
 KINDS = ("email", "ip", "card", "phone")
 EXAMPLES = 2400
 PRECISION = 0.99
@@ -250,18 +252,22 @@ def find(docs: DataFrame, model: Model, *, text: str = "text", base: str = "base
 
     Both are arrays of ``kind`` (a number in the order of KINDS), ``start`` and ``end`` in code points, end exclusive,
     ordered by kind and start. Base spans always stay; added ones overlap none of them. A null or empty text
-    has none. Rows are judged where they lie, copies each; an empty table gives an empty table.
+    has none. Rows are judged where they lie, copies each; an empty table gives an empty table. Other columns pass through
+    whatever their names; a column called like ``base`` or ``spans`` is replaced.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumn(base, base_spans(body)).withColumn("_candidates", _candidates(body))
+    inner, at = by_position(docs)
+    body = F.coalesce(F.col(at[text]), F.lit(""))
+    found = inner.withColumn("_base", base_spans(body)).withColumn("_candidates", _candidates(body))
     found = found.withColumn("_scored", F.transform(
         "_candidates", lambda c: F.struct(c["kind"], c["start"], c["end"], _feature_array(c).alias("features"))))
     found = found.withColumn("_scored", F.transform(
         "_scored", lambda c: F.struct(c["kind"], c["start"], c["end"], model.score(c["features"]).alias("score"))))
     limits = F.array(*[F.lit(t) for t in model.thresholds])
     chosen = F.filter("_scored", lambda c: c["score"] >= F.get(limits, c["kind"]))
-    every = F.array_sort(F.concat(F.col(base), _added(F.col(base), chosen)))
-    return found.withColumn(spans, F.when(F.size("_scored") > 0, every).otherwise(F.col(base))).drop("_candidates", "_scored")
+    every = F.array_sort(F.concat(F.col("_base"), _added(F.col("_base"), chosen)))
+    found = found.withColumn("_spans", F.when(F.size("_scored") > 0, every).otherwise(F.col("_base")))
+    return found.select(*[F.col(at[c]).alias(c) for c in docs.columns if c not in (base, spans)],
+                        F.col("_base").alias(base), F.col("_spans").alias(spans))
 
 
 def written(spans: Column) -> Column:

@@ -3,7 +3,9 @@
 import numpy as np
 
 import corpus_pipeline
-from orderlens.llm import caps, language, topk
+from pyspark.sql import functions as F
+
+from orderlens.llm import caps, language, packing, topk
 
 
 def test_near_vectors_of_every_group_are_found(spark):
@@ -62,3 +64,20 @@ def test_top_k_counts_repeated_rows(spark):
         best = sorted((-int(q @ d), i) for n, q in whole if n == query for i, d in whole if i != query)[:5]
         want += [(query, n, i, -s) for n, (s, i) in enumerate(best, 1)]
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out) == sorted(want)
+
+
+CLASHING = ["_key", "_times", "_pass", "_scored", "_candidates", "base", "spans", "_row", "_at", "_part", "_length", "_base", "_spans", "c0", "size", "taken"]
+
+
+def test_columns_of_any_name_pass_through_every_stage(spark):
+    rows = [(i, f"call +49 (30) 1234567{i} or the dog and the cat number {i} are sleeping in the house", "en", f"s{i % 2}", 60, *[f"{c}{i}" for c in CLASHING])
+            for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, docs, None)
+        assert out.columns == docs.columns, name
+        seen = out.collect()
+        assert seen and all(r[c] == f"{c}{r['doc_id']}" for r in seen for c in CLASHING), name
+    pieces = docs.select(F.lit(5).alias("length"), "doc_id", F.lit(0).alias("start"), *CLASHING)
+    packed = packing.pack(pieces).collect()
+    assert len(packed) == 8 and all(r[c] == f"{c}{r['doc_id']}" for r in packed for c in CLASHING)
