@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orderlens.operators.staging import shared_folder
 
-from . import caps, jaccard, language, mixing, packing, pii, sharding, tokens, topk, urls
+from . import audit, caps, jaccard, language, mixing, packing, pii, sharding, tokens, topk, urls
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -158,6 +158,45 @@ def op10_packing(spark, sf_dir):
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op13_filter_audit(spark, sf_dir):
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op13_filter_audit"] = """
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+flagged AS MATERIALIZED (
+  SELECT doc_id, part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e,
+         EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = texts.doc_id AND quality = 1) AS good,
+         EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = texts.doc_id AND toxic = 1) AS toxic
+  FROM texts),
+sets AS MATERIALIZED (
+  SELECT part, concat(CASE WHEN a THEN 'A' END, CASE WHEN b THEN 'B' END, CASE WHEN c THEN 'C' END, CASE WHEN d THEN 'D' END, CASE WHEN e THEN 'E' END) AS failed,
+         count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM flagged GROUP BY ALL),
+letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+steps AS (
+  SELECT filter_order, step::INTEGER AS step, filter_order[step:step] AS own, filter_order[1:step - 1] AS before
+  FROM orders, range(1, 6) AS u(step)),
+judged AS (
+  SELECT part, filter_order, step, own, n, good, toxic, failed, contains(failed, own) AS fails,
+         translate(failed, before, '') <> failed AS earlier
+  FROM sets, steps),
+counted AS (
+  SELECT part, filter_order, step, own,
+         coalesce(sum(n) FILTER (NOT fails AND NOT earlier), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT earlier), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (fails AND earlier), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (failed = own), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (fails AND NOT earlier), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT earlier), 0)::BIGINT AS toxic_lost
+  FROM judged GROUP BY ALL)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counted
+"""
+
+
 QUERIES |= {"op1_shards": op1_shards, "op2_language": op2_language, "op3_similar_documents": op3_similar_documents, "op4_url_verdicts": op4_url_verdicts, "op5_near_vectors": op5_near_vectors,
             "op6_mixture": op6_mixture, "op7_personal_data": op7_personal_data, "op8_token_counts": op8_token_counts, "op9_top_vectors": op9_top_vectors,
-            "op10_packing": op10_packing}
+            "op10_packing": op10_packing, "op13_filter_audit": op13_filter_audit}
