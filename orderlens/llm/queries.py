@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orderlens.operators.staging import shared_folder
 
-from . import audit, caps, jaccard, language, mixing, packing, pii, sharding, tokens, topk, urls
+from . import align, audit, bpe, caps, jaccard, language, mixing, packing, pii, sharding, tokens, topk, urls
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -158,6 +158,17 @@ def op10_packing(spark, sf_dir):
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_bpe(spark, sf_dir):
+    return bpe.code(table(spark, sf_dir, "documents"), tokenizer_text("word_bpe_49k.json"), whole=False)
+
+
+def op12_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    pieces = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+    return align.align(table(spark, sf_dir, "documents"), tokenizer_text("byte_bpe_50k.json"), pieces, whole=False)[0]
+
+
 def op13_filter_audit(spark, sf_dir):
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -199,4 +210,4 @@ SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS
 
 QUERIES |= {"op1_shards": op1_shards, "op2_language": op2_language, "op3_similar_documents": op3_similar_documents, "op4_url_verdicts": op4_url_verdicts, "op5_near_vectors": op5_near_vectors,
             "op6_mixture": op6_mixture, "op7_personal_data": op7_personal_data, "op8_token_counts": op8_token_counts, "op9_top_vectors": op9_top_vectors,
-            "op10_packing": op10_packing, "op13_filter_audit": op13_filter_audit}
+            "op10_packing": op10_packing, "op11_bpe": op11_bpe, "op12_alignment": op12_alignment, "op13_filter_audit": op13_filter_audit}
