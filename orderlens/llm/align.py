@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from orderlens.operators.staging import stage
 
+from .memory import parts, tidy
+
 BUCKETS = 256
 FAN = 64  # blocks, or inner nodes, that meet in one task
 BLOCK_BYTES = 16 << 20  # text in a block, unless one document is longer
@@ -157,6 +159,7 @@ def _slices(batch):
 def encoded(docs: DataFrame, bytelevel: str, pieces: bytes, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``block, doc_id, a, b``: ids of both tokenizers as little-endian unsigned 16-bit numbers, written once."""
 
+    @tidy
     def encode(batches):
         import numpy as np
         import pyarrow as pa
@@ -167,14 +170,11 @@ def encoded(docs: DataFrame, bytelevel: str, pieces: bytes, *, id: str = "doc_id
             raise ValueError("a vocabulary of more than 65,536 tokens")
         block, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                part = batch.slice(at, 256)
+            for part in parts(batch):
                 texts = part.column(1).to_pylist()
                 ids = list(own.encode(texts))
                 cells = [pa.array([np.array(side, "<u2").tobytes() for side in sides], pa.binary()) for sides in zip(*ids)]
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(texts), pa.int64()), part.column(0), *cells], ["block", "doc_id", "a", "b"])
-                at += len(texts)
                 held += sum(len(t) for t in texts if t)
                 if held >= BLOCK_BYTES:
                     block, held = block + 1, 0
@@ -187,6 +187,7 @@ def encoded(docs: DataFrame, bytelevel: str, pieces: bytes, *, id: str = "doc_id
 def _block_pairs(written: DataFrame, bytelevel: str, pieces: bytes) -> DataFrame:
     """``block, bucket, keys, docs``: the distinct pairs of every block, ascending, with their documents in the block."""
 
+    @tidy
     def count(batches):
         import numpy as np
         import pyarrow as pa
@@ -215,14 +216,14 @@ def _block_pairs(written: DataFrame, bytelevel: str, pieces: bytes) -> DataFrame
                     ends = links.documents(group).searchsorted(np.arange(till - start + 1))
                     for n in np.flatnonzero(np.diff(ends)).tolist():
                         of_doc[n].append(np.unique(key[ends[n]:ends[n + 1]]))
-                for n, parts in enumerate(of_doc):
+                for n, own in enumerate(of_doc):
                     block = int(blocks[start + n])
                     if block != current:
                         if found:
                             yield counted(current, found)
                         current, found = block, []
-                    if parts:
-                        own = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+                    if own:
+                        own = own[0] if len(own) == 1 else np.unique(np.concatenate(own))
                         found.append((own, np.ones(len(own), np.int64)))
                 if found:  # few arrays are left of every slice
                     key, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
@@ -508,6 +509,7 @@ def align(docs: DataFrame, bytelevel: str, pieces: bytes, *, id: str = "doc_id",
     if size * _ENTRY <= broadcast_bytes:
         shared = docs.sparkSession.sparkContext.broadcast([r.asDict() for r in table.collect()])
 
+        @tidy
         def score(batches):
             widths = _widths(bytelevel, pieces)
             names, look_up = names_of(widths), known(shared.value)
@@ -526,6 +528,7 @@ def align(docs: DataFrame, bytelevel: str, pieces: bytes, *, id: str = "doc_id",
             rows.append((block, keys, many.tobytes(), best.tobytes()))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], names=names)
 
+    @tidy
     def meet(block, answers):
         import numpy as np
 

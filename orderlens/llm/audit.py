@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from orderlens.operators.joins import join_dimension
 from orderlens.operators.staging import stage
 
+from .memory import parts, tidy
+
 FILTERS = "ABCDE"
 BLOCK_BYTES = 16 << 20  # text in a block, unless one document is longer
 BLOCK_WORDS = 65_000  # distinct words after which a block ends, so that two bytes number them
@@ -40,6 +42,7 @@ def blocks(docs: DataFrame, *, id: str = "doc_id", text: str = "text", part: str
     """
     unwanted = symbols.encode("ascii")
 
+    @tidy
     def build(batches):
         import hashlib
 
@@ -67,7 +70,7 @@ def blocks(docs: DataFrame, *, id: str = "doc_id", text: str = "text", part: str
                 return self.bytes >= BLOCK_BYTES or len(self.number) >= BLOCK_WORDS
 
             def batch(self):
-                joined = lambda parts, kind: np.concatenate(parts).astype(kind).tobytes()
+                joined = lambda arrays, kind: np.concatenate(arrays).astype(kind).tobytes()
                 columns = [[self.rows], [b"\n".join(self.number)], [len(self.number)], [np.array(self.ends, "<i4").tobytes()],
                            [joined(self.terms, _width(len(self.number)))], [joined(self.counts, "<u4")]]
                 return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
@@ -76,7 +79,7 @@ def blocks(docs: DataFrame, *, id: str = "doc_id", text: str = "text", part: str
         for batch in batches:
             row = pa.struct([("doc_id", batch.schema.field(0).type), ("part", pa.string()), ("digest", pa.binary()), ("marks", pa.int32())])
             kinds = [pa.list_(row), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            for doc, body, name in zip(*[c.to_pylist() for c in batch.columns]):
+            for doc, body, name in (row for part in parts(batch) for row in zip(*[c.to_pylist() for c in part.columns])):
                 block.add(doc, body or b"", name)
                 if block.full():
                     yield block.batch()
@@ -106,6 +109,7 @@ def _width(n_words: int) -> str:
 def _asked(staged: DataFrame, buckets: int, groups: int) -> DataFrame:
     """``bucket, node, block, words, at``: the words of every block by bucket, with their numbers in the block."""
 
+    @tidy
     def split(batches):
         from zlib import crc32
 

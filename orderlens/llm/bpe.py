@@ -20,6 +20,7 @@ import re
 from pyspark.sql import DataFrame, functions as F
 
 from .bytelevel import letters
+from .memory import parts, tidy
 from .vocabulary import some
 
 KEPT_BYTES = 96 << 20  # of words with their ids that a worker remembers
@@ -202,6 +203,7 @@ def code(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "te
     """
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded", "ids"]
 
+    @tidy
     def work(batches):
         from hashlib import sha256
 
@@ -216,7 +218,7 @@ def code(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "te
                 yield (doc.as_py(), len(ids) // 4, sha256(ids).hexdigest(), sha256(decoded.encode()).hexdigest(),
                        decoded if whole else "", ids if whole else b"")
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
             for block in some(rows(batch)) if whole else [list(rows(batch))]:
                 columns = [pa.array(c, k) for c, k in zip(zip(*block) if block else [[]] * 6, kinds)]

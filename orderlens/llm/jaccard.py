@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from orderlens.operators.staging import stage
 
 from .components import connected
+from .memory import tidy
 
 WORDS = 5
 PER_FRAGMENT = 3_000_000  # n-grams that one task of step 1 or 2 holds, about
@@ -102,8 +103,8 @@ class Hasher:
     def chunks(self, texts):
         """Texts in chunks of about _CHUNK bytes: (number of the first, how many, text numbers, hashes)."""
         held, size, first = [], 0, 0
-        for i, t in enumerate(texts):
-            held.append((t or "").encode("utf-8", "surrogatepass"))
+        for i, t in enumerate(texts):  # an Arrow column: texts become Python strings one by one
+            held.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
             size += len(held[-1])
             if size >= _CHUNK or i == len(texts) - 1:
                 yield (first, len(held), *self.sets(held))
@@ -127,12 +128,13 @@ def _digests(owner, gram, texts: int):
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id, n_shingles, set, check`` of every row: the size and digest of its set."""
 
+    @tidy
     def digest(batches):
         import pyarrow as pa
 
         hasher = Hasher(words)
         for batch in batches:
-            for first, many, owner, gram in hasher.chunks(batch.column(1).to_pylist()):
+            for first, many, owner, gram in hasher.chunks(batch.column(1)):
                 sizes, one, two = _digests(owner, gram, many)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, many), pa.array(sizes, pa.int64()),
@@ -149,13 +151,14 @@ _BLOCK = "bucket int, sets binary, sizes binary, counts binary, grams binary"
 def _fragments(docs: DataFrame, words: int, fragments: int) -> DataFrame:
     """The n-grams of all sets, dealt by fragment in blocks of many texts; a set once per block."""
 
+    @tidy
     def deal(batches):
         import numpy as np
         import pyarrow as pa
 
         hasher = Hasher(words)
         for batch in batches:
-            for _, many, owner, gram in hasher.chunks(batch.column(1).to_pylist()):
+            for _, many, owner, gram in hasher.chunks(batch.column(1)):
                 sizes, sets, _ = _digests(owner, gram, many)
                 once = np.zeros(many, bool)
                 once[np.unique(sets, return_index=True)[1]] = True
@@ -187,6 +190,7 @@ def _runs(sorted_values):
 def _shared(buckets: int):
     """Of one fragment: its n-grams that several sets hold, dealt by set, with the number of sets."""
 
+    @tidy
     def count(table):
         import numpy as np
         import pyarrow as pa
@@ -225,6 +229,7 @@ _CLASS = "set bigint, size int, alone int, prefix array<bigint>, parts array<arr
 def _prefixes(percent: int):
     """Of one bucket of sets: those that share enough n-grams, with their prefix and the n-grams in parts by hash."""
 
+    @tidy
     def choose(table):
         import numpy as np
         import pyarrow as pa

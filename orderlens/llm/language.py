@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .memory import parts, tidy
+
 ORDERS = 4
 BITS = 18
 LANDMARKS = 240
@@ -135,6 +137,7 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", id: str
     return kernel_map([bytes(t) if isinstance(t, bytearray) else t for t, _ in sample], [name for _, name in sample], landmarks, ridge)
 
 
+@tidy
 def _presences(batches):
     """Presence rows of texts, as bits, with their languages."""
     import numpy as np
@@ -159,12 +162,13 @@ def identify(docs: DataFrame, model, *, id: str = "doc_id", text: str = "text",
     """
     chosen = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("_text"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
 
+    @tidy
     def predict(batches):
         import numpy as np
         import pyarrow as pa
 
         presence = Presence()
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             texts = batch.column(1).to_pylist()
             best, score = ["und"] * len(texts), [0.0] * len(texts)
             for at in range(0, len(texts) if model else 0, _AT_ONCE):

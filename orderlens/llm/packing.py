@@ -17,6 +17,7 @@ from orderlens.operators.staging import stage
 
 from .bytelevel import ByteLevel
 from .columns import by_position, restored
+from .memory import tidy
 from .sequences import number
 from .vocabulary import some
 
@@ -37,6 +38,7 @@ def cut(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "tex
     """
     end = int(end_id).to_bytes(4, "little")
 
+    @tidy
     def pieces(batches):
         import pyarrow as pa
 
