@@ -11,20 +11,35 @@ from ..functions import strip
 from .matching import header_score
 
 
+def _quoted_cells(line: Column, mark: str) -> Column:
+    """The cells of a line with one delimiter, quotes included."""
+    escaped = "\\" + mark if mark == "|" else mark
+    pattern = rf'{escaped}("[^"]*+(?:""[^"]*+)*+"[^{escaped}]*|[^{escaped}]*)'
+    return F.regexp_extract_all(F.concat(F.lit(mark), line), F.lit(pattern), F.lit(1))
+
+
+def cell_count(line: Column, mark: str) -> Column:
+    """Number of cells of a line; only lines with quotes have to be cut for it."""
+    plain = F.length(line) - F.length(F.replace(line, F.lit(mark), F.lit(""))) + 1
+    return F.when(line.contains('"'), F.size(_quoted_cells(line, mark))).otherwise(plain)
+
+
+def ends_inside(line: Column, mark: str) -> Column:
+    """The line ends inside a quoted cell that it opened. A line that starts inside one is a line with a quote before it."""
+    escaped = "\\" + mark if mark == "|" else mark
+    quoted = r'"[^"]*+(?:""[^"]*+)*+'
+    return line.rlike(rf'(?s)^(?:(?:{quoted}"[^{escaped}]*+|[^"{escaped}][^{escaped}]*+|){escaped})*+{quoted}$')
+
+
 def split_cells(line: Column, delimiter: Column) -> Column:
     """Cells of a delimited line; missing-value words and empty cells become NULL.
 
-    A cell may be quoted, with doubled quotes inside. Each delimiter has a pattern of its
+    A cell may be quoted, with doubled quotes and line breaks inside. Each delimiter has a pattern of its
     own, and only the pattern of the line's delimiter is applied.
     """
-    def cells(mark: str) -> Column:
-        escaped = "\\" + mark if mark == "|" else mark
-        pattern = rf'{escaped}("[^"]*+(?:""[^"]*+)*+"[^{escaped}]*|[^{escaped}]*)'
-        return F.regexp_extract_all(F.concat(F.lit(mark), line), F.lit(pattern), F.lit(1))
-
     raw = reduce(
-        lambda rest, mark: F.when(delimiter == mark, cells(mark)).otherwise(rest),
-        reversed(vocab.DELIMITERS[:-1]), cells(vocab.DELIMITERS[-1]))
+        lambda rest, mark: F.when(delimiter == mark, _quoted_cells(line, mark)).otherwise(rest),
+        reversed(vocab.DELIMITERS[:-1]), _quoted_cells(line, vocab.DELIMITERS[-1]))
 
     def plain(cell: Column) -> Column:
         inner = F.regexp_replace(cell, r'(?s)^"(.*)"([^"]*)$', "$1$2")
@@ -83,25 +98,33 @@ def find_headers(head: DataFrame, keys: list[str], position: str, cells: str) ->
 
 
 def choose_delimiters(head: DataFrame, keys: list[str], position: str, line: str,
-                      delimiters: tuple[str, ...] = vocab.DELIMITERS) -> DataFrame:
+                      delimiters: tuple[str, ...] = vocab.DELIMITERS, *, widths: DataFrame | None = None) -> DataFrame:
     """Delimiter and header of each group of leading lines.
 
-    Every delimiter is tried; the one whose header matches most fields wins, then the best
-    header score, then the width closest to a typical export, then the order of the list.
+    Every delimiter is tried; the one whose header matches most fields wins, then the best header score, then the number
+    of lines it keeps (up to a cap), then the width closest to a typical export, then the order of the list.
+    ``head`` may hold a column ``delimiter`` already, if lines differ by delimiter. ``widths`` counts the lines of a group by
+    delimiter and number of cells (columns of ``keys``, ``delimiter, cells, lines``); without it the leading lines count.
     """
     # Scoring costs far more than the few leading lines weigh: a fixed number of partitions
     # keeps adaptive execution from merging them by size. The later grouping reuses it.
     partitions = int(head.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     head = head.repartition(partitions, *keys)
-    tried = head.select(*keys, position, line, F.posexplode(
-        F.array(*[F.lit(mark) for mark in delimiters])).alias("_order", "delimiter"))
-    cells = tried.withColumn("_cells", split_cells(F.col(line), F.col("delimiter")))
-    found = find_headers(
-        cells.filter(filled_count(F.col("_cells")) > 0).drop(line), [*keys, "_order", "delimiter"], position, "_cells")
+    if "delimiter" not in head.columns:
+        head = head.select(*keys, position, line, F.explode(F.array(*[F.lit(mark) for mark in delimiters])).alias("delimiter"))
+    cells = head.withColumn("_cells", split_cells(F.col(line), F.col("delimiter")))
+    filled = cells.filter(filled_count(F.col("_cells")) > 0)
+    found = find_headers(filled.drop(line), [*keys, "delimiter"], position, "_cells")
+    if widths is None:
+        widths = filled.groupBy(*keys, "delimiter", F.size("_cells").alias("cells")).agg(F.count(F.lit(1)).alias("lines"))
+    limits = found.select(*keys, "delimiter", "width")
+    kept = widths.join(limits, [*keys, "delimiter"]).filter(F.col("cells") <= F.col("width")).groupBy(*keys, "delimiter").agg(
+        F.least(F.sum("lines"), F.lit(vocab.DELIMITER_ROW_CAP)).alias("_kept"))
+    order = F.array_position(F.array(*[F.lit(mark) for mark in delimiters]), F.col("delimiter"))
     quality = F.struct(
-        "matched_fields", "header_score",
-        -F.abs(F.col("width") - vocab.DELIMITER_TYPICAL_COLUMNS), -F.col("_order"))
+        "matched_fields", "header_score", F.coalesce("_kept", F.lit(0)),
+        -F.abs(F.col("width") - vocab.DELIMITER_TYPICAL_COLUMNS), -order)
     values = ["delimiter", "header_position", "header_cells", "header_row", "header_score",
               "matched_fields", "width"]
     best = F.max_by(F.struct(*values), quality).alias("_best")
-    return found.groupBy(*keys).agg(best).select(*keys, "_best.*")
+    return found.join(kept, [*keys, "delimiter"], "left").groupBy(*keys).agg(best).select(*keys, "_best.*")

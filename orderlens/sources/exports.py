@@ -1,32 +1,36 @@
 """Order exports: directories of delimited text in mixed encodings, with title rows.
 
-The raw lines are written once as a table of (file, block, line, bytes). Position and bytes
-are data from then on, so every later step sees the same rows, large files stay split, and
-the header search reads only the blocks that hold the first filled lines. The lines are split into
-cells once, into a second written table; counts and filled columns come from that one.
+One scan tests the encodings, a second one decodes every line and writes it as a table of (file, block, line, text).
+Position and text are data from then on, so every later step sees the same rows, large files stay split, and
+the header search reads only the blocks that hold the first filled lines. Quoted cells may go over lines and blocks (see
+``records``). The lines are split into cells once, into a second written table, where a row holds its cells by position: names
+of columns are facts about files and meet the rows last, so no name of a file can clash with a column of the loader.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import vocab
 from ..functions import strip
-from ..operators.headers import choose_delimiters, split_cells
+from ..operators.headers import cell_count, choose_delimiters, split_cells
 from ..operators.joins import join_dimension
 from ..operators.matching import suggested_mapping, unique_names
 from ..operators.staging import stage
 from ..plans.clean import ROW
+from . import records
 
+OTHERS = "other_columns"
 _LINE_BITS = 44      # a row position is the file number and the offset in the file, up to 16 TiB
 _NAMED = 20          # so many files are named in an error
 _UTF8 = vocab.ENCODINGS[0]
 _BOM = chr(0xFEFF)
+_REPLACEMENT = chr(0xFFFD)
+_HEAD_LINES = 3000   # leading lines that are put together to records for the header search, in files with line breaks in cells
 
 
 def _blank_line() -> str:
@@ -49,88 +53,75 @@ class Export:
 
     def suggestions(self) -> DataFrame:
         """Suggested mapping (field, source, score) for the columns of the export."""
-        names = [c for c in self.rows.columns if c != ROW]
+        names = [c for c in self.rows.columns if c not in (ROW, OTHERS)]
         header = self.rows.sparkSession.range(1).select(F.array(*[F.lit(c) for c in names]).alias("names"))
         return header.select(F.inline(suggested_mapping(F.col("names")))).select("field", "source", "score")
 
 
-# The functions below travel to the executors by value, so these need only pandas there.
-def _decoder() -> Callable[..., Column]:
-    def decode(lines: pd.Series, encodings: pd.Series) -> pd.Series:
-        return pd.Series([line.decode(code) for line, code in zip(lines, encodings)], dtype=object)
+@contextmanager
+def _java_charsets(spark: SparkSession):
+    """Within it, expressions take every character set that Java knows, and put a mark for bytes they cannot read."""
+    wanted = {"spark.sql.legacy.javaCharsets": "true", "spark.sql.legacy.codingErrorAction": "true"}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
-    return F.pandas_udf(decode, T.StringType())
 
+def _readable(code: str) -> Column:
+    """The bytes of a line are text in an encoding: none was replaced, or what stands there is the mark itself."""
+    text = F.decode(F.col("bytes"), code)
+    return ~text.contains(_REPLACEMENT) | (F.encode(text, code) == F.col("bytes"))
 
-def _decodable(codes: tuple[str, ...]) -> Callable[..., Column]:
-    """For each line, which of the encodings can read it."""
-    def readable(line: bytes, code: str) -> bool:
-        try:
-            line.decode(code)
-            return True
-        except UnicodeDecodeError:
-            return False
 
-    def test(lines: pd.Series) -> pd.Series:
-        return pd.Series([[readable(line, code) for code in codes] for line in lines])
-
-    return F.pandas_udf(test, T.ArrayType(T.BooleanType()))
-
-
-def land_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Raw lines of all files, written once. Empty lines are left out."""
-    text = spark.read.text(paths)
-    lines = text.select(
+def scan_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file, block, line, bytes``: all lines as they lie in the files. Positions ascend within a file."""
+    return spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         (F.col("_metadata.file_block_start")
          + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("line"),
-        F.col("value").cast("binary").alias("bytes"),
-        F.is_valid_utf8("value").alias("utf8"),
-        (~F.col("value").rlike(_blank_line())).alias("filled"),
-    )
-    return stage(lines.filter(F.length(F.trim(F.col("bytes").cast("string"))) > 0), "lines")
+        F.col("value").cast("binary").alias("bytes"))
 
 
 def detect_encodings(lines: DataFrame) -> DataFrame:
-    """Encoding per file: the first of the known ones that can read every line of it.
+    """Encoding per file with a filled line: the first of the known ones that can read every line of it.
 
-    The UTF-8 test runs in the JVM over one flag column. Only files that fail it are
-    decoded on trial.
+    Only files that are not UTF-8 are decoded on trial. All of it runs in the JVM.
     """
-    utf8 = lines.groupBy("file").agg(F.bool_and("utf8").alias("utf8"))
-    others = utf8.filter(~F.col("utf8")).select("file")
-    foreign = join_dimension(lines.select("file", "line", "bytes"), others, "file", "inner")
-    codes = vocab.ENCODINGS[2:]
-    readable = foreign.select("file", _decodable(codes)("bytes").alias("readable"))
-    tested = readable.groupBy("file").agg(
-        *[F.bool_and(F.get("readable", F.lit(i))).alias(code) for i, code in enumerate(codes)])
-    first = F.coalesce(*[F.when(F.col(code), F.lit(code)) for code in codes])
-    return utf8.join(tested.select("file", first.alias("other")), "file", "left").select(
-        "file", F.when(F.col("utf8"), F.lit(_UTF8)).otherwise(F.col("other")).alias("encoding"))
+    spark = lines.sparkSession
+    present = lines.filter(F.octet_length(F.trim(F.col("bytes").cast("string"))) > 0)
+    utf8 = stage(present.groupBy("file").agg(F.bool_and(F.is_valid_utf8(F.col("bytes").cast("string"))).alias("utf8")), "utf8")
+    foreign = join_dimension(present, utf8.filter(~F.col("utf8")).select("file"), "file", "inner")
+    with _java_charsets(spark):
+        tested = foreign.groupBy("file").agg(*[F.bool_and(_readable(code)).alias(code) for code in vocab.ENCODINGS[2:]])
+        first = F.coalesce(*[F.when(F.col(code), F.lit(code)) for code in vocab.ENCODINGS[2:]])
+        return stage(utf8.join(tested.select("file", first.alias("other")), "file", "left").select(
+            "file", F.when(F.col("utf8"), F.lit(_UTF8)).otherwise(F.col("other")).alias("encoding")), "encodings")
 
 
-def decode_lines(lines: DataFrame, encodings: DataFrame, only_utf8: bool) -> DataFrame:
-    """Lines as text. UTF-8 needs no Python; other encodings are decoded in Arrow batches.
+def land_text(lines: DataFrame, encodings: DataFrame) -> DataFrame:
+    """``file, block, line, text, filled, opens, stays``: decoded lines, written once. Files without encoding are left out.
 
     A byte order mark is removed where it starts a line, as in files that were joined together.
     """
-    text = F.regexp_replace(F.col("bytes").cast("string"), f"^{_BOM}", "")
-    if only_utf8:
-        return lines.select("file", "block", "line", "filled", text.alias("text"))
     known = join_dimension(lines, encodings.filter(F.col("encoding").isNotNull()), "file", "inner")
-    plain = known.filter(F.col("encoding") == _UTF8).select("file", "block", "line", "filled", text.alias("text"))
-    foreign = known.filter(F.col("encoding") != _UTF8).select(
-        "file", "block", "line", "filled", _decoder()("bytes", "encoding").alias("text"))
-    return plain.unionAll(foreign)
+    with _java_charsets(lines.sparkSession):
+        decoded = F.when(F.col("encoding").isin(_UTF8, "utf-8"), F.col("bytes").cast("string")).otherwise(F.expr("decode(bytes, encoding)"))
+        text = known.select("file", "block", "line", F.regexp_replace(decoded, f"^{_BOM}", "").alias("text"))
+        return stage(text.select("*", (~F.col("text").rlike(_blank_line())).alias("filled"), *records.quote_maps(F.col("text"))), "lines")
 
 
-def leading_lines(lines: DataFrame, rows: int = vocab.HEADER_SEARCH_ROWS) -> DataFrame:
-    """First filled lines of every file.
+def leading_lines(lines: DataFrame, rows: int = vocab.HEADER_SEARCH_ROWS, counted: str | None = "filled") -> DataFrame:
+    """First filled lines of every file, or with ``counted=None`` its first lines of any kind.
 
     Counts per block tell how far a file must be read; the limit then applies within each task before any shuffle.
     """
-    filled = lines.filter("filled")
+    filled = lines.filter(counted) if counted else lines
     blocks = filled.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines"))
     before = F.sum("lines").over(Window.partitionBy("file").orderBy("block")) - F.col("lines")
     until = blocks.withColumn("_before", before).filter(F.col("_before") < rows).groupBy("file").agg(
@@ -140,6 +131,25 @@ def leading_lines(lines: DataFrame, rows: int = vocab.HEADER_SEARCH_ROWS) -> Dat
     return head.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= rows).drop("_n", "_until", "filled")
 
 
+def _leading_records(lines: DataFrame, marks: tuple[str, ...]) -> DataFrame:
+    """First filled records (``file, delimiter, line, text``) of files with line breaks in cells, with every delimiter."""
+    head = leading_lines(lines, _HEAD_LINES, None)
+    tried = head.withColumn("delimiter", F.explode(F.array(*[F.lit(mark) for mark in marks])))
+    # A file and a delimiter are one stream here, and all of its leading lines one block.
+    keyed = tried.withColumn("file", F.struct("file", "delimiter")).withColumn("block", F.lit(0))
+    whole = records.records(records.line_states(keyed)).filter(~F.col("text").rlike(_blank_line()))
+    order = Window.partitionBy("file").orderBy("line")
+    return whole.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= vocab.HEADER_SEARCH_ROWS).select(
+        "file.file", "file.delimiter", "line", "text")
+
+
+def line_widths(lines: DataFrame, marks: tuple[str, ...] = vocab.DELIMITERS) -> DataFrame:
+    """``file, delimiter, cells, lines``: how many filled lines of a file have how many cells with every delimiter."""
+    counts = F.array(*[F.struct(F.lit(mark).alias("delimiter"), cell_count(F.col("text"), mark).alias("cells")) for mark in marks])
+    return lines.filter("filled").select("file", F.inline(counts)).groupBy("file", "delimiter", "cells").agg(
+        F.count(F.lit(1)).alias("lines"))
+
+
 def _standard_names(names: Column) -> Column:
     """Names replaced by the standard fields that they suggest."""
     def standard(mapping: Column) -> Column:
@@ -151,10 +161,17 @@ def _standard_names(names: Column) -> Column:
     return F.get(F.transform(F.array(suggested_mapping(names)), standard), F.lit(0))
 
 
-def _describe(lines: DataFrame, encodings: DataFrame, delimiter: str | None) -> DataFrame:
-    """One row per file: number, encoding, delimiter, header position and column names."""
+def _describe(lines: DataFrame, broken: DataFrame, encodings: DataFrame, delimiter: str | None) -> DataFrame:
+    """One row per file: number, encoding, delimiter, header position and column names.
+
+    ``broken`` lists the files that may have line breaks in cells. Their leading lines are put together to records first.
+    """
     marks = (delimiter,) if delimiter else vocab.DELIMITERS
-    headers = choose_delimiters(leading_lines(lines), ["file"], "line", "text", marks)
+    straight = join_dimension(lines, broken.withColumn("_broken", F.lit(True)), "file", "left").filter("_broken IS NULL").drop("_broken")
+    headers = choose_delimiters(leading_lines(straight), ["file"], "line", "text", marks, widths=line_widths(straight, marks))
+    if not broken.isEmpty():
+        head = _leading_records(join_dimension(lines, broken, "file", "inner"), marks)
+        headers = headers.unionByName(choose_delimiters(head, ["file"], "line", "text", marks))
     padded = F.concat("header_cells", F.array_repeat(
         F.lit(None).cast("string"), F.greatest(F.col("width") - F.size("header_cells"), F.lit(0))))
     # One row per file: as many as the driver lists when it plans the scan.
@@ -172,81 +189,120 @@ def _refuse(files: DataFrame, reason: str) -> None:
         raise ValueError(f"{reason}: {', '.join(named[:_NAMED])}{more}")
 
 
-def _filled_columns(rows: DataFrame, names: list[str]) -> list[str]:
-    """Names of the columns that hold any value."""
-    counts = rows.agg(F.count(F.lit(1)), *[F.count(f"`{c}`") for c in names]).first()
-    return [c for c, count in zip(names, counts[1:]) if count]
+def _whole_records(lines: DataFrame, broken: DataFrame, files: DataFrame) -> DataFrame:
+    """``file, line, text`` of all records, with the delimiter of every file known."""
+    texts = lines.filter(F.col("text") != "").select("file", "line", "text")
+    if broken.isEmpty():
+        return texts
+    straight = join_dimension(texts, broken.withColumn("_broken", F.lit(True)), "file", "left").filter("_broken IS NULL").drop("_broken")
+    marked = join_dimension(lines, broken.join(files.select("file", "delimiter"), "file"), "file", "inner")
+    states = stage(records.line_states(marked), "quote-states")
+    _refuse(records.unclosed(states), "a quote that is never closed, in")
+    _refuse(records.overlong(states), f"a quoted cell of more than {records.LONGEST_RECORD} lines, in")
+    return straight.unionAll(records.records(states).filter(F.col("text") != ""))
+
+
+def distinct_ignoring_case(names: list[str], taken: tuple[str, ...] = ()) -> list[str]:
+    """Names that Spark can tell apart: of names that differ in case only, later ones get a number."""
+    seen, found = {name.lower() for name in taken}, []
+    for name in names:
+        candidate, n = name, 2
+        while candidate.lower() in seen:
+            candidate, n = f"{name}_{n}", n + 1
+        seen.add(candidate.lower())
+        found.append(candidate)
+    return found
 
 
 def load_order_exports(spark: SparkSession, paths: str | list[str], *, encoding: str | None = None,
-                       delimiter: str | None = None, standard_names: bool = False) -> Export:
+                       delimiter: str | None = None, standard_names: bool = False, others_as_map: bool = False) -> Export:
     """Read order exports: find encoding, delimiter and header of every file.
 
     Files may differ in all of these; their rows are lined up by column name. ``encoding``
     and ``delimiter`` replace detection. ``standard_names`` maps the columns of every file
     to standard fields before they are lined up, for files whose names differ; of several columns with one name, the
-    leftmost value of a row counts. The rows carry their position, so that cleaning can keep the first of identical lines.
-
-    Lines with more cells than the header are left out and counted per file as ``malformed_lines``. Files that no
-    known encoding reads, that hold no filled line, or that have line breaks inside quoted cells are refused by name.
+    leftmost value of a row counts. ``others_as_map`` does so too and puts all other columns in one, ``other_columns``, a map
+    of names and values: then neither the plan nor the driver holds a name for each layout, however many there are.
+    The rows carry their position, so that cleaning can keep the first of identical lines.
+
+    Names are kept as they are. Of names that differ in case only, or that the position of the rows has, later ones get a number.
+    Lines with more cells than the header are left out and counted per file as ``malformed_lines``. A quoted cell may hold line
+    breaks, which become line feeds. Files that no known encoding reads, that hold no filled line, whose last quote is
+    never closed, or with a cell of more than ``records.LONGEST_RECORD`` lines are refused by name.
     """
-    landed = land_lines(spark, paths)
+    lines = scan_lines(spark, paths)
     if encoding:
-        encodings = landed.select("file").distinct().withColumn("encoding", F.lit(encoding.lower()))
+        present = lines.filter(F.octet_length(F.trim(F.col("bytes").cast("string"))) > 0)
+        encodings = stage(present.select("file").distinct().withColumn("encoding", F.lit(encoding.lower())), "encodings")
     else:
-        encodings = stage(detect_encodings(landed), "encodings")
-    used = {row["encoding"] for row in encodings.select("encoding").distinct().collect()}
-    if not used:
+        encodings = detect_encodings(lines)
+    if encodings.isEmpty():
         raise ValueError("the files hold no lines")
     _refuse(encodings.filter("encoding IS NULL"), "in none of the known encodings; name the encoding of")
-    lines = decode_lines(landed, encodings, used <= {_UTF8, "utf-8"})
-    files = _describe(lines, encodings, delimiter)
-    placed_names = _standard_names(F.col("names")) if standard_names else F.col("names")
-    files = stage(files.withColumn("columns", placed_names), "files")
+    lines = land_text(lines, encodings)
+    broken = stage(lines.filter("opens > 0").select("file").distinct(), "broken")
+    files = _describe(lines, broken, encodings, delimiter)
+    renamed = _standard_names(F.col("names")) if standard_names or others_as_map else F.col("names")
+    files = stage(files.withColumn("columns", renamed), "files")
     _refuse(encodings.join(files, "file", "left_anti"), "no filled line, so no header, in")
 
-    # Distinct column names over all files, in order of first appearance.
-    listed = files.select("file_number", F.posexplode("columns").alias("slot", "name"))
-    first = listed.groupBy("name").agg(F.min(F.struct("slot", "file_number")).alias("at"))
-    names = [row["name"] for row in first.orderBy("at", "name").select("name").collect()]
+    if others_as_map:
+        names = list(vocab.STANDARD_FIELDS)
+    else:  # distinct column names over all files, in order of first appearance
+        listed = files.select("file_number", F.posexplode("columns").alias("slot", "name"))
+        first = listed.groupBy("name").agg(F.min(F.struct("slot", "file_number")).alias("at"))
+        names = [row["name"] for row in first.orderBy("at", "name").select("name").collect()]
     wanted = F.array(*[F.lit(name) for name in names])
+    others = F.array_distinct(F.filter("columns", lambda name: ~name.isin(*vocab.STANDARD_FIELDS))) if others_as_map else F.array().cast("array<string>")
 
     def slots(name: Column) -> Column:
         return F.filter(F.sequence(F.lit(0), F.size("columns") - 1), lambda i: F.get("columns", i) == name)
 
-    layout = files.select("file", "file_number", "delimiter", "header_position", "width", "names",
-                          F.transform(wanted, slots).alias("slots"))
+    layout = files.select("file", "file_number", "delimiter", "header_position", "width", "names", others.alias("others"),
+                          F.transform(wanted, slots).alias("slots"), F.transform(others, slots).alias("other_slots"))
 
-    body = join_dimension(lines, layout, "file", "inner").filter(F.col("line") > F.col("header_position"))
+    whole = _whole_records(lines, broken, files)
+    body = join_dimension(whole, layout, "file", "inner").filter(F.col("line") > F.col("header_position"))
     body = body.withColumn("cells", split_cells(F.col("text"), F.col("delimiter")))
     body = body.filter(F.exists("cells", lambda cell: cell.isNotNull()))
-    # A quoted cell without its closing quote: the line goes on in the next one.
-    quotes = F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit("")))
-    broken = (quotes % 2 == 1) & F.exists("cells", lambda cell: F.coalesce(cell.startswith('"'), F.lit(False)))
     same_text = F.forall(F.zip_with("names", "cells", lambda name, cell: (
         name.startswith(vocab.UNNAMED_COLUMN) | strip(F.coalesce(cell, F.lit(""))).eqNullSafe(name))), lambda same: same)
     some_name = F.exists("names", lambda name: ~name.startswith(vocab.UNNAMED_COLUMN))
     malformed = F.size("cells") > F.col("width")
 
-    def value(i: int) -> Column:
-        found = F.filter(F.transform(F.get("slots", F.lit(i)), lambda slot: F.get("cells", slot)), lambda cell: cell.isNotNull())
-        return F.when(~malformed, F.get(found, F.lit(0))).alias(names[i])
+    def aligned(where: str) -> Column:
+        """For every name the leftmost value of the row's columns that have it."""
+        def value(of_name: Column) -> Column:
+            return F.get(F.filter(F.transform(of_name, lambda slot: F.get("cells", slot)), lambda cell: cell.isNotNull()), F.lit(0))
+        return F.transform(where, value)
 
     fits = F.col("line") < (1 << _LINE_BITS)
     position = F.when(fits, F.shiftleft("file_number", _LINE_BITS).bitwiseOR(F.col("line"))).otherwise(
         F.raise_error(F.concat(F.lit("too large: "), "file")))
+    rest = F.map_filter(F.map_from_arrays("others", aligned("other_slots")), lambda _, value: value.isNotNull())
     placed = stage(body.select(
-        position.alias(ROW), "file", broken.alias("_broken"), malformed.alias("_malformed"),
-        (~malformed & same_text & some_name).alias("_repeat"), *[value(i) for i in range(len(names))]), "rows")
-    _refuse(placed.filter("_broken"), "a line break inside a quoted cell, or an unclosed quote, in")
-    kept = _filled_columns(placed, names)
-    rows = placed.filter("NOT _malformed AND NOT _repeat").select(ROW, *[F.col(f"`{c}`") for c in kept])
+        position.alias("position"), "file", malformed.alias("malformed"), (~malformed & same_text & some_name).alias("repeated"),
+        F.when(~malformed, aligned("slots")).alias("cells"), F.when(~malformed, rest).alias("others")), "rows")
+    value = [F.get("cells", F.lit(i)) for i in range(len(names))]
+    counted = placed.agg(F.count(F.lit(1)), *[F.count(v) for v in value]).first()[1:]
+    kept = [i for i, count in enumerate(counted) if count]
+    held = [*kept, len(names)] if others_as_map else kept
+    chosen = distinct_ignoring_case([*names, OTHERS], (ROW,)) if others_as_map else distinct_ignoring_case([names[i] for i in kept], (ROW,))
+    shown = [*value, F.col("others")]
+    rows = placed.filter("NOT malformed AND NOT repeated").select(
+        F.col("position").alias(ROW), *[shown[i].alias(chosen[i] if others_as_map else chosen[n]) for n, i in enumerate(held)])
     counts = placed.groupBy("file").agg(
-        F.count_if(~F.col("_malformed") & ~F.col("_repeat")).alias("rows"),
-        F.count_if(F.col("_malformed")).alias("malformed_lines"))
+        F.count_if(~F.col("malformed") & ~F.col("repeated")).alias("rows"),
+        F.count_if(F.col("malformed")).alias("malformed_lines"))
+    if others_as_map:
+        filled = placed.select("file", F.explode(F.concat(F.map_keys("others"), F.filter(
+            F.transform("cells", lambda cell, i: F.when(cell.isNotNull(), F.get(wanted, i))), lambda name: name.isNotNull()))).alias("name"))
+        columns = F.coalesce("columns_filled", F.lit(0)).cast("int")
+        counts = counts.join(filled.groupBy("file").agg(F.count_distinct("name").alias("columns_filled")), "file", "left")
+    else:
+        columns = F.size(F.array_intersect("columns", F.array(*[F.lit(names[i]) for i in kept])))
     facts = files.join(counts, "file", "left").select(
         "file", F.lit("CSV").alias("file_type"), "encoding", F.lit(None).cast("string").alias("sheet"),
         "delimiter", "header_row", F.coalesce("rows", F.lit(0)).alias("rows"),
-        F.coalesce("malformed_lines", F.lit(0)).alias("malformed_lines"),
-        F.size(F.array_intersect("columns", F.array(*[F.lit(c) for c in kept]))).alias("columns"))
+        F.coalesce("malformed_lines", F.lit(0)).alias("malformed_lines"), columns.alias("columns"))
     return Export(rows, facts)

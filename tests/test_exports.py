@@ -1,11 +1,14 @@
+import io
 import json
 import pathlib
+import random
 
+import pandas
 import pytest
 from pyspark.sql import functions as F
 
 from orderlens.plans import derived, metrics, workflow
-from orderlens.sources import dimensions, results
+from orderlens.sources import dimensions, exports, records, results
 from orderlens.sources.exports import load_order_exports
 
 FIXTURE = str(pathlib.Path(__file__).parent / "fixtures" / "orders_with_titles.csv")
@@ -126,7 +129,7 @@ def test_files_that_cannot_be_read_are_named(spark, tmp_path):
     (tmp_path / "odd.csv").write_bytes(b",,\n,,\n")
     with pytest.raises(ValueError, match="odd.csv"):
         load_order_exports(spark, str(tmp_path))
-    write(tmp_path, "odd.csv", '订单号,实付金额\nA1,"第一行\n第二行"\n')
+    write(tmp_path, "odd.csv", '订单号,实付金额\nA1,"第一行\n第二行\n')
     with pytest.raises(ValueError, match="odd.csv"):
         load_order_exports(spark, str(tmp_path))
 
@@ -137,6 +140,104 @@ def test_quotes_that_are_closed_or_inside_a_cell_are_kept(spark, tmp_path):
     assert [row[2] for row in rows] == ['a "b" c', '27" 屏', '"x"']
 
 
+def pandas_rows(text, mark):
+    frame = pandas.read_csv(io.StringIO(text), header=None, sep=mark, engine="python", dtype=object, keep_default_na=False)
+    return [tuple(v or None for v in row) for row in frame.itertuples(index=False)]
+
+
+@pytest.mark.parametrize("split, code", [(None, "utf-8"), ("2500", "gb18030")])
+def test_line_breaks_in_quoted_cells_whatever_the_splits(spark, tmp_path, split, code):
+    draw = random.Random(5)
+    cells = ["a", "b c", '"x\ny"', '"第一行\n\n第三行"', '"say ""no"", then\n""yes"""', '27" 屏', '"p, q"', '"\n"', "", '"long' + "\nline" * 40 + '"']
+    body = "".join(f"A{i},{i}," + draw.choice(cells) + "," + draw.choice(cells) + "\n" for i in range(120))
+    text = '"导出\n报表",,,\n"订单\n编号",实付金额,备注,说明\n' + body
+    path = write(tmp_path, "o.csv", text, code)
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        columns, rows = rows_of(load_order_exports(spark, path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = pandas_rows(text, ",")
+    assert columns == list(want[1]) and columns[0] == "订单\n编号"
+    assert rows == want[2:] and len(rows) == 120
+
+
+def test_states_follow_a_reader_line_by_line(spark):
+    draw = random.Random(9)
+    lines = ["".join(draw.choice('",;ab') for _ in range(draw.randint(0, 7))) for _ in range(400)]
+    marks = {",": 0, ";": 2}
+    table = spark.createDataFrame([("f", n // 7, n, t) for n, t in enumerate(lines)], "file string, block bigint, line bigint, text string").select(
+        "*", *records.quote_maps(F.col("text")))
+    for mark in marks:
+        found = {r["line"]: (r["before"], r["after"]) for r in records.line_states(table.withColumn("delimiter", F.lit(mark))).collect()}
+        inside = False
+        for n, text in enumerate(lines):
+            before, at, fresh = inside, 0, not inside  # fresh: at the start of a cell
+            while at < len(text):
+                c = text[at]
+                if inside:
+                    if text[at:at + 2] == '""':
+                        at += 1
+                    elif c == '"':
+                        inside = False
+                elif c == '"' and fresh:
+                    inside = True
+                fresh = not inside and c == mark
+                at += 1
+            assert found[n] == (before, inside), (n, text, mark)
+
+
+def test_a_stray_quote_over_too_many_lines_is_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "LONGEST_RECORD", 30)
+    path = write(tmp_path, "o.csv", '订单号,实付金额\nA1,"5\n' + "A2,6\n" * 40 + 'A3,"7"\nA4,8\n')
+    with pytest.raises(ValueError, match="o.csv"):
+        load_order_exports(spark, path)
+
+
+def test_names_of_any_kind_load_with_every_value(spark, tmp_path):
+    names = ["订单号", "实付金额", "file", "_row", "_broken", "Remark", "remark", "REMARK", "a`b", "a.b", "cells", "position", "others", "`", "$x"]
+    body = "".join(",".join(f"{n}{i}" for n in range(len(names))) + "\n" for i in range(3))
+    export = load_order_exports(spark, write(tmp_path, "o.csv", ",".join(names) + "\n" + body), delimiter=",")
+    columns, rows = rows_of(export)
+    assert columns == ["订单号", "实付金额", "file", "_row_2", "_broken", "Remark", "remark_2", "REMARK_3", *names[8:]]
+    assert rows == [tuple(f"{n}{i}" for n in range(len(names))) for i in range(3)]
+    assert export.files.first()["columns"] == len(names)
+    export.rows.write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_the_number_of_kept_lines_decides_between_delimiters(spark, tmp_path):
+    text = "订单号甲;乙,丙实付金额\n" + "".join(f"O{i};{i},1,2,3\n" for i in range(50))
+    export = load_order_exports(spark, write(tmp_path, "o.csv", text))
+    assert export.files.first()["delimiter"] == ";" and export.files.first()["rows"] == 50
+    columns, rows = rows_of(export)
+    assert columns == ["订单号甲", "乙,丙实付金额"] and rows[7] == ("O7", "7,1,2,3")
+
+
+def test_many_layouts_in_one_folder(spark, tmp_path):
+    for n in range(500):
+        write(tmp_path, f"f{n:03}.csv", f"订单号,实付金额,列{n},备注{n % 7}\nA{n},{n},x{n},\nB{n},{n},,y{n}\n")
+    export = load_order_exports(spark, str(tmp_path), others_as_map=True)
+    assert export.rows.columns == ["_row", "order_id", "total_amount", "other_columns"]
+    rows = {r["order_id"]: (r["total_amount"], r["other_columns"]) for r in export.rows.collect()}
+    assert len(rows) == 1000
+    assert all(rows[f"A{n}"] == (str(n), {f"列{n}": f"x{n}"}) and rows[f"B{n}"] == (str(n), {f"备注{n % 7}": f"y{n}"}) for n in range(500))
+    assert [r["columns"] for r in export.files.select("columns").distinct().collect()] == [4]
+    assert len(export.rows._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_loading_runs_no_python(spark, tmp_path):
+    write(tmp_path, "a.csv", "订单号,实付金额\nA1,5\n", "gb18030")
+    write(tmp_path, "b.csv", "订单号,实付金额\nA2,6\n")
+    lines = exports.scan_lines(spark, str(tmp_path))
+    found = exports.detect_encodings(lines)
+    assert {r["encoding"] for r in found.collect()} == {"gb18030", "utf-8-sig"}
+    with exports._java_charsets(spark):
+        plan = lines.groupBy("file").agg(F.bool_and(exports._readable("gbk")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and spark.conf.get("spark.sql.legacy.javaCharsets") == "false"
+
+
 def test_columns_with_one_name_are_merged(spark, tmp_path):
     text = "订单号,order_id,实付金额\n,K1,5\nH2,K2,6\n"
     export = load_order_exports(spark, write(tmp_path, "o.csv", text), standard_names=True)
@@ -223,7 +324,7 @@ def test_masking_and_display(spark, imported):
     assert masked["users"].columns == ["message"]
     assert derived.mask_users(done, user_missing=False)["users"] is done["users"]
     shown = derived.display(done["categories"], "categories")
-    assert plain(shown) == [("未分类", 2, "¥1,487.00", 4.0)] and shown.columns == ["品类", "订单数", "销售额 GMV", "销量"]
+    assert plain(shown) == [("未分类", 2, "¥2,320.00", 6.0)] and shown.columns == ["品类", "订单数", "销售额 GMV", "销量"]
 
 
 def test_user_view(spark, imported):
