@@ -69,6 +69,20 @@ def visible_kpis(summary: DataFrame, change: DataFrame, availability: DataFrame,
     )
 
 
+def visible_facts(facts: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """The KPI row of ``visible_kpis`` from ``metrics.order_facts``, which reads the lines once.
+
+    ``users`` is one row with ``unique_users``; without it, as without a user dimension, the figure is NULL.
+    """
+    unique = F.lit(None).cast("bigint") if users is None else users.select("unique_users").scalar()
+    has_amount = F.col("valid_amount_rows") > 0
+    return facts.select(
+        "total_orders", unique.alias("unique_users"),
+        F.when(has_amount, F.coalesce("total_gmv", F.lit(0.0))).alias("total_gmv"),
+        F.when(has_amount, F.coalesce("avg_order_value", F.lit(0.0))).alias("avg_order_value"),
+        F.when(has_amount & F.col("has_dates"), F.col("change_text")).alias("gmv_change"))
+
+
 def mask_users(results: Mapping[str, DataFrame], user_missing: bool) -> dict[str, DataFrame]:
     """Without a user dimension, user figures must not reach a report."""
     masked = dict(results)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import vocab
 from ..functions import fallback, period_label, safe_ratio, signed_percent_text
@@ -279,39 +279,79 @@ def status_distribution(orders: DataFrame) -> DataFrame:
 
 def high_value_orders(orders: DataFrame, statuses: Iterable[str] | None = None,
                       limit: int = vocab.TOP_ORDERS) -> DataFrame:
-    """Largest orders above three times the mean order total.
+    """Largest orders above three times the mean order total, from one scan and one shuffle of the lines.
 
-    Totals alone decide which orders qualify; statuses, dates and users are then gathered
-    for the few that remain.
+    The orders are aggregated once. The largest ones are candidates whatever the mean is, and the mean is the sum of
+    all totals by their number, so each partition keeps its ``limit`` largest orders and two numbers.
     """
-    lines = orders.filter(status_filter(statuses))
-    totals = lines.groupBy("order_id").agg(_as_double(_amount()).alias("total_amount"))
-    threshold = lines.groupBy("order_id").agg(_as_double(_amount()).alias("total_amount")).agg(
-        F.avg("total_amount") * vocab.HIGH_VALUE_FACTOR
-    ).scalar()
-    best = (
-        totals.filter(F.col("total_amount") > threshold)
+    totals = orders.filter(status_filter(statuses)).groupBy("order_id").agg(
+        _as_double(_amount()).alias("total_amount"),
+        F.min("user_id").alias("user_id"),
+        F.min("order_date").alias("order_date"),
+        F.sum("quantity").alias("quantity"),
+        F.collect_set("status_norm").alias("_statuses"),  # at most one entry per known status
+        F.max("is_anomaly").alias("is_anomaly"),
+    ).withColumn("_part", F.spark_partition_id())
+    by_size = Window.partitionBy("_part").orderBy(F.desc_nulls_last("total_amount"), F.col("order_id"))
+    everything = Window.partitionBy("_part")
+    local = totals.withColumns({
+        "_rank": F.row_number().over(by_size),
+        "_sum": F.sum("total_amount").over(everything), "_count": F.count("total_amount").over(everything),
+    }).filter(F.col("_rank") <= limit)
+    # From here on: at most ``limit`` rows per shuffle partition.
+    all_parts = Window.partitionBy(F.lit(0))
+    first = F.col("_rank") == 1
+    mean = F.sum(F.when(first, F.col("_sum"))).over(all_parts) / F.sum(F.when(first, F.col("_count"))).over(all_parts)
+    return (
+        local.withColumn("_mean", mean)
+        .filter(F.col("total_amount") > F.col("_mean") * vocab.HIGH_VALUE_FACTOR)
         .orderBy(F.desc("total_amount"), "order_id")
         .limit(limit)
-        .select(F.col("order_id").alias("_order"), F.col("total_amount").alias("_total"))
-    )
-    # Bounded by the limit, whatever the table holds.
-    return (
-        lines.join(F.broadcast(best), F.col("order_id").eqNullSafe(F.col("_order")))
-        .groupBy("order_id", "_total")
-        .agg(
-            F.min("user_id").alias("user_id"),
-            F.min("order_date").alias("order_date"),
-            F.sum("quantity").alias("quantity"),
-            F.array_join(F.array_sort(F.collect_set("status_norm")), STATUS_TEXT).alias("status_norm"),
-            F.max("is_anomaly").alias("is_anomaly"),
-        )
-        .select("order_id", "user_id", "order_date", "quantity",
-                F.col("_total").alias("total_amount"), "status_norm", "is_anomaly")
+        .select("order_id", "user_id", "order_date", "quantity", "total_amount",
+                F.array_join(F.array_sort("_statuses"), STATUS_TEXT).alias("status_norm"), "is_anomaly")
         .orderBy(F.desc("total_amount"), "order_id")
     )
 
 
+def order_facts(orders: DataFrame, statuses: Iterable[str] | None = None, granularity: str = vocab.MONTH) -> DataFrame:
+    """One row with what the KPI cards need, from one scan: totals of the chosen statuses, the GMV of their last two periods,
+    rows with an amount and whether any row has a date, of all statuses.
+
+    Lines are aggregated by period and order first, so distinct orders are counted without a second copy of every line.
+    Users are left out; see ``kpi_summary``.
+    """
+    chosen = F.coalesce(status_filter(statuses), F.lit(False))
+    period = F.when(chosen & F.col("order_date").isNotNull(), period_label(F.col("order_date"), granularity))
+    amount = F.col("total_amount")
+    per_order = orders.groupBy(F.when(chosen, F.col("order_id")).alias("order_id"), period.alias("period")).agg(
+        F.sum(F.when(chosen, amount)).alias("gmv"),
+        F.count_if(amount > 0).alias("valid_rows"),
+        F.max(F.col("order_date").isNotNull()).alias("dated"),
+        F.max(chosen).alias("chosen"),
+    )
+    # An order may have lines in several periods: it counts once, with its first period's row or the one without.
+    by_order = Window.partitionBy("order_id").orderBy(F.col("period").asc_nulls_first())
+    counted = per_order.withColumn("_first", (F.row_number().over(by_order) == 1) & F.col("order_id").isNotNull())
+    per_period = counted.groupBy("period").agg(
+        F.sum("gmv").alias("gmv"), F.sum("valid_rows").alias("valid_rows"), F.max("dated").alias("dated"), F.count_if("_first").alias("orders"))
+    dated = F.col("period").isNotNull()
+    last = F.max(F.when(dated, F.struct("period", F.coalesce(_as_double(F.col("gmv")), F.lit(0.0)).alias("gmv"))))
+    ends = F.slice(F.reverse(F.array_sort(F.collect_list(F.when(dated, F.struct(
+        "period", F.coalesce(_as_double(F.col("gmv")), F.lit(0.0)).alias("gmv")))))), 1, 2)  # one entry per period
+    total = F.sum("gmv")
+    facts = per_period.agg(
+        F.coalesce(F.sum("orders"), F.lit(0)).alias("total_orders"),
+        _as_double(total).alias("total_gmv"),
+        safe_ratio(_as_double(total), F.sum("orders").cast("double")).alias("avg_order_value"),
+        F.coalesce(F.sum("valid_rows"), F.lit(0)).alias("valid_amount_rows"),
+        F.coalesce(F.max("dated"), F.lit(False)).alias("has_dates"),
+        last["gmv"].alias("current"), ends.alias("_ends"),
+    )
+    previous = F.get("_ends", F.lit(1))["gmv"]
+    change = F.when(previous > 0, (F.col("current") - previous) / previous * 100)
+    return facts.withColumn("change_text", signed_percent_text(change)).drop("_ends", "current")
+
+
 def flagged_orders(orders: DataFrame, statuses: Iterable[str] | None = None) -> DataFrame:
     return orders.filter((F.col("is_anomaly") == 1) & status_filter(statuses)).agg(
         F.count_distinct("order_id").alias("count")

@@ -279,24 +279,25 @@ def load_order_exports(spark: SparkSession, paths: str | list[str], *, encoding:
     fits = F.col("line") < (1 << _LINE_BITS)
     position = F.when(fits, F.shiftleft("file_number", _LINE_BITS).bitwiseOR(F.col("line"))).otherwise(
         F.raise_error(F.concat(F.lit("too large: "), "file")))
-    rest = F.map_filter(F.map_from_arrays("others", aligned("other_slots")), lambda _, value: value.isNotNull())
+    entries = F.zip_with("others", aligned("other_slots"), lambda name, value: F.struct(name.alias("name"), value.alias("value")))
+    rest = F.map_from_entries(F.filter(entries, lambda entry: entry["value"].isNotNull()))
     placed = stage(body.select(
         position.alias("position"), "file", malformed.alias("malformed"), (~malformed & same_text & some_name).alias("repeated"),
-        F.when(~malformed, aligned("slots")).alias("cells"), F.when(~malformed, rest).alias("others")), "rows")
-    value = [F.get("cells", F.lit(i)) for i in range(len(names))]
+        F.when(~malformed, aligned("slots")).alias("values"), F.when(~malformed, rest).alias("rest")), "rows")
+    value = [F.get("values", F.lit(i)) for i in range(len(names))]
     counted = placed.agg(F.count(F.lit(1)), *[F.count(v) for v in value]).first()[1:]
     kept = [i for i, count in enumerate(counted) if count]
     held = [*kept, len(names)] if others_as_map else kept
     chosen = distinct_ignoring_case([*names, OTHERS], (ROW,)) if others_as_map else distinct_ignoring_case([names[i] for i in kept], (ROW,))
-    shown = [*value, F.col("others")]
+    shown = [*value, F.col("rest")]
     rows = placed.filter("NOT malformed AND NOT repeated").select(
         F.col("position").alias(ROW), *[shown[i].alias(chosen[i] if others_as_map else chosen[n]) for n, i in enumerate(held)])
     counts = placed.groupBy("file").agg(
         F.count_if(~F.col("malformed") & ~F.col("repeated")).alias("rows"),
         F.count_if(F.col("malformed")).alias("malformed_lines"))
     if others_as_map:
-        filled = placed.select("file", F.explode(F.concat(F.map_keys("others"), F.filter(
-            F.transform("cells", lambda cell, i: F.when(cell.isNotNull(), F.get(wanted, i))), lambda name: name.isNotNull()))).alias("name"))
+        filled = placed.select("file", F.explode(F.concat(F.map_keys("rest"), F.filter(
+            F.transform("values", lambda cell, i: F.when(cell.isNotNull(), F.get(wanted, i))), lambda name: name.isNotNull()))).alias("name"))
         columns = F.coalesce("columns_filled", F.lit(0)).cast("int")
         counts = counts.join(filled.groupBy("file").agg(F.count_distinct("name").alias("columns_filled")), "file", "left")
     else:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,6 +136,33 @@ def test_visible_kpis(spark, amount, missing, expected):
     assert plain(shown) == [expected]
 
 
+    users = None if missing else metrics.kpi_summary(orders)
+    assert plain(derived.visible_facts(metrics.order_facts(orders), users)) == [expected]
+
+
+def test_facts_of_one_scan_equal_the_single_results(spark):
+    draw = random.Random(3)
+    rows = [line(draw.choice(["a", "b", "c", "d", "e", None]), amount=draw.choice([0.0, 1.0, 2.5, None]), status=draw.choice(["completed", "refunded", None]),
+                 day=draw.choice([None, dt.datetime(2026, 1, 1), dt.datetime(2026, 2, 1), dt.datetime(2026, 5, 1)])) for _ in range(200)]
+    for some in (rows, rows[:3], [r for r in rows if "refunded" in r], rows[:0]):
+        orders = lines(spark, some)
+        for statuses in (None, ["completed", "refunded"], ["no status"]):
+            fact = metrics.order_facts(orders, statuses).first()
+            summary, availability = metrics.kpi_summary(orders, statuses).first(), metrics.amount_availability(orders).first()
+            assert (fact["total_orders"], fact["total_gmv"], fact["avg_order_value"]) == (summary["total_orders"], summary["total_gmv"], summary["avg_order_value"])
+            assert fact["valid_amount_rows"] == availability["valid_amount_rows"]
+            assert fact["has_dates"] == metrics.has_order_dates(orders).first()[0]
+            assert fact["change_text"] == metrics.gmv_change(metrics.gmv_trend(orders, statuses=statuses)).first()["change_text"]
+    plan = metrics.order_facts(lines(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") == 1 and "Expand" not in plan
+
+
+def test_high_value_orders_read_the_lines_once(spark):
+    orders = lines(spark, [line(f"s{i}", amount=float(i % 7)) for i in range(60)])
+    plan = metrics.high_value_orders(orders)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") == 1
+
+
 def test_prepared_defaults_can_be_analysed(spark):
     orders = prepare.prepare_orders(spark.createDataFrame([("A", 5.0)], "order_id string, total_amount double"))
     assert plain(metrics.kpi_summary(orders)) == [(1, 1, 1, 5.0, 5.0)]

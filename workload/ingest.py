@@ -11,6 +11,7 @@ from orderlens import vocab
 from orderlens.operators import headers, matching
 from orderlens.operators.staging import shared_folder
 from orderlens.plans import derived, metrics, workflow
+from orderlens.sources import dimensions
 from orderlens.sources.exports import leading_lines, load_order_exports
 from orderlens.sources.results import report_payload
 
@@ -106,14 +107,16 @@ def _write_export(spark, sf_dir, code: str, mark: str, columns: dict[str, str] =
                   above: int = 0, more: tuple[str, ...] = ()) -> str:
     """Write the line items as delimited text; every file starts with titles and a header.
 
-    ``above`` lines of delimiters stand before the titles. ``more`` are expressions over ``text`` and the columns
-    of the line item that give a further line or NULL.
+    ``above`` lines of delimiters stand before the titles. ``more`` are expressions over ``text``, the number ``at`` of the line
+    in its file and the columns of the line item that give a further line or NULL.
     """
-    quoted = [f"CASE WHEN contains({e}, '{mark}') OR contains({e}, '\"') THEN concat('\"', replace({e}, '\"', '\"\"'), '\"') ELSE {e} END"
+    quoted = [f"CASE WHEN contains({e}, '{mark}') OR contains({e}, '\"') OR contains({e}, chr(10)) THEN concat('\"', replace({e}, '\"', '\"\"'), '\"') ELSE {e} END"
               for e in columns.values()]
-    lines = table(spark, sf_dir, "lineitem").selectExpr("*", f"concat_ws('{mark}', {', '.join(quoted)}) AS text").selectExpr(
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "*", "monotonically_increasing_id() & 8589934591 AS at", f"concat_ws('{mark}', {', '.join(quoted)}) AS text").selectExpr(
         f"explode(filter(array({', '.join(['text', *more])}), line -> line IS NOT NULL)) AS text")
-    head = [mark * 3] * above + ["订单明细导出", "统计周期" + mark + "全部", mark.join(columns)]
+    names = ['"' + c.replace('"', '""') + '"' if "\n" in c else c for c in columns]
+    head = [mark * 3] * above + ["订单明细导出", "统计周期" + mark + "全部", mark.join(names)]
 
     def encode(batches):
         first = True
@@ -171,6 +174,85 @@ def load_same_field_twice(spark, sf_dir):
     return rows.select("order_id", "total_amount")
 
 
+_MULTILINE = {
+    "订单\n编号": _EXPORT["商家订单编号"],
+    "实付金额": _EXPORT["成交件数"],
+    "备注": """CASE l_linenumber WHEN 1 THEN concat('第', CAST(l_partkey AS STRING), '件', chr(10), chr(10), '请"尽快"', chr(10), '发货,谢谢')
+      WHEN 2 THEN concat(chr(10), CAST(l_suppkey AS STRING)) WHEN 3 THEN concat(CAST(l_suppkey AS STRING), '" 屏') ELSE '无' END""",
+}
+
+
+def load_multiline_export(spark, sf_dir):
+    """Quoted cells with line breaks, in a header too, read in many splits that end anywhere."""
+    folder = _write_export(spark, sf_dir, "gb18030", ",", _MULTILINE)
+    splits = {"spark.sql.files.maxPartitionBytes": "256k", "spark.sql.files.openCostInBytes": "64k"}
+    before = {key: spark.conf.get(key) for key in splits}
+    for key, value in splits.items():
+        spark.conf.set(key, value)
+    try:
+        rows = load_order_exports(spark, folder).rows.drop("_row")
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    return rows.toDF("order_id", "paid", "remark")
+
+
+_AWKWARD = {
+    "订单号": _EXPORT["商家订单编号"], "实付金额": _EXPORT["成交件数"], "file": "concat('f', CAST(l_suppkey AS STRING))",
+    "_row": "CAST(l_linenumber AS STRING)", "Remark": "concat('R', CAST(l_partkey AS STRING))", "remark": "concat('r', CAST(l_partkey AS STRING))",
+    "a`b": "concat('`', CAST(l_suppkey AS STRING))", "cells": "concat('c', CAST(l_linenumber AS STRING))",
+}
+
+
+def load_awkward_names(spark, sf_dir):
+    """Names that the loader uses itself, that differ in case only, or that hold a backtick."""
+    rows = load_order_exports(spark, _write_export(spark, sf_dir, "utf-8", ",", _AWKWARD)).rows.drop("_row")
+    if rows.columns != ["订单号", "实付金额", "file", "_row_2", "Remark", "remark_2", "a`b", "cells"]:
+        raise ValueError(f"other names: {rows.columns}")
+    return rows.toDF("order_id", "paid", "file", "line", "remark_upper", "remark_lower", "quoted", "cells")
+
+
+def load_by_kept_lines(spark, sf_dir):
+    """Two delimiters find headers of equal worth; only the number of lines that fit decides."""
+    columns = {"订单号甲": _EXPORT["商家订单编号"], "乙,丙实付金额": f"concat({_EXPORT['成交件数']}, ',1,2,3')"}
+    export = load_order_exports(spark, _write_export(spark, sf_dir, "utf-8", ";", columns))
+    return export.rows.drop("_row").toDF("order_id", "paid")
+
+
+def load_repeated_headers(spark, sf_dir):
+    """The header comes again in the data, behind the search window (in which the later one would count); such lines are not rows."""
+    again = f"CASE WHEN l_linenumber = 4 AND at > 100 THEN '{','.join(_EXPORT)}' END"
+    export = load_order_exports(spark, _write_export(spark, sf_dir, "utf-8", ",", more=(again,)))
+    return export.rows.groupBy("交易状态").agg(F.count(F.lit(1)).alias("lines"))
+
+
+_LAYOUTS = 40
+
+
+def load_many_layouts(spark, sf_dir):
+    """A folder in which every file has a column of its own: standard fields, and a map for the others."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        f"l_suppkey % {_LAYOUTS} AS layout", "1 AS n",
+        f"concat_ws(',', {_EXPORT['商家订单编号']}, {_EXPORT['成交件数']}, concat('x', l_partkey), CASE WHEN l_linenumber = 1 THEN 'first' END) AS text")
+    heads = lines.select("layout").distinct().selectExpr("layout", "0 AS n", "concat('订单号,实付金额,列', layout, ',说明') AS text")
+    folder = f"{shared_folder(spark).rstrip('/')}/layouts-{uuid.uuid4().hex}"
+    lines.unionAll(heads).repartition("layout").sortWithinPartitions("layout", "n").select("layout", "text").write.partitionBy("layout").text(folder)
+    rows = load_order_exports(spark, folder, others_as_map=True).rows
+    return rows.select("order_id", "total_amount", F.explode("other_columns").alias("name", "value"))
+
+
+def load_dimensions(spark, sf_dir):
+    """Products from a file with a header, as SQL users see them: beside the order lines, through registered views."""
+    folder = f"{shared_folder(spark).rstrip('/')}/products-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "part").selectExpr(
+        "concat('P', p_partkey) AS product_id", "p_name AS product_name", "p_type AS category", "p_brand AS brand",
+        "p_size AS price", "p_size - 1 AS cost").write.option("header", True).csv(folder)
+    orders = order_lines(spark, sf_dir).select(F.concat(F.lit("P"), F.col("product_id")).alias("product_id"), "quantity")
+    dimensions.register_views(orders, dimensions.load_products(spark, folder))
+    return spark.sql("""SELECT p.brand, count(*) AS lines, sum(o.quantity) AS quantity, sum(o.quantity * (p.price - p.cost)) AS margin
+FROM orders o JOIN products p USING (product_id) GROUP BY p.brand""")
+
+
 def import_and_summarise(spark, sf_dir):
     """The whole way from text files to the KPI summary."""
     export = load_order_exports(spark, _write_export(spark, sf_dir, "utf-8", ","))
@@ -189,7 +271,8 @@ def result_payload(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     match_scores, suggest_mapping, unique_column_names, detect_header, load_exports, load_mixed_exports,
-    export_files, load_padded_exports, load_same_field_twice, import_and_summarise, result_payload)}
+    export_files, load_padded_exports, load_same_field_twice, load_multiline_export, load_awkward_names, load_by_kept_lines,
+    load_repeated_headers, load_many_layouts, load_dimensions, import_and_summarise, result_payload)}
 
 # --- SQL checks -------------------------------------------------------------------------------------------
 _FIELD_ROWS = ", ".join(f"({i}, '{field}')" for i, field in enumerate(vocab.STANDARD_FIELDS))
@@ -249,6 +332,18 @@ FROM lineitem GROUP BY 1
 UNION ALL SELECT 'malformed', count(*), 3 FROM lineitem WHERE l_linenumber = 3""",
     "load_same_field_twice": """SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'K' ELSE 'H' END || CAST(l_orderkey AS VARCHAR) AS order_id,
   CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS total_amount FROM lineitem""",
+    "load_multiline_export": "SELECT " + ", ".join(
+        f"{e.replace('STRING', 'VARCHAR')} AS {n}" for n, e in zip(("order_id", "paid", "remark"), _MULTILINE.values())) + " FROM lineitem",
+    "load_awkward_names": "SELECT " + ", ".join(f"{e.replace('STRING', 'VARCHAR')} AS {n}" for n, e in zip(
+        ("order_id", "paid", "file", "line", "remark_upper", "remark_lower", "quoted", "cells"), _AWKWARD.values())) + " FROM lineitem",
+    "load_by_kept_lines": f"SELECT {_EXPORT_SQL['商家订单编号']} AS order_id, {_EXPORT_SQL['成交件数']} || ',1,2,3' AS paid FROM lineitem",
+    "load_repeated_headers": f"""SELECT {_EXPORT_SQL['交易状态']} AS "交易状态", count(*) AS lines FROM lineitem GROUP BY 1""",
+    "load_many_layouts": f"""WITH cells AS (SELECT {_EXPORT_SQL['商家订单编号']} AS order_id, {_EXPORT_SQL['成交件数']} AS total_amount,
+    '列' || (l_suppkey % {_LAYOUTS}) AS own, 'x' || l_partkey AS value, l_linenumber FROM lineitem)
+SELECT order_id, total_amount, own AS name, value FROM cells
+UNION ALL SELECT order_id, total_amount, '说明', 'first' FROM cells WHERE l_linenumber = 1""",
+    "load_dimensions": """SELECT p_brand AS brand, count(*) AS lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity,
+  CAST(sum(l_quantity) AS DOUBLE) AS margin FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""",
     "import_and_summarise": f"""WITH lines AS (SELECT DISTINCT {_EXPORT_SQL['商家订单编号']} AS order_id, {_EXPORT_SQL['买家UID']} AS user_id,
     {_EXPORT_SQL['商品标题']} AS product_id, l_shipdate, l_quantity, l_returnflag, {_EXPORT_SQL['备注']} AS remark,
     CASE WHEN l_linenumber = 1 THEN floor(l_extendedprice) + 0.5 ELSE floor(l_extendedprice) END AS amount FROM lineitem)

@@ -107,15 +107,15 @@ def order_counts(spark, sf_dir):
 
 
 def no_known_status(spark, sf_dir):
-    """A selection without a known status matches no rows."""
-    return metrics.kpi_summary(order_lines(spark, sf_dir), ["shipped?"])
+    """A selection without a known status matches no rows; unknown ones beside known ones are left out."""
+    lines = order_lines(spark, sf_dir)
+    chosen = {"unknown": ["shipped?"], "mixed": ["shipped?", "refunded"]}
+    parts = [metrics.kpi_summary(lines, statuses).withColumn("selection", F.lit(name)) for name, statuses in chosen.items()]
+    return parts[0].unionByName(parts[1])
 
 
 def visible_kpis(spark, sf_dir):
-    lines = order_lines(spark, sf_dir)
-    return derived.visible_kpis(
-        metrics.kpi_summary(lines), metrics.gmv_change(metrics.gmv_trend(lines)),
-        metrics.amount_availability(lines), metrics.has_order_dates(lines), user_missing=True)
+    return derived.visible_facts(metrics.order_facts(order_lines(spark, sf_dir)))
 
 
 def display_status_distribution(spark, sf_dir):
@@ -204,7 +204,8 @@ _ORDER_DIST = """SELECT order_count, count(DISTINCT user_id) AS users,
 
 ORACLE = {
     "kpi_summary": _kpi(_COMPLETED),
-    "no_known_status": _kpi("1 = 0"),
+    "no_known_status": "SELECT *, 'unknown' AS selection FROM (" + _kpi("1 = 0") + ") UNION ALL SELECT *, 'mixed' AS selection FROM ("
+                       + _kpi("status_norm = 'refunded'") + ")",
     "gmv_trend_month": _with(_trend(7, _COMPLETED)),
     "gmv_trend_day": _with(_trend(10, _ALL_STATUSES)),
     "gmv_change": _with(
