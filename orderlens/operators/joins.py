@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
+ROW = "_row"  # position of a row in its source, where a table has one
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -48,8 +49,13 @@ def join_dimension(facts: DataFrame, dimension: DataFrame, key: str, how: str =
 
 
 def first_per_key(dimension: DataFrame, key: str, value: str, order: Column | None = None) -> DataFrame:
-    """First ``value`` of every non-null ``key``, in scan order unless ``order`` is given."""
-    position = F.monotonically_increasing_id() if order is None else order
+    """First ``value`` of every non-null ``key``: by ``order``, else by the positions of the table, else in scan order.
+
+    Scan order depends on how files are split and packed; tables loaded with positions do not.
+    """
+    if order is None:
+        order = F.col(ROW) if ROW in dimension.columns else F.monotonically_increasing_id()
+    position = order
     return (
         dimension.filter(F.col(key).isNotNull())
         .select(key, value, position.alias("_position"))

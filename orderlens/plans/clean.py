@@ -10,22 +10,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import vocab
 from ..functions import (
     drop_nan, is_blank, main_category, normalize_status, parse_datetime, parse_number, strip,
 )
 from ..operators.columns import coalesce_same_named
-from ..operators.joins import first_per_key, join_dimension
+from ..operators.joins import ROW, first_per_key, join_dimension
 from ..operators.numbering import number_rows
 from ..operators.staging import stage
 
-ROW = "_row"            # optional input column: position of the row in its source
 COPIES = "_copies"      # how many identical lines a kept line stands for
 KEPT = "_kept"          # false for a line whose date cannot be read
 _COUNT = "_n_"          # prefix of the counters behind the report
 _PARSED = "_parsed_"    # prefix of values read from text cells
+NO_INPUT = "no_orders_read"
 _NUMBERS = ("quantity", "unit_price", "total_amount")
 
 # Report rules in order: (step, rule).
@@ -306,14 +306,24 @@ def cleaning_report(steps: DataFrame, lines: DataFrame, threshold: float | None
     return counted.unionAll(structure).unionAll(abnormal).filter("affected_rows > 0")
 
 
-def clean_orders(orders: DataFrame, products: DataFrame | None = None,
+def _nothing_read() -> Cleaned:
+    """Without a table there are no lines and no columns, and the report says so."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    report = spark.createDataFrame([(0, NO_INPUT, 0)], "step int, rule string, affected_rows bigint")
+    return Cleaned(spark.createDataFrame([], T.StructType([])), report)
+
+
+def clean_orders(orders: DataFrame | None, products: DataFrame | None = None,
                  users: DataFrame | None = None, *, threshold: float | None = None,
                  order_by: Sequence[str] | None = None, year: int | None = None) -> Cleaned:
     """Clean mapped order lines.
 
     The lines after removal of duplicates are written once to the shared folder, because
-    the order numbers, the quantity threshold, the report and every later metric read them.
+    the order numbers, the quantity threshold, the report and every later metric read them. No table (None) gives
+    no lines and a report of one row, NO_INPUT.
     """
+    if orders is None:
+        return _nothing_read()
     df = remove_duplicates(standardise_values(orders, users))
     df = parse_dates(normalise_statuses(df), year)
     df = stage(fill_product_ids(fill_amounts(fill_prices(df, products))), "clean")

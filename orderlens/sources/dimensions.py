@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import vocab
+from ..operators.joins import ROW
 
 PRODUCT_SCHEMA = ("product_id string, product_name string, category string, brand string, "
                   "price double, cost double")
@@ -18,12 +19,26 @@ _PRODUCT_DEFAULTS = {
 }
 
 
-def load_products(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return spark.read.option("header", True).schema(PRODUCT_SCHEMA).csv(paths)
+def _read(spark: SparkSession, paths: str | list[str], schema: str, positions: bool) -> DataFrame:
+    rows = spark.read.option("header", True).schema(schema).csv(paths)
+    if not positions:
+        return rows
+    # Files by path, parts of a file by offset, rows by their order in the part: no other split or number of tasks
+    # changes which of two rows comes first.
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"))
+    return rows.select(*rows.columns, place.alias(ROW))
 
 
-def load_users(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return spark.read.option("header", True).schema(USER_SCHEMA).csv(paths)
+def load_products(spark: SparkSession, paths: str | list[str], positions: bool = False) -> DataFrame:
+    """Products from CSV files with a header; ``positions`` adds where each row stands, so that "first entry" has one meaning."""
+    return _read(spark, paths, PRODUCT_SCHEMA, positions)
+
+
+def load_users(spark: SparkSession, paths: str | list[str], positions: bool = False) -> DataFrame:
+    """Users, as ``load_products``."""
+    return _read(spark, paths, USER_SCHEMA, positions)
 
 
 def complete_products(products: DataFrame) -> DataFrame:
@@ -46,5 +61,5 @@ def register_views(orders: DataFrame, products: DataFrame | None = None,
     """Make ``orders``, ``products`` and ``users`` available to SQL queries."""
     spark = orders.sparkSession
     orders.createOrReplaceTempView("orders")
-    complete_products(no_products(spark) if products is None else products).createOrReplaceTempView("products")
-    (no_users(spark) if users is None else users).createOrReplaceTempView("users")
+    complete_products(no_products(spark) if products is None else products).drop(ROW).createOrReplaceTempView("products")
+    (no_users(spark) if users is None else users).drop(ROW).createOrReplaceTempView("users")

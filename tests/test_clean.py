@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from orderlens.operators import joins
 from orderlens.plans import clean, prepare, checks
+from orderlens.sources.dimensions import load_users
 
 SCHEMA = ("order_id string, order_date string, quantity string, unit_price string, total_amount string, "
           "status string, product_name string")
@@ -199,3 +200,28 @@ def test_look_ups_agree_when_the_dimension_is_too_large_to_broadcast(spark, monk
     small = lines()
     monkeypatch.setattr(joins.join_dimension, "__kwdefaults__", {"broadcast_bytes": 0, "salts": 4})
     assert lines() == small
+
+
+def test_no_table_gives_no_lines_and_says_so(spark):
+    done = clean.clean_orders(None)
+    assert done.lines.columns == [] and done.lines.count() == 0
+    assert [tuple(r) for r in done.report.collect()] == [(0, "no_orders_read", 0)]
+
+
+def test_the_first_entry_does_not_depend_on_splits(spark, tmp_path):
+    for name, first in (("b.csv", 0), ("a.csv", 1), ("c.csv", 2)):  # the smallest file comes first by name, not by size
+        rows = "".join(f"U{i},n,F,20,城{name[0]}{i % 9}-{k},普通,2025-01-01\n" for k in range(2) for i in range(first * 10, 40 + first * 400))
+        (tmp_path / name).write_text("user_id,username,gender,age,city,user_level,registration_date\n" + rows, "utf-8")
+    orders = spark.createDataFrame([(f"o{i}", f"U{i}", None) for i in range(60)], "order_id string, user_id string, city string")
+    seen = set()
+    for split in ("128m", "6000", "1500"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            users = load_users(spark, str(tmp_path), positions=True)
+            seen.add(tuple(sorted((r["order_id"], r["city"]) for r in clean.fill_city(orders, users).select("order_id", "city").collect())))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(seen) == 1
+    [rows] = seen
+    cities = dict(rows)
+    assert cities["o12"] == "城a3-0" and cities["o2"] == "城b2-0" and cities["o59"] == "城a5-0"

@@ -271,11 +271,13 @@ FROM dated d LEFT JOIN dims_products p ON d.product_id = p.product_id WHERE d.or
   CASE WHEN COALESCE(total_amount, quantity * unit_price) IS NULL THEN 1.0 ELSE is_anomaly END AS is_anomaly),
   CAST(total_amount IS NULL AND quantity * unit_price IS NOT NULL AS INT) AS n_computed,
   CAST(COALESCE(total_amount, quantity * unit_price) IS NULL AS INT) AS n_unresolved FROM priced)"""
-    limits = """limits AS (SELECT COALESCE(CASE WHEN count(*) >= 2 AND stddev_samp(quantity) > 0
-  THEN greatest(CAST(round_even(avg(quantity) + 3 * stddev_samp(quantity), 0) AS DOUBLE), 10.0) END, 20.0) AS threshold
-FROM amounts WHERE quantity > 0)"""
-    flagged = """abnormal AS (SELECT amounts.*, COALESCE(quantity <= 0 OR quantity > threshold
-  OR COALESCE(unit_price < 0, FALSE) OR total_amount < 0, FALSE) AS odd FROM amounts CROSS JOIN limits),
+    # The threshold comes from windows over the lines themselves, so that the step is read once.
+    positive = "FILTER (WHERE quantity > 0) OVER ()"
+    limits = f"""limited AS (SELECT *, COALESCE(CASE WHEN count(*) {positive} >= 2 AND stddev_samp(quantity) {positive} > 0
+  THEN greatest(CAST(round_even(avg(quantity) {positive} + 3 * stddev_samp(quantity) {positive}, 0) AS DOUBLE), 10.0) END, 20.0) AS threshold
+FROM amounts)"""
+    flagged = """abnormal AS (SELECT *, COALESCE(quantity <= 0 OR quantity > threshold
+  OR COALESCE(unit_price < 0, FALSE) OR total_amount < 0, FALSE) AS odd FROM limited),
 flagged AS (SELECT * REPLACE (CASE WHEN odd THEN 1 ELSE CAST(trunc(is_anomaly) AS INT) END AS is_anomaly) FROM abnormal)"""
     return [valued, unique, dated, priced, amounts, limits, flagged]
 
