@@ -26,19 +26,20 @@ from .memory import parts, tidy
 FILTERS = "ABCDE"
 BLOCK_BYTES = 16 << 20  # text in a block, unless one document is longer
 BLOCK_WORDS = 65_000  # distinct words after which a block ends, so that two bytes number them
-FAN = 64  # blocks, or inner nodes, that meet in one task
+FAN = 512  # blocks, or inner nodes, whose words of one bucket meet in one task
 BUCKET_WORDS = 1 << 18
-MOST_BUCKETS = 4096
+BUCKET_BITS = 12  # a bucket is at most so many leading bits of a word's hash
 _CONTINUING = bytes(range(0x80, 0xC0))
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 
 
 def blocks(docs: DataFrame, *, id: str = "doc_id", text: str = "text", part: str = "source",
            capitals_percent: int = 5, symbols: str = "#$%&*|") -> DataFrame:
-    """``rows, words, n_words, ends, terms, counts``: documents in blocks, words numbered within their block.
+    """``rows, words, n_words, starts, at, ends, terms, counts``: documents in blocks, words numbered within their block.
 
     ``rows`` holds per document its id, part, SHA-256 and marks (4: capitals, 8: symbols); ``ends``, ``terms`` and
-    ``counts`` are its matrix in compressed rows. A null text is the empty one, a null part the empty string.
+    ``counts`` are its matrix in compressed rows. Words are in the order of their hashes; ``starts`` has the number of the first
+    word of every finest bucket, ``at`` its place in ``words``. A null text is the empty one, a null part the empty string.
     """
     unwanted = symbols.encode("ascii")
 
@@ -70,15 +71,21 @@ def blocks(docs: DataFrame, *, id: str = "doc_id", text: str = "text", part: str
                 return self.bytes >= BLOCK_BYTES or len(self.number) >= BLOCK_WORDS
 
             def batch(self):
-                joined = lambda arrays, kind: np.concatenate(arrays).astype(kind).tobytes()
-                columns = [[self.rows], [b"\n".join(self.number)], [len(self.number)], [np.array(self.ends, "<i4").tobytes()],
-                           [joined(self.terms, _width(len(self.number)))], [joined(self.counts, "<u4")]]
+                words, hashes, order = _by_hash(list(self.number))
+                number = np.empty(len(words), np.int64)
+                number[order] = np.arange(len(words))
+                ends, terms, counts = np.array(self.ends), number[np.concatenate(self.terms)], np.concatenate(self.counts)
+                order = np.argsort(np.repeat(np.arange(len(self.rows)), np.diff(ends)) * len(words) + terms)
+                starts = np.searchsorted(hashes >> np.uint32(32 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1))
+                places = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])[starts]
+                columns = [[self.rows], [b"\n".join(words)], [len(words)], *[[a.astype("<i4").tobytes()] for a in (starts, places, ends)],
+                           [terms[order].astype(_width(len(words))).tobytes()], [counts[order].astype("<u4").tobytes()]]
                 return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
         block = Block()
         for batch in batches:
             row = pa.struct([("doc_id", batch.schema.field(0).type), ("part", pa.string()), ("digest", pa.binary()), ("marks", pa.int32())])
-            kinds = [pa.list_(row), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            kinds = [pa.list_(row), pa.binary(), pa.int64(), *[pa.binary()] * 5]
             for doc, body, name in (row for part in parts(batch) for row in zip(*[c.to_pylist() for c in part.columns])):
                 block.add(doc, body or b"", name)
                 if block.full():
@@ -87,11 +94,11 @@ def blocks(docs: DataFrame, *, id: str = "doc_id", text: str = "text", part: str
         if block.rows:
             yield block.batch()
 
-    names = ["rows", "words", "n_words", "ends", "terms", "counts"]
+    names = ["rows", "words", "n_words", "starts", "at", "ends", "terms", "counts"]
     source = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.col(part).cast("string").alias("part"))
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(build, f"rows array<struct<doc_id:{kind},part:string,digest:binary,marks:int>>, words binary, n_words bigint, "
-                                    "ends binary, terms binary, counts binary")
+                                    "starts binary, at binary, ends binary, terms binary, counts binary")
 
 
 class _Numbers(dict):
@@ -106,28 +113,42 @@ def _width(n_words: int) -> str:
     return "<u2" if n_words <= 1 << 16 else "<u4"
 
 
-def _asked(staged: DataFrame, buckets: int, groups: int) -> DataFrame:
-    """``bucket, node, block, words, at``: the words of every block by bucket, with their numbers in the block."""
+def _by_hash(words):
+    """Distinct words in the order of hash and word, their hashes, and where each one was."""
+    from zlib import crc32
+
+    import numpy as np
+
+    hashes = np.fromiter(map(crc32, words), np.uint32, len(words))
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    found = [words[i] for i in order.tolist()]
+    ties = np.flatnonzero(hashes[1:] == hashes[:-1]).tolist()
+    for at in ties:  # few words share a hash
+        if at == 0 or hashes[at - 1] != hashes[at]:
+            till = at + 1 + int(np.argmin(np.append(hashes[at:] == hashes[at], False))) - 1
+            run = sorted(zip(found[at:till], order[at:till].tolist()))
+            found[at:till], order[at:till] = [w for w, _ in run], [i for _, i in run]
+    return found, hashes, order
+
+
+def _asked(staged: DataFrame, bits: int, groups: int) -> DataFrame:
+    """``bucket, node, block, start, words``: the words of every block by bucket, from number ``start`` of the block on."""
 
     @tidy
     def split(batches):
-        from zlib import crc32
-
         import numpy as np
         import pyarrow as pa
 
+        names = ["bucket", "block", "start", "words"]
         for batch in batches:
-            for block, words in zip(*[c.to_pylist() for c in batch.columns]):
-                held = [[] for _ in range(buckets)]
-                words = words.split(b"\n") if words else []
-                for n, w in enumerate(words):
-                    held[crc32(w) & buckets - 1].append(n)
-                rows = [(b, block, b"\n".join([words[n] for n in at]), np.array(at, "<u4").tobytes()) for b, at in enumerate(held) if at]
-                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-                columns = list(zip(*rows)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "block", "words", "at"])
-
-    asked = staged.select("block", "words").mapInArrow(split, "bucket int, block bigint, words binary, at binary")
+            for block, words, starts, at in zip(*[batch.column(c) for c in ("block", "words", "starts", "at")]):
+                words, (starts, at) = words.as_py(), (np.frombuffer(x.as_py(), "<i4")[::1 << BUCKET_BITS - bits].tolist() for x in (starts, at))
+                rows = [(b, block.as_py(), starts[b], words[at[b]:at[b + 1] - 1]) for b in range(1 << bits) if starts[b] < starts[b + 1]]
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], names)
+
+    asked = staged.select("block", "words", "starts", "at").mapInArrow(split, "bucket int, block bigint, start bigint, words binary")
     return asked.withColumn("node", F.pmod(F.xxhash64("block"), F.lit(groups)))
 
 
@@ -138,13 +159,13 @@ def _distinct(key, table):
     for blob in table.column("words").to_pylist():
         words.update(blob.split(b"\n"))
     return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int64()), pa.array([len(words)], pa.int64()),
-                     pa.array([b"\n".join(sorted(words))], pa.binary())], names=["bucket", "node", "n", "words"])
+                     pa.array([b"\n".join(_by_hash(list(words))[0])], pa.binary())], names=["bucket", "node", "n", "words"])
 
 
 def dictionary(asked: DataFrame, groups: int) -> DataFrame:
-    """``bucket, n, words, first``: the distinct words of every bucket in order; the first one has the number ``first``.
+    """``bucket, n, words, first``: the distinct words of every bucket, by hash and word; the first one has the number ``first``.
 
-    The numbers of all words are 0, 1, 2, ... without gaps.
+    The numbers of all words are 0, 1, 2, ... without gaps, and ascend in the same order as those within a block.
     """
     found = asked.select("bucket", "node", "words")
     while True:
@@ -155,43 +176,44 @@ def dictionary(asked: DataFrame, groups: int) -> DataFrame:
         found = found.select("bucket", F.floor(F.col("node") / FAN).alias("node"), "words")
     found = stage(found.select("bucket", "n", "words"), "audit-dictionary")
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = found.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))  # MOST_BUCKETS rows at most
+    firsts = found.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))  # 2 ** BUCKET_BITS rows at most
     return found.join(F.broadcast(firsts), "bucket")
 
 
+@tidy
 def _numbered(asked, known):
-    """The global numbers of the words that some blocks have in one bucket."""
+    """The global numbers, less the bucket's first, of the words that some blocks have in one bucket."""
     import numpy as np
     import pyarrow as pa
 
     rows = []
-    if known.num_rows:
+    if asked.num_rows:
         first = known.column("first")[0].as_py()
-        number = {w: first + i for i, w in enumerate(known.column("words")[0].as_py().split(b"\n"))}
-        for block, words, at in zip(*[asked.column(c).to_pylist() for c in ("block", "words", "at")]):
-            rows.append((block, at, np.fromiter(map(number.__getitem__, words.split(b"\n")), "<i8").tobytes()))
-    columns = list(zip(*rows)) if rows else [[]] * 3
-    return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.binary(), pa.binary()])], names=["block", "at", "numbers"])
+        words = known.column("words")[0].as_py().split(b"\n")
+        number = dict(zip(words, range(len(words))))
+        for block, start, words in zip(asked.column("block"), asked.column("start"), asked.column("words")):
+            words = words.as_py().split(b"\n")
+            rows.append((block.as_py(), start.as_py(), first, np.fromiter(map(number.__getitem__, words), "<u4", len(words)).tobytes()))
+    columns = list(zip(*rows)) if rows else [[]] * 4
+    return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.binary()])], names=["block", "start", "first", "numbers"])
 
 
 def _globally(block, found):
-    """A block whose words have their global numbers, ascending in every row."""
+    """A block whose words have their global numbers."""
     import numpy as np
     import pyarrow as pa
 
     if not block.num_rows:
         return block.drop_columns(["n_words"])
-    n_words, number = block.column("n_words")[0].as_py(), None
+    n_words = block.column("n_words")[0].as_py()
     number = np.full(n_words, -1, "<i8")
-    for at, numbers in zip(found.column("at").to_pylist(), found.column("numbers").to_pylist()):
-        number[np.frombuffer(at, "<u4")] = np.frombuffer(numbers, "<i8")
+    for start, first, numbers in zip(*[found.column(c).to_pylist() for c in ("start", "first", "numbers")]):
+        numbers = np.frombuffer(numbers, "<u4")
+        number[start:start + len(numbers)] = first + numbers.astype(np.int64)
     if n_words and number.min() < 0:
         raise RuntimeError("a word of a block is missing in the dictionary")
-    read = lambda name, kind: np.frombuffer(block.column(name)[0].as_py(), kind)
-    ends, terms, counts = read("ends", "<i4"), number[read("terms", _width(n_words))], read("counts", "<u4")
-    order = np.lexsort((terms, np.repeat(np.arange(len(ends) - 1), np.diff(ends))))
-    return pa.table([block.column("block"), block.column("rows"), block.column("ends"),
-                     pa.array([terms[order].tobytes()], pa.binary()), pa.array([counts[order].tobytes()], pa.binary())],
+    terms = number[np.frombuffer(block.column("terms")[0].as_py(), _width(n_words))]
+    return pa.table([block.column("block"), block.column("rows"), block.column("ends"), pa.array([terms.tobytes()], pa.binary()), block.column("counts")],
                     names=["block", "rows", "ends", "terms", "counts"])
 
 
@@ -205,12 +227,12 @@ def matrix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", part: str
     staged = stage(built.withColumn("block", F.monotonically_increasing_id()), "audit-blocks")
     sizes = staged.agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first()
     groups = max(1, math.ceil(sizes["blocks"] / FAN))
-    buckets = min(MOST_BUCKETS, 1 << max(3, math.ceil(math.log2(sizes["words"] / BUCKET_WORDS + 1e-9))))
-    asked = _asked(staged, buckets, groups)
+    bits = min(BUCKET_BITS, max(3, math.ceil(math.log2(sizes["words"] / BUCKET_WORDS + 1e-9))))
+    asked = _asked(staged, bits, groups)
     known = dictionary(asked, groups)
     spread = known.withColumn("node", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
     found = asked.groupBy("bucket", "node").cogroup(spread.groupBy("bucket", "node")).applyInArrow(
-        _numbered, "block bigint, at binary, numbers binary")
+        _numbered, "block bigint, start bigint, first bigint, numbers binary")
     rows = staged.schema["rows"].dataType.simpleString()
     shards = staged.select("block", "rows", "n_words", "ends", "terms", "counts").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
         _globally, f"block bigint, rows {rows}, ends binary, terms binary, counts binary")
