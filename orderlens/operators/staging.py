@@ -35,3 +35,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/orderlens-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cluster(df: DataFrame, key: str, label: str, buckets: int | None = None) -> DataFrame:
+    """Write ``df`` once as a table in buckets by ``key`` and read it back: later groupings and joins by the key need no shuffle.
+
+    One shuffle brings the rows of a bucket together, so every bucket is one file. The table lies in the shared folder under
+    a name of its own in the session's catalog. A key with very many rows fills its bucket, whose task streams them.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"orderlens_{label}_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+    writer.option("path", f"{shared_folder(spark).rstrip('/')}/{name}").saveAsTable(name)
+    return spark.table(name)

@@ -279,10 +279,11 @@ def status_distribution(orders: DataFrame) -> DataFrame:
 
 def high_value_orders(orders: DataFrame, statuses: Iterable[str] | None = None,
                       limit: int = vocab.TOP_ORDERS) -> DataFrame:
-    """Largest orders above three times the mean order total, from one scan and one shuffle of the lines.
+    """Largest orders above three times the mean order total, from one scan and at most one shuffle of the lines.
 
-    The orders are aggregated once. The largest ones are candidates whatever the mean is, and the mean is the sum of
-    all totals by their number, so each partition keeps its ``limit`` largest orders and two numbers.
+    The orders are aggregated once (without a shuffle if the lines lie in buckets by order), and only their totals move again.
+    The largest ones are candidates whatever the mean is, and the mean is the sum of all totals by their number, so each
+    partition of the totals keeps its ``limit`` largest orders and two numbers.
     """
     totals = orders.filter(status_filter(statuses)).groupBy("order_id").agg(
         _as_double(_amount()).alias("total_amount"),

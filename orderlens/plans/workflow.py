@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
 from .. import vocab
 from ..operators.columns import apply_mapping, fill_after_sales_status
+from ..operators.staging import cluster
 from ..sources.dimensions import complete_products, no_products
 from ..sources.exports import Export
 from . import checks, clean, metrics, prepare
@@ -49,6 +50,12 @@ def import_orders(export: Export, mapping: Mapping[str, str | None] | None = Non
                     confirmed, "user_level" in visible.columns)
 
 
+def share(imported: Imported) -> Imported:
+    """The import with its order lines written once, in buckets by order: all results read these, and per-order figures
+    (statuses, high-value orders, facts of the report) group them where they lie."""
+    return replace(imported, orders=cluster(imported.orders, "order_id", "orders"))
+
+
 def analyze(orders: DataFrame, products: DataFrame | None = None, *,
             granularity: str = vocab.MONTH, statuses: Iterable[str] | None = None) -> dict[str, DataFrame]:
     """All standard results of an order table, each as a lazy DataFrame."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from orderlens.operators.joins import join_dimension, measured_bytes
 from orderlens.operators.numbering import number_rows
-from orderlens.operators.staging import shared_folder
+from orderlens.operators.staging import cluster, shared_folder
 from orderlens.plans import clean, metrics, prepare
 from orderlens.sources.exports import leading_lines
 
@@ -115,3 +115,17 @@ def test_metric_plans(spark, name):
     plan = plan_of(METRICS[name](spark, SF_DIR))
     for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "Window ["):
         assert unwanted not in plan
+
+
+def test_lines_in_buckets_by_order_are_grouped_without_a_shuffle(spark):
+    orders = spark.range(500).select(
+        (F.col("id") % 60).cast("string").alias("order_id"), F.lit("u").alias("user_id"), F.lit("completed").alias("status_norm"),
+        F.lit(None).cast("timestamp_ntz").alias("order_date"), F.lit(1.0).alias("quantity"), F.col("id").cast("double").alias("total_amount"),
+        F.lit(0).alias("is_anomaly"))
+    shared = cluster(orders, "order_id", "test", 4)
+    assert sorted(map(str, shared.collect())) == sorted(map(str, orders.collect()))
+    per_order = shared.groupBy("order_id").agg(F.sum("total_amount"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in per_order
+    plan = metrics.high_value_orders(shared)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(order_id" not in plan and plan.count("FileScan parquet") == 1
+    assert sorted(map(str, metrics.high_value_orders(shared).collect())) == sorted(map(str, metrics.high_value_orders(orders).collect()))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from orderlens import vocab
 from orderlens.operators import headers, matching
@@ -260,6 +261,25 @@ def import_and_summarise(spark, sf_dir):
     return metrics.kpi_summary(imported.orders)
 
 
+def analyze_import(spark, sf_dir):
+    """All results of one import: the lines are written once, in buckets by order, and every result reads them."""
+    export = load_order_exports(spark, _write_export(spark, sf_dir, "utf-8", ","))
+    imported = workflow.share(workflow.import_orders(export, year=2024))
+    done = workflow.analyze(imported.orders, statuses=list(vocab.STATUS_DOMAIN))
+    figure = lambda df, result, key, value: df.select(
+        F.lit(result).alias("result"), F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"))
+    parts = [
+        figure(done["summary"].withColumn("key", F.lit("orders")), "summary", "key", "total_orders"),
+        figure(done["summary"].withColumn("key", F.lit("gmv")), "summary", "key", "total_gmv"),
+        figure(done["trend"], "trend", "period", "gmv"),
+        figure(done["top_products"], "top_products", "product_id", "total_qty"),
+        figure(done["users"], "users", "user_id", "total_spend"),
+        figure(done["order_status"], "order_status", "status", "orders"),
+        figure(done["high_value_orders"], "high_value_orders", "order_id", "total_amount"),
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
 # --- results as JSON ----------------------------------------------------------------------------------
 def result_payload(spark, sf_dir):
     lines = order_lines(spark, sf_dir)
@@ -272,7 +292,7 @@ def result_payload(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     match_scores, suggest_mapping, unique_column_names, detect_header, load_exports, load_mixed_exports,
     export_files, load_padded_exports, load_same_field_twice, load_multiline_export, load_awkward_names, load_by_kept_lines,
-    load_repeated_headers, load_many_layouts, load_dimensions, import_and_summarise, result_payload)}
+    load_repeated_headers, load_many_layouts, load_dimensions, analyze_import, import_and_summarise, result_payload)}
 
 # --- SQL checks -------------------------------------------------------------------------------------------
 _FIELD_ROWS = ", ".join(f"({i}, '{field}')" for i, field in enumerate(vocab.STANDARD_FIELDS))
@@ -344,6 +364,20 @@ SELECT order_id, total_amount, own AS name, value FROM cells
 UNION ALL SELECT order_id, total_amount, '说明', 'first' FROM cells WHERE l_linenumber = 1""",
     "load_dimensions": """SELECT p_brand AS brand, count(*) AS lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity,
   CAST(sum(l_quantity) AS DOUBLE) AS margin FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""",
+    "analyze_import": f"""WITH lines AS MATERIALIZED (SELECT DISTINCT {_EXPORT_SQL['商家订单编号']} AS order_id, {_EXPORT_SQL['买家UID']} AS user_id,
+    {_EXPORT_SQL['商品标题']} AS product_id, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, l_quantity, {_EXPORT_SQL['备注']} AS remark,
+    CASE l_returnflag WHEN 'A' THEN 'completed' WHEN 'N' THEN 'pending' ELSE 'refunded' END AS status,
+    CASE WHEN l_linenumber = 1 THEN floor(l_extendedprice) + 0.5 ELSE floor(l_extendedprice) END AS amount FROM lineitem),
+totals AS MATERIALIZED (SELECT order_id, CAST(sum(amount) AS DOUBLE) AS total FROM lines GROUP BY 1)
+SELECT 'summary' AS result, 'orders' AS key, CAST(count(DISTINCT order_id) AS DOUBLE) AS value FROM lines
+UNION ALL SELECT 'summary', 'gmv', CAST(sum(amount) AS DOUBLE) FROM lines
+UNION ALL SELECT 'trend', day[1:7], CAST(sum(amount) AS DOUBLE) FROM lines GROUP BY ALL
+UNION ALL SELECT 'top_products', product_id, qty FROM (SELECT product_id, CAST(sum(l_quantity) AS DOUBLE) AS qty, sum(amount) AS revenue
+  FROM lines GROUP BY 1 ORDER BY revenue DESC, product_id LIMIT 10)
+UNION ALL SELECT 'users', user_id, spend FROM (SELECT user_id, CAST(sum(amount) AS DOUBLE) AS spend FROM lines GROUP BY 1 ORDER BY spend DESC, user_id LIMIT 20)
+UNION ALL SELECT 'order_status', status, CAST(count(DISTINCT order_id) AS DOUBLE) FROM lines GROUP BY ALL
+UNION ALL SELECT 'high_value_orders', order_id, total FROM (SELECT * FROM totals WHERE total > 3 * (SELECT avg(total) FROM totals)
+  ORDER BY total DESC, order_id LIMIT 10)""",
     "import_and_summarise": f"""WITH lines AS (SELECT DISTINCT {_EXPORT_SQL['商家订单编号']} AS order_id, {_EXPORT_SQL['买家UID']} AS user_id,
     {_EXPORT_SQL['商品标题']} AS product_id, l_shipdate, l_quantity, l_returnflag, {_EXPORT_SQL['备注']} AS remark,
     CASE WHEN l_linenumber = 1 THEN floor(l_extendedprice) + 0.5 ELSE floor(l_extendedprice) END AS amount FROM lineitem)
