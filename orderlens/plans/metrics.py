@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
 from ..functions import fallback, period_label, safe_ratio, signed_percent_text
@@ -281,35 +281,28 @@ def high_value_orders(orders: DataFrame, statuses: Iterable[str] | None = None,
                       limit: int = vocab.TOP_ORDERS) -> DataFrame:
     """Largest orders above three times the mean order total, from one scan and at most one shuffle of the lines.
 
-    The orders are aggregated once (without a shuffle if the lines lie in buckets by order), and only their totals move again.
-    The largest ones are candidates whatever the mean is, and the mean is the sum of all totals by their number, so each
-    partition of the totals keeps its ``limit`` largest orders and two numbers.
+    The orders are aggregated once, without a shuffle if the lines lie in buckets by order. Their totals move once more, in one
+    pass that gives every order and, as one row, the mean of all; each task passes on its largest orders only.
     """
     totals = orders.filter(status_filter(statuses)).groupBy("order_id").agg(
         _as_double(_amount()).alias("total_amount"),
         F.min("user_id").alias("user_id"),
         F.min("order_date").alias("order_date"),
         F.sum("quantity").alias("quantity"),
-        F.collect_set("status_norm").alias("_statuses"),  # at most one entry per known status
+        F.array_join(F.array_sort(F.collect_set("status_norm")), STATUS_TEXT).alias("status_norm"),  # one entry per known status
         F.max("is_anomaly").alias("is_anomaly"),
-    ).withColumn("_part", F.spark_partition_id())
-    by_size = Window.partitionBy("_part").orderBy(F.desc_nulls_last("total_amount"), F.col("order_id"))
-    everything = Window.partitionBy("_part")
-    local = totals.withColumns({
-        "_rank": F.row_number().over(by_size),
-        "_sum": F.sum("total_amount").over(everything), "_count": F.count("total_amount").over(everything),
-    }).filter(F.col("_rank") <= limit)
-    # From here on: at most ``limit`` rows per shuffle partition.
-    all_parts = Window.partitionBy(F.lit(0))
-    first = F.col("_rank") == 1
-    mean = F.sum(F.when(first, F.col("_sum"))).over(all_parts) / F.sum(F.when(first, F.col("_count"))).over(all_parts)
+    )
+    shown = ["order_id", "user_id", "order_date", "quantity", "total_amount", "status_norm", "is_anomaly"]
+    rows = totals.select(F.struct(*shown).alias("order"), "total_amount").groupingSets(
+        [[F.col("order")], []], F.col("order")).agg(F.grouping_id().alias("_level"), F.avg("total_amount").alias("_mean"))
+    # The row of the mean and the largest orders: limit + 1 rows.
+    top = rows.orderBy(F.desc("_level"), F.desc_nulls_last("order.total_amount"), "order.order_id").limit(limit + 1)
+    known = top.agg(F.max(F.when(F.col("_level") == 1, F.col("_mean"))).alias("_mean"),
+                    F.collect_list(F.when(F.col("_level") == 0, F.col("order"))).alias("_orders"))
     return (
-        local.withColumn("_mean", mean)
+        known.select("_mean", F.inline("_orders"))
         .filter(F.col("total_amount") > F.col("_mean") * vocab.HIGH_VALUE_FACTOR)
-        .orderBy(F.desc("total_amount"), "order_id")
-        .limit(limit)
-        .select("order_id", "user_id", "order_date", "quantity", "total_amount",
-                F.array_join(F.array_sort("_statuses"), STATUS_TEXT).alias("status_norm"), "is_anomaly")
+        .select(shown)
         .orderBy(F.desc("total_amount"), "order_id")
     )
 
@@ -328,13 +321,14 @@ def order_facts(orders: DataFrame, statuses: Iterable[str] | None = None, granul
         F.sum(F.when(chosen, amount)).alias("gmv"),
         F.count_if(amount > 0).alias("valid_rows"),
         F.max(F.col("order_date").isNotNull()).alias("dated"),
-        F.max(chosen).alias("chosen"),
     )
-    # An order may have lines in several periods: it counts once, with its first period's row or the one without.
-    by_order = Window.partitionBy("order_id").orderBy(F.col("period").asc_nulls_first())
-    counted = per_order.withColumn("_first", (F.row_number().over(by_order) == 1) & F.col("order_id").isNotNull())
-    per_period = counted.groupBy("period").agg(
-        F.sum("gmv").alias("gmv"), F.sum("valid_rows").alias("valid_rows"), F.max("dated").alias("dated"), F.count_if("_first").alias("orders"))
+    # An order may have lines in several periods. Grouped by order it counts once, and its periods stay beside it; their
+    # number is bounded by the periods one order has.
+    by_order = per_order.groupBy("order_id").agg(F.collect_list(F.struct("period", "gmv", "valid_rows", "dated")).alias("parts"))
+    first = F.col("order_id").isNotNull() & (F.col("at") == 0)
+    per_period = by_order.select("order_id", F.posexplode("parts").alias("at", "part")).select(
+        "part.*", first.cast("int").alias("first")).groupBy("period").agg(
+        F.sum("gmv").alias("gmv"), F.sum("valid_rows").alias("valid_rows"), F.max("dated").alias("dated"), F.sum("first").alias("orders"))
     dated = F.col("period").isNotNull()
     last = F.max(F.when(dated, F.struct("period", F.coalesce(_as_double(F.col("gmv")), F.lit(0.0)).alias("gmv"))))
     ends = F.slice(F.reverse(F.array_sort(F.collect_list(F.when(dated, F.struct(
