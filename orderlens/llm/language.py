@@ -17,7 +17,6 @@ ORDERS = 4
 BITS = 18
 LANDMARKS = 240
 TRAINING = 3000  # labelled rows in the fit, over all languages
-LONGEST = 20_000  # characters of a text in the fit, where a language has such texts; scored texts have no limit
 LETTER = r"\p{L}"
 _AT_ONCE = 32
 
@@ -65,22 +64,17 @@ class Presence:
         return np.divmod(np.flatnonzero(table), 1 << BITS)
 
 
-def kernel_map(texts, languages, landmarks: int, ridge: float):
+def kernel_map(kept, languages, landmarks: int, ridge: float):
     """(matrix of hash buckets by languages, names): scores are presence rows times the matrix, each divided by the root
-    of the number of n-grams in its row. A text may be given as bytes, the bits of its presence row."""
+    of the number of n-grams in its row. ``kept`` are presence rows as ``_presences`` packs them."""
+    import zlib
+
     import numpy as np
 
     names = sorted(set(languages))
-    presence, kept = Presence(), []
-    plain = [t for t in texts if not isinstance(t, bytes)]
-    for at in range(0, len(plain), _AT_ONCE):
-        rows, hashes = presence.rows(plain[at:at + _AT_ONCE])
-        kept += np.split(hashes, np.searchsorted(rows, np.arange(1, len(plain[at:at + _AT_ONCE]))))
-    order = iter(kept)
-    kept = [t if isinstance(t, bytes) else next(order) for t in texts]
 
     def row(i):
-        return np.flatnonzero(np.unpackbits(np.frombuffer(kept[i], np.uint8))) if isinstance(kept[i], bytes) else kept[i]
+        return np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(kept[i]), np.uint8)))
 
     filled = [i for i in range(len(kept)) if len(row(i))]
     if not filled:
@@ -115,41 +109,40 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", id: str
         training: int = TRAINING, ridge: float = 0.3):
     """Fit on at most about ``training`` rows of ``labelled``, an equal number for every language.
 
-    Rows without letters or language are left out. So are texts above ``LONGEST`` characters, so that the driver's
-    share has a bound, unless a language has no shorter ones: then its rows are drawn from the long ones, which
-    executors turn into presence rows of a fixed length. Which rows are taken follows from a hash of their ids.
+    Rows without letters or language are left out. Whole texts of any length are read on executors, which turn each into
+    a presence row of at most about 2 ** BITS / 8 bytes, so the driver's share is bounded by ``training`` alone. Which rows are taken
+    follows from a hash of their ids. None without any such row.
     """
     rows = labelled.filter(F.col(text).rlike(LETTER) & F.col(lang).isNotNull())
-    short = F.length(text) <= LONGEST
-    found = rows.groupBy(lang).agg(F.count_if(short), F.count(F.lit(1))).collect()
+    found = rows.groupBy(lang).agg(F.count(F.lit(1))).collect()
     if not found:
         return None
     each, share = max(1, training // len(found)), F.lit(0.0)
-    for name, some, n in found:
-        share = F.when((F.col(lang) == name) & (short if some else F.lit(True)), min(1.0, each / (some or n))).otherwise(share)
+    for name, n in found:
+        share = F.when(F.col(lang) == name, min(1.0, each / n)).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.col(id).cast("string"), F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
     sampled = rows.filter(drawn < share).select(F.col(text).alias("t"), F.col(lang).alias("l"))
-    sample = sorted(map(tuple, sampled.filter(F.length("t") <= LONGEST).collect()), key=lambda r: (r[1], r[0]))
-    if not all(some for _, some, _ in found):
-        sample += sorted(map(tuple, sampled.filter(F.length("t") > LONGEST).mapInArrow(_presences, "t binary, l string").collect()), key=lambda r: (r[1], r[0]))
+    sample = sorted((l, bytes(t)) for t, l in sampled.mapInArrow(_presences, "t binary, l string").collect())
     if not sample:
         return None
-    return kernel_map([bytes(t) if isinstance(t, bytearray) else t for t, _ in sample], [name for _, name in sample], landmarks, ridge)
+    return kernel_map([t for _, t in sample], [name for name, _ in sample], landmarks, ridge)
 
 
 @tidy
 def _presences(batches):
-    """Presence rows of texts, as bits, with their languages."""
+    """Presence rows of texts, as compressed bits, with their languages."""
+    import zlib
+
     import numpy as np
     import pyarrow as pa
 
     presence = Presence()
-    for batch in batches:
+    for batch in (part for whole in batches for part in parts(whole)):
         bits = []
         for text in batch.column(0):
             held = np.zeros(1 << BITS, bool)
             held[presence.ids(text.as_py())] = True
-            bits.append(np.packbits(held).tobytes())
+            bits.append(zlib.compress(np.packbits(held).tobytes(), 1))
         yield pa.RecordBatch.from_arrays([pa.array(bits, pa.binary()), batch.column(1)], ["t", "l"])
 
 

@@ -231,9 +231,25 @@ def test_personal_data_base_is_exact(spark):
 
 
 def test_trees_add_what_rules_miss_and_leave_clean_text(spark):
-    rows = [(1, "please call phone (212) 555-0187 today"), (2, "version 10.2.3 of chapter 4 on 2024-01-05"), (3, "contact anon.tier (at) marone.com now")]
-    out = {r["id"]: len(r["spans"]) for r in pii.find(spark.createDataFrame(rows, "id int, text string"), pii.Model(spark)).collect()}
-    assert out[2] == 0 and out[1] + out[3] >= 1
+    wanted = {"please call phone (212) 555-0187 today": ["phone:18:32"], "contact anon.tier (at) marone.com now": ["email:8:33"],
+              "030 12345678": ["phone:0:12"], "ruf 0171 1234567 an": ["phone:4:16"], "0049 30 123456": ["phone:0:14"],
+              "call 5551234567 now": ["phone:5:15"], "karte 3782.822463.10005 ok": ["card:6:23"], "anon.tier (at) marone.com": ["email:0:25"]}
+    clean = ["version 10.2.3 of chapter 4 on 2024-01-05", "order 1234567890 shipped", "between 1990-2005 we", "the total 1.234.567 of",
+             "isbn 978-3-16-148410-0", "2024-01-15 12:30:11", "the numbers 1 2 3 4 5 6 7 8 9 10 11 12 13"]
+    rows = [(t,) for t in [*wanted, *clean]]
+    out = {r["text"]: r["s"] for r in pii.find(spark.createDataFrame(rows, "text string"), pii.Model(spark)).select("text", pii.written(F.col("spans")).alias("s")).collect()}
+    assert {t: s.split(",") for t, s in out.items() if s} == wanted
+
+
+def test_many_spans_in_one_text(spark):
+    """More spans than a chunk holds keep their positions, base spans win over candidates, and the rest is found."""
+    import re
+
+    text = " , ".join(f"a{i}@b.com tel 030 1{i:07d}" for i in range(700))
+    row = pii.find(spark.createDataFrame([(text,)], "text string"), pii.Model(spark)).first()
+    mails = [(0, m.start(), m.end()) for m in re.finditer(r"a\d+@b\.com", text)]
+    phones = [(3, m.start(), m.end()) for m in re.finditer(r"030 \d{8}", text)]
+    assert [tuple(s) for s in row["base"]] == mails and [tuple(s) for s in row["spans"]] == mails + phones
 
 
 def tokenizer(name):
