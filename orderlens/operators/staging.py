@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,6 +37,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_observed(df: DataFrame, label: str, totals: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """Like ``stage``, with ``totals`` (aggregates by name) over the rows gathered while they are written, so that no second read is needed.
+
+    The totals are taken in the stage that writes, where each partition counts once even if its task runs again.
+    """
+    seen = Observation()
+    staged = stage(df.observe(seen, *[total.alias(name) for name, total in totals.items()]), label)
+    return staged, seen.get
+
+
 def cluster(df: DataFrame, key: str, label: str, buckets: int | None = None) -> DataFrame:
     """Write ``df`` once as a table in buckets by ``key`` and read it back: later groupings and joins by the key need no shuffle.
 

@@ -19,7 +19,7 @@ from ..functions import (
 from ..operators.columns import coalesce_same_named
 from ..operators.joins import ROW, first_per_key, join_dimension
 from ..operators.numbering import number_rows
-from ..operators.staging import stage
+from ..operators.staging import stage_observed
 
 COPIES = "_copies"      # how many identical lines a kept line stands for
 KEPT = "_kept"          # false for a line whose date cannot be read
@@ -243,13 +243,16 @@ def assign_order_ids(df: DataFrame, order_by: Sequence[str] | None = None) -> Da
     return given.unionByName(generated)
 
 
-def quantity_threshold(df: DataFrame) -> Column:
-    """Largest plausible quantity: mean plus three standard deviations, at least ten."""
-    positive = F.when(F.col("quantity") > 0, F.col("quantity"))
+def _plausible_quantity(positive: Column) -> Column:
     spread = F.stddev_samp(positive)
     usual = F.greatest(F.bround(F.avg(positive) + 3 * spread), F.lit(float(vocab.MIN_QUANTITY_THRESHOLD)))
     chosen = F.when((F.count(positive) >= 2) & (spread > 0), usual)
-    return df.agg(F.coalesce(chosen, F.lit(float(vocab.DEFAULT_QUANTITY_THRESHOLD)))).scalar()
+    return F.coalesce(chosen, F.lit(float(vocab.DEFAULT_QUANTITY_THRESHOLD)))
+
+
+def quantity_threshold(df: DataFrame) -> Column:
+    """Largest plausible quantity: mean plus three standard deviations, at least ten."""
+    return df.agg(_plausible_quantity(F.when(F.col("quantity") > 0, F.col("quantity")))).scalar()
 
 
 def is_abnormal(threshold: Column) -> Column:
@@ -282,28 +285,35 @@ def _rule_rows(counts: DataFrame, rules: Sequence[tuple[int, str, str]]) -> Data
     return counts.select(F.inline(F.array(*rows)))
 
 
-def cleaning_report(steps: DataFrame, lines: DataFrame, threshold: float | None = None) -> DataFrame:
+def _report_totals(steps: DataFrame) -> dict[str, Column]:
+    """What the report and the quantity threshold need of all lines, as aggregates over the lines before numbering."""
+    totals = {rule: F.sum(_counter(rule)) for _, rule in RULES if _counter(rule) in steps.columns}
+    totals["duplicates_removed"] = F.sum(F.col(COPIES) - 1)
+    nameless = is_blank(F.col("order_id")) if "order_id" in steps.columns else F.lit(True)
+    totals["order_id_generated"] = F.count_if(nameless & F.col(KEPT))
+    totals["threshold"] = _plausible_quantity(F.when(F.col(KEPT) & (F.col("quantity") > 0), F.col("quantity")))
+    return totals
+
+
+def cleaning_report(totals: dict, lines: DataFrame, threshold: float) -> DataFrame:
     """Rows affected by each rule, as (step, rule, affected_rows), zero counts left out.
 
-    ``steps`` holds the counters of all lines, ``lines`` the cleaned lines.
+    ``totals`` holds what was counted while the lines were written; ``lines``, the cleaned lines, are read once.
     """
-    present = [(step, rule) for step, rule in RULES if _counter(rule) in steps.columns]
-    totals = [F.sum(_counter(rule)).alias(rule) for _, rule in present if rule != "duplicates_removed"]
-    if COPIES in steps.columns:
-        totals.append(F.sum(F.col(COPIES) - 1).alias("duplicates_removed"))
-        present.append((4, "duplicates_removed"))
-    counted = _rule_rows(steps.agg(*totals), [(step, rule, rule) for step, rule in present])
-    per_order = lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("rows"), _status_mask().alias("mask"))
-    orders = per_order.agg(
+    per_order = lines.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("rows"), _status_mask().alias("mask"),
+        F.count_if(is_abnormal(F.lit(threshold))).alias("abnormal"))
+    found = per_order.agg(
         F.sum("rows").alias("rows"), F.count("order_id").alias("orders"),
-        F.count_if(F.bit_count("mask") > 1).alias("mixed"),
-    ).filter(F.col("orders") < F.col("rows"))
-    structure = _rule_rows(orders, [
-        (8, "order_lines", "rows"), (8, "distinct_orders", "orders"), (8, "mixed_status_orders", "mixed")])
-    limit = quantity_threshold(lines) if threshold is None else F.lit(float(threshold))
-    abnormal = _rule_rows(
-        lines.agg(F.count_if(is_abnormal(limit)).alias("abnormal")), [(9, "anomalies_flagged", "abnormal")])
-    return counted.unionAll(structure).unionAll(abnormal).filter("affected_rows > 0")
+        F.count_if(F.bit_count("mask") > 1).alias("mixed"), F.sum("abnormal").alias("abnormal"))
+    several = F.col("orders") < F.col("rows")
+    counts = found.select(
+        *[F.when(several, F.col(c)).alias(c) for c in ("rows", "orders", "mixed")], "abnormal",
+        *[F.lit(totals.get(rule) or 0).alias(rule) for _, rule in RULES])
+    rules = [(step, rule, rule) for step, rule in RULES]
+    return _rule_rows(counts, [
+        *rules, (8, "order_lines", "rows"), (8, "distinct_orders", "orders"), (8, "mixed_status_orders", "mixed"),
+        (9, "anomalies_flagged", "abnormal")]).filter("affected_rows > 0")
 
 
 def _nothing_read() -> Cleaned:
@@ -319,16 +329,18 @@ def clean_orders(orders: DataFrame | None, products: DataFrame | None = None,
     """Clean mapped order lines.
 
     The lines after removal of duplicates are written once to the shared folder, because
-    the order numbers, the quantity threshold, the report and every later metric read them. No table (None) gives
+    the order numbers, the report and every later metric read them. The counts of the report and the quantity threshold are
+    gathered while they are written. No table (None) gives
     no lines and a report of one row, NO_INPUT.
     """
     if orders is None:
         return _nothing_read()
     df = remove_duplicates(standardise_values(orders, users))
     df = parse_dates(normalise_statuses(df), year)
-    df = stage(fill_product_ids(fill_amounts(fill_prices(df, products))), "clean")
-    steps = assign_order_ids(df, order_by)
-    kept = steps.filter(F.col(KEPT))
-    lines = flag_anomalies(kept, threshold)
+    df = fill_product_ids(fill_amounts(fill_prices(df, products)))
+    df, totals = stage_observed(df, "clean", _report_totals(df))
+    limit = float(totals.get("threshold") or vocab.DEFAULT_QUANTITY_THRESHOLD) if threshold is None else float(threshold)
+    kept = assign_order_ids(df, order_by).filter(F.col(KEPT))
+    lines = flag_anomalies(kept, limit)
     hidden = [c for c in lines.columns if c.startswith(_COUNT)] + [KEPT, COPIES]
-    return Cleaned(lines.drop(*hidden), cleaning_report(steps, kept, threshold))
+    return Cleaned(lines.drop(*hidden), cleaning_report(totals, kept, limit))

@@ -225,3 +225,16 @@ def test_the_first_entry_does_not_depend_on_splits(spark, tmp_path):
     [rows] = seen
     cities = dict(rows)
     assert cities["o12"] == "城a3-0" and cities["o2"] == "城b2-0" and cities["o59"] == "城a5-0"
+
+
+def test_report_reads_the_staged_lines_once(spark):
+    cleaned = clean.clean_orders(frame(spark, [("A", "2026-07-01", "x", "2", "2", "已完成", "甲"), (None, "bad", "1", "2", "2", "已完成", "甲")]))
+    plan = cleaned.report._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" not in cleaned.lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 3  # lines with an order number, lines without one, and the offsets that number these
+    assert report_of(cleaned) == {"quantity_unparsed": 1, "quantity_defaulted": 1, "invalid_dates_removed": 1}
+
+
+def test_an_empty_table_gives_an_empty_report(spark):
+    cleaned = clean.clean_orders(frame(spark, []))
+    assert cleaned.lines.count() == 0 and report_of(cleaned) == {}
