@@ -131,7 +131,7 @@ def top_products(orders: DataFrame, products: DataFrame, statuses: Iterable[str]
     names = products.select("product_id", F.col("product_name").alias("_name"),
                             F.col("category").alias("_category"))
     return (
-        join_dimension(per_product, names, "product_id")
+        join_dimension(per_product, names, "product_id", salts=1)
         .groupBy(
             "product_id",
             fallback(F.col("product_name"), F.col("_name").cast("string"),
@@ -177,7 +177,7 @@ def category_margin(orders: DataFrame, products: DataFrame,
         "product_id", F.col("category").alias("_category"), "cost"
     )
     totals = (
-        join_dimension(per_product, costs, "product_id", "inner")
+        join_dimension(per_product, costs, "product_id", "inner", salts=1)
         .groupBy(_category_with(F.col("_category")).alias("category"))
         .agg(
             _amount().alias("revenue"),

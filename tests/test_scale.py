@@ -42,6 +42,19 @@ def test_large_dimension_join_gives_the_same_rows(spark, how):
     assert sorted(map(str, small.collect())) == sorted(map(str, large.select(small.columns).collect()))
 
 
+@pytest.mark.parametrize("salts", [1, 32])
+def test_large_dimension_is_never_broadcast(spark, tmp_path, salts):
+    """Its file is small enough for the planner to broadcast it, repeats and all."""
+    path = str(tmp_path / "dimension")
+    spark.createDataFrame([("hot", 1), ("k1", 2)], "key string, extra int").write.parquet(path)
+    dimension = spark.read.parquet(path)
+    joined = join_dimension(facts(spark), dimension, "key", broadcast_bytes=0, salts=salts)
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(map(str, joined.collect())) == sorted(map(str, join_dimension(facts(spark), dimension, "key").select(joined.columns).collect()))
+
+
 def test_hot_key_of_a_large_dimension_join_is_spread(spark):
     dimension = spark.createDataFrame([("hot", 1)], "key string, extra int")
     # Keep the sort-merge join that a large dimension would have.
