@@ -92,3 +92,10 @@ def test_month_day_dates_take_the_current_year_by_default(spark):
 def test_period_label(spark, granularity, label):
     df = spark.sql("SELECT timestamp_ntz'2026-07-01 10:00:00' AS t")
     assert df.select(X.period_label(F.col("t"), granularity)).first()[0] == label
+
+
+def test_every_unicode_space_is_trimmed_without_a_pattern(spark):
+    cells = [chr(c) + " a" + chr(c) + "b " + chr(c) for c in (*range(0x3100), *range(0xFE00, 0x10000), 0x1F600)] + ["", " ", "\n\n", None]
+    pattern = evaluate(spark, lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), cells)
+    assert evaluate(spark, X.strip, cells) == pattern
+    assert "regexp" not in spark.range(1).select(X.strip(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()

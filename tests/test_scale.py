@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from orderlens.operators.numbering import number_rows
 from orderlens.operators.staging import cluster, shared_folder
 from orderlens.plans import clean, metrics, prepare
 from orderlens.sources.exports import leading_lines
+from workload.raw import raw_lines
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -142,3 +144,17 @@ def test_lines_in_buckets_by_order_are_grouped_without_a_shuffle(spark):
     plan = metrics.high_value_orders(shared)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(order_id" not in plan and plan.count("FileScan parquet") == 1
     assert sorted(map(str, metrics.high_value_orders(shared).collect())) == sorted(map(str, metrics.high_value_orders(orders).collect()))
+
+
+def test_raw_lines_are_made_by_methods_the_jvm_compiles(spark):
+    """The JVM never compiles a method of more than 8000 bytes; sessions without the recommended limit generate larger ones."""
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = raw_lines(spark, SF_DIR)._jdf.queryExecution().executedPlan()
+        code = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package").codegenString(plan)
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", before)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
