@@ -14,7 +14,6 @@ prefixes over arrays of spans.
 from __future__ import annotations
 
 import random
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -282,13 +281,28 @@ def examples(count: int = EXAMPLES, seed: int = 11) -> list[tuple[str, int, int,
     return made
 
 
-def _tree(node, features: Column) -> Column:
-    """A fitted tree as nested conditions."""
-    if node.getClass().getSimpleName() == "LeafNode":
-        return F.lit(node.prediction())
-    split = node.split()
-    return F.when(F.element_at(features, split.featureIndex() + 1) <= split.threshold(), _tree(node.leftChild(), features)).otherwise(
-        _tree(node.rightChild(), features))
+def _flat(root, depth: int) -> tuple[list[int], list[float], list[float]]:
+    """A fitted tree filled up to ``depth``: 1-based features and thresholds of its splits and values of its leaves, level by level.
+
+    The children of split i are 2i + 1 and 2i + 2. A leaf above the last level stands for all leaves below it.
+    """
+    features, thresholds, level = [], [], [root]
+    for _ in range(depth):
+        below = []
+        for node in level:
+            inner = node.getClass().getSimpleName() != "LeafNode"
+            split = node.split() if inner else None
+            features.append(split.featureIndex() + 1 if inner else 1)
+            thresholds.append(split.threshold() if inner else 0.0)
+            below += [node.leftChild(), node.rightChild()] if inner else [node, node]
+        level = below
+    return features, thresholds, [node.prediction() for node in level]
+
+
+def _numbers(values: list, kind: str) -> Column:
+    """Many fixed numbers as one constant, whose text the optimizer reads once."""
+    texts = F.split(F.lit(",".join(map(repr, values))), ",") if values else F.array()
+    return texts.cast(f"array<{kind}>")
 
 
 class Model:
@@ -304,12 +318,27 @@ class Model:
         rows = rows.select("label", F.col("c.kind").alias("kind"), _feature_array(F.col("c")).alias("features"), (F.crc32(F.col("text").cast("binary")) % 3 == 0).alias("later"))
         known = rows.filter("not later").select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"))
         fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.4, seed=5, cacheNodeIds=False).fit(known.coalesce(2))
-        self.trees = [(w, t._call_java("rootNode")) for w, t in zip(fitted.treeWeights, fitted.trees)]
+        self.depth = depth
+        self.trees = [(float(w), _flat(t._call_java("rootNode"), depth)) for w, t in zip(fitted.treeWeights, fitted.trees)]
         held = rows.filter("later").select("kind", "label", self.score(F.col("features")).alias("score")).collect()
         self.thresholds = [self._threshold([(r["score"], r["label"]) for r in held if r["kind"] == k]) for k in range(len(KINDS))]
 
     def score(self, features: Column) -> Column:
-        margin = reduce(lambda a, b: a + b, [w * _tree(root, features) for w, root in self.trees])
+        # The plan holds the trees as numbers, not a condition for every split: the code for those outgrows a Java method.
+        splits = 2 ** self.depth - 1
+        at_split, limits, leaves = (_numbers([v for _, flat in self.trees for v in flat[i]], kind)
+                                    for i, kind in enumerate(("int", "double", "double")))
+
+        def leaf(tree):
+            def down(at, _):
+                left = F.element_at(features, F.get(at_split, tree * splits + at)) <= F.get(limits, tree * splits + at)
+                return at * 2 + F.when(left, 1).otherwise(2)
+            last = F.aggregate(F.array_repeat(F.lit(0), self.depth), F.lit(0), down)
+            return F.get(leaves, tree * (splits + 1) + last - splits)
+
+        weights = _numbers([w for w, _ in self.trees], "double")
+        margin = F.aggregate(F.sequence(F.lit(0), F.lit(len(self.trees) - 1)), F.lit(0.0),
+                             lambda total, tree: total + F.get(weights, tree) * leaf(tree))
         return 1 / (1 + F.exp(-2 * margin))
 
     @staticmethod
