@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import vocab
 from ..functions import strip
 from .matching import header_score
+from .staging import stage
 
 
 def _quoted_cells(line: Column, mark: str) -> Column:
@@ -37,9 +39,12 @@ def split_cells(line: Column, delimiter: Column) -> Column:
     A cell may be quoted, with doubled quotes and line breaks inside. Each delimiter has a pattern of its
     own, and only the pattern of the line's delimiter is applied.
     """
-    raw = reduce(
-        lambda rest, mark: F.when(delimiter == mark, _quoted_cells(line, mark)).otherwise(rest),
-        reversed(vocab.DELIMITERS[:-1]), _quoted_cells(line, vocab.DELIMITERS[-1]))
+    def of_mark(mark: str) -> Column:
+        plain_split = F.split(line, "\\" + mark if mark == "|" else mark, -1)
+        return F.when(line.contains('"'), _quoted_cells(line, mark)).otherwise(plain_split)
+
+    raw = reduce(lambda rest, mark: F.when(delimiter == mark, of_mark(mark)).otherwise(rest),
+                 reversed(vocab.DELIMITERS[:-1]), of_mark(vocab.DELIMITERS[-1]))
 
     def plain(cell: Column) -> Column:
         inner = F.regexp_replace(cell, r'(?s)^"(.*)"([^"]*)$', "$1$2")
@@ -62,7 +67,7 @@ def find_headers(head: DataFrame, keys: list[str], position: str, cells: str) ->
     as many cells, else the first row with two cells, else the first row.
 
     Returns one row per group: position and cells of the header, its 1-based row number
-    among the leading rows, score and number of matched fields.
+    among the leading rows, score and number of matched fields, the width and how many of the leading rows fit it.
     """
     group = Window.partitionBy(*keys).orderBy(position)
     rows = head.withColumns({
@@ -93,18 +98,20 @@ def find_headers(head: DataFrame, keys: list[str], position: str, cells: str) ->
         # Widest row up to the header: later lines with more cells are malformed.
         F.array_max(F.transform(
             F.filter("_sizes", lambda s: s["_index"] <= F.col("_header.row")), lambda s: s["cells"])
-        ).alias("width"),
-    )
+        ).alias("width"), "_sizes",
+    ).withColumn("fitting_rows", F.size(F.filter("_sizes", lambda s: s["cells"] <= F.col("width"))).cast("bigint")).drop("_sizes")
 
 
 def choose_delimiters(head: DataFrame, keys: list[str], position: str, line: str,
-                      delimiters: tuple[str, ...] = vocab.DELIMITERS, *, widths: DataFrame | None = None) -> DataFrame:
+                      delimiters: tuple[str, ...] = vocab.DELIMITERS, *,
+                      widths: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Delimiter and header of each group of leading lines.
 
     Every delimiter is tried; the one whose header matches most fields wins, then the best header score, then the number
     of lines it keeps (up to a cap), then the width closest to a typical export, then the order of the list.
-    ``head`` may hold a column ``delimiter`` already, if lines differ by delimiter. ``widths`` counts the lines of a group by
-    delimiter and number of cells (columns of ``keys``, ``delimiter, cells, lines``); without it the leading lines count.
+    ``head`` may hold a column ``delimiter`` already, if lines differ by delimiter. ``widths`` counts the lines of given groups by
+    delimiter and number of cells (columns of ``keys``, ``delimiter, cells, lines``); without it the leading lines count. It is
+    asked only for groups in which the headers of several delimiters are of equal worth; for others the counts decide nothing.
     """
     # Scoring costs far more than the few leading lines weigh: a fixed number of partitions
     # keeps adaptive execution from merging them by size. The later grouping reuses it.
@@ -116,10 +123,16 @@ def choose_delimiters(head: DataFrame, keys: list[str], position: str, line: str
     filled = cells.filter(filled_count(F.col("_cells")) > 0)
     found = find_headers(filled.drop(line), [*keys, "delimiter"], position, "_cells")
     if widths is None:
-        widths = filled.groupBy(*keys, "delimiter", F.size("_cells").alias("cells")).agg(F.count(F.lit(1)).alias("lines"))
-    limits = found.select(*keys, "delimiter", "width")
-    kept = widths.join(limits, [*keys, "delimiter"]).filter(F.col("cells") <= F.col("width")).groupBy(*keys, "delimiter").agg(
-        F.least(F.sum("lines"), F.lit(vocab.DELIMITER_ROW_CAP)).alias("_kept"))
+        scored = found.withColumn("_kept", F.least("fitting_rows", F.lit(vocab.DELIMITER_ROW_CAP)))
+    else:
+        found = stage(found, "headers")
+        worth = F.struct("matched_fields", "header_score")
+        tied = found.withColumn("_best", worth == F.max(worth).over(Window.partitionBy(*keys))).groupBy(*keys).agg(
+            F.count_if("_best").alias("_equal")).filter("_equal > 1").select(*keys)
+        limits = found.select(*keys, "delimiter", "width")
+        kept = widths(stage(tied, "tied")).join(limits, [*keys, "delimiter"]).filter(F.col("cells") <= F.col("width")).groupBy(
+            *keys, "delimiter").agg(F.least(F.sum("lines"), F.lit(vocab.DELIMITER_ROW_CAP)).alias("_kept"))
+        scored = found.join(kept, [*keys, "delimiter"], "left")
     order = F.array_position(F.array(*[F.lit(mark) for mark in delimiters]), F.col("delimiter"))
     quality = F.struct(
         "matched_fields", "header_score", F.coalesce("_kept", F.lit(0)),
@@ -127,4 +140,4 @@ def choose_delimiters(head: DataFrame, keys: list[str], position: str, line: str
     values = ["delimiter", "header_position", "header_cells", "header_row", "header_score",
               "matched_fields", "width"]
     best = F.max_by(F.struct(*values), quality).alias("_best")
-    return found.join(kept, [*keys, "delimiter"], "left").groupBy(*keys).agg(best).select(*keys, "_best.*")
+    return scored.groupBy(*keys).agg(best).select(*keys, "_best.*")

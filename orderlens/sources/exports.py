@@ -91,17 +91,22 @@ def scan_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def detect_encodings(lines: DataFrame) -> DataFrame:
     """Encoding per file with a filled line: the first of the known ones that can read every line of it.
 
-    Only files that are not UTF-8 are decoded on trial. All of it runs in the JVM.
+    Only files that are not UTF-8 are decoded on trial, with one encoding after the other, and only those go on that the
+    last one could not read. All of it runs in the JVM.
     """
     spark = lines.sparkSession
     present = lines.filter(F.octet_length(F.trim(F.col("bytes").cast("string"))) > 0)
     utf8 = stage(present.groupBy("file").agg(F.bool_and(F.is_valid_utf8(F.col("bytes").cast("string"))).alias("utf8")), "utf8")
-    foreign = join_dimension(present, utf8.filter(~F.col("utf8")).select("file"), "file", "inner")
+    known = utf8.select("file", F.when(F.col("utf8"), F.lit(_UTF8)).alias("encoding"))
     with _java_charsets(spark):
-        tested = foreign.groupBy("file").agg(*[F.bool_and(_readable(code)).alias(code) for code in vocab.ENCODINGS[2:]])
-        first = F.coalesce(*[F.when(F.col(code), F.lit(code)) for code in vocab.ENCODINGS[2:]])
-        return stage(utf8.join(tested.select("file", first.alias("other")), "file", "left").select(
-            "file", F.when(F.col("utf8"), F.lit(_UTF8)).otherwise(F.col("other")).alias("encoding")), "encodings")
+        for code in vocab.ENCODINGS[2:]:
+            left = known.filter("encoding IS NULL").select("file")
+            if left.isEmpty():
+                break
+            tested = join_dimension(present, left, "file", "inner").groupBy("file").agg(F.bool_and(_readable(code)).alias("_reads"))
+            known = stage(known.join(tested, "file", "left").select(
+                "file", F.coalesce("encoding", F.when(F.col("_reads"), F.lit(code))).alias("encoding")), "encodings")
+    return known
 
 
 def land_text(lines: DataFrame, encodings: DataFrame) -> DataFrame:
@@ -112,7 +117,8 @@ def land_text(lines: DataFrame, encodings: DataFrame) -> DataFrame:
     known = join_dimension(lines, encodings.filter(F.col("encoding").isNotNull()), "file", "inner")
     with _java_charsets(lines.sparkSession):
         decoded = F.when(F.col("encoding").isin(_UTF8, "utf-8"), F.col("bytes").cast("string")).otherwise(F.expr("decode(bytes, encoding)"))
-        text = known.select("file", "block", "line", F.regexp_replace(decoded, f"^{_BOM}", "").alias("text"))
+        decoded = known.select("file", "block", "line", decoded.alias("text"))
+        text = decoded.withColumn("text", F.when(F.col("text").startswith(_BOM), F.substring("text", 2, 2 ** 31 - 1)).otherwise(F.col("text")))
         return stage(text.select("*", (~F.col("text").rlike(_blank_line())).alias("filled"), *records.quote_maps(F.col("text"))), "lines")
 
 
@@ -168,7 +174,8 @@ def _describe(lines: DataFrame, broken: DataFrame, encodings: DataFrame, delimit
     """
     marks = (delimiter,) if delimiter else vocab.DELIMITERS
     straight = join_dimension(lines, broken.withColumn("_broken", F.lit(True)), "file", "left").filter("_broken IS NULL").drop("_broken")
-    headers = choose_delimiters(leading_lines(straight), ["file"], "line", "text", marks, widths=line_widths(straight, marks))
+    headers = choose_delimiters(leading_lines(straight), ["file"], "line", "text", marks, widths=lambda tied: line_widths(
+        join_dimension(straight, tied, "file", "inner"), marks))
     if not broken.isEmpty():
         head = _leading_records(join_dimension(lines, broken, "file", "inner"), marks)
         headers = headers.unionByName(choose_delimiters(head, ["file"], "line", "text", marks))
@@ -258,8 +265,15 @@ def load_order_exports(spark: SparkSession, paths: str | list[str], *, encoding:
     def slots(name: Column) -> Column:
         return F.filter(F.sequence(F.lit(0), F.size("columns") - 1), lambda i: F.get("columns", i) == name)
 
+    named = F.filter(F.sequence(F.lit(0), F.size("names") - 1), lambda i: ~F.get("names", i).startswith(vocab.UNNAMED_COLUMN))
     layout = files.select("file", "file_number", "delimiter", "header_position", "width", "names", others.alias("others"),
-                          F.transform(wanted, slots).alias("slots"), F.transform(others, slots).alias("other_slots"))
+                          F.transform(wanted, slots).alias("slots"), F.transform(others, slots).alias("other_slots"), named.alias("named"))
+    # Where every name has one column at most, the cells of a row are its values, or they are taken by place.
+    for slots_of in ("slots", "other_slots"):
+        layout = layout.withColumn(f"{slots_of}_one", F.when(
+            F.forall(slots_of, lambda of_name: F.size(of_name) <= 1), F.transform(slots_of, lambda of_name: F.get(of_name, F.lit(0)))))
+    layout = layout.withColumn("straight", F.coalesce(
+        F.col("slots_one") == F.sequence(F.lit(0), F.col("width") - 1), F.lit(False)) & (F.size("slots_one") == F.col("width")))
 
     whole = _whole_records(lines, broken, files)
     body = join_dimension(whole, layout, "file", "inner").filter(F.col("line") > F.col("header_position"))
@@ -267,14 +281,18 @@ def load_order_exports(spark: SparkSession, paths: str | list[str], *, encoding:
     body = body.filter(F.exists("cells", lambda cell: cell.isNotNull()))
     same_text = F.forall(F.zip_with("names", "cells", lambda name, cell: (
         name.startswith(vocab.UNNAMED_COLUMN) | strip(F.coalesce(cell, F.lit(""))).eqNullSafe(name))), lambda same: same)
-    some_name = F.exists("names", lambda name: ~name.startswith(vocab.UNNAMED_COLUMN))
+    # A row repeats the header only if its first named cell does, which settles it for almost all rows.
+    first_named = F.get("named", F.lit(0))
+    begins = F.coalesce(strip(F.coalesce(F.get("cells", first_named), F.lit(""))) == F.get("names", first_named), F.lit(False))
     malformed = F.size("cells") > F.col("width")
 
     def aligned(where: str) -> Column:
         """For every name the leftmost value of the row's columns that have it."""
         def value(of_name: Column) -> Column:
             return F.get(F.filter(F.transform(of_name, lambda slot: F.get("cells", slot)), lambda cell: cell.isNotNull()), F.lit(0))
-        return F.transform(where, value)
+        by_place = F.transform(f"{where}_one", lambda slot: F.get("cells", slot))
+        general = F.when(F.col(f"{where}_one").isNotNull(), by_place).otherwise(F.transform(where, value))
+        return F.when(F.col("straight"), F.col("cells")).otherwise(general) if where == "slots" else general
 
     fits = F.col("line") < (1 << _LINE_BITS)
     position = F.when(fits, F.shiftleft("file_number", _LINE_BITS).bitwiseOR(F.col("line"))).otherwise(
@@ -282,7 +300,7 @@ def load_order_exports(spark: SparkSession, paths: str | list[str], *, encoding:
     entries = F.zip_with("others", aligned("other_slots"), lambda name, value: F.struct(name.alias("name"), value.alias("value")))
     rest = F.map_from_entries(F.filter(entries, lambda entry: entry["value"].isNotNull()))
     placed = stage(body.select(
-        position.alias("position"), "file", malformed.alias("malformed"), (~malformed & same_text & some_name).alias("repeated"),
+        position.alias("position"), "file", malformed.alias("malformed"), (~malformed & F.when(begins, same_text).otherwise(False)).alias("repeated"),
         F.when(~malformed, aligned("slots")).alias("values"), F.when(~malformed, rest).alias("rest")), "rows")
     value = [F.get("values", F.lit(i)) for i in range(len(names))]
     counted = placed.agg(F.count(F.lit(1)), *[F.count(v) for v in value]).first()[1:]
