@@ -3,7 +3,7 @@
 Strict rules give the base spans. Wider generators propose further, overlapping candidates (spaced or written-out
 addresses, numbers with other separators or without a plus). Gradient-boosted trees judge every candidate by its
 format and the words around it, and a threshold per kind, calibrated on examples held out of the
-fit, decides. All work on texts is done by SQL functions; the fitted trees become a SQL expression.
+fit, decides. All work on texts is done by SQL functions; the trees, fitted on the driver, become a SQL expression.
 
 The trees are trained here on examples made from templates: personal data as written in English, German, French and
 Spanish, and look-alikes (dates, versions, order numbers, amounts) in neutral and telling context. EXAMPLES bounds their number.
@@ -17,6 +17,7 @@ import random
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from . import boosting
 from .columns import by_position
 
 KINDS = ("email", "ip", "card", "phone")
@@ -290,7 +291,7 @@ def _flat(root, depth: int) -> tuple[list[int], list[float], list[float]]:
     for _ in range(depth):
         below = []
         for node in level:
-            inner = node.getClass().getSimpleName() != "LeafNode"
+            inner = hasattr(node, "split")
             split = node.split() if inner else None
             features.append(split.featureIndex() + 1 if inner else 1)
             thresholds.append(split.threshold() if inner else 0.0)
@@ -309,17 +310,14 @@ class Model:
     """Boosted trees and a threshold per kind. ``score`` maps a column of features to a probability."""
 
     def __init__(self, spark: SparkSession, *, trees: int = 20, depth: int = 5):
-        from pyspark.ml.classification import GBTClassifier
-        from pyspark.ml.functions import array_to_vector
-
         made = spark.createDataFrame(examples(), "text string, start int, end int, label int")
         one = F.explode(F.filter(_candidates(F.col("text"), F.array().cast("array<struct<kind:int,start:int,end:int>>")), lambda c: (c["start"] == F.col("start")) & (c["end"] == F.col("end"))))
         rows = made.select("text", "label", one.alias("c"))
         rows = rows.select("label", F.col("c.kind").alias("kind"), _feature_array(F.col("c")).alias("features"), (F.crc32(F.col("text").cast("binary")) % 3 == 0).alias("later"))
-        known = rows.filter("not later").select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"))
-        fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.4, seed=5, cacheNodeIds=False).fit(known.coalesce(2))
+        known = rows.filter("not later").select("features", "label").collect()  # bounded by EXAMPLES
+        fitted = boosting.fit([r["features"] for r in known], [r["label"] for r in known], trees=trees, depth=depth, step=0.4)
         self.depth = depth
-        self.trees = [(float(w), _flat(t._call_java("rootNode"), depth)) for w, t in zip(fitted.treeWeights, fitted.trees)]
+        self.trees = [(weight, _flat(root, depth)) for weight, root in fitted]
         held = rows.filter("later").select("kind", "label", self.score(F.col("features")).alias("score")).collect()
         self.thresholds = [self._threshold([(r["score"], r["label"]) for r in held if r["kind"] == k]) for k in range(len(KINDS))]
 
