@@ -2,13 +2,14 @@
 
 Vectors are ordered by id and cut into blocks; every component is a term, and a block keeps the largest and
 the smallest value of each term. The bound of a block for a query is the sum over terms of the query's
-weight times the largest value (the smallest, for a negative weight). A query takes the blocks in the
-order of their bounds, scores them through their forward indexes (plain matrices), and stops when the next
-bound lies below its k-th score. Blocks whose bound equals it are scored, as ties go to smaller ids.
-
-Queries meet the vectors in tiles: a block of queries and a run of blocks. A tile is one row of an ordinary
-join on the run's number, so tiles are spread over tasks, each of bounded size, and every tile gives at
-most k rows per query, from which the best k are taken.
+weight times the largest value (the smallest, for a negative weight). The blocks of a run are taken a few at a time in the
+order of their bounds and scored through their forward indexes (plain matrices); a block whose bound lies below the k-th
+score of a query so far is left out for it. Blocks whose bound equals it are scored, as ties go to smaller ids.
+
+Queries meet the vectors in cells: a group of queries and a group of vectors. Each cell is one partition of an ordinary shuffle.
+Its task holds the queries and their best k so far and streams the vectors, run by run; a cell gives at most k rows per query,
+from which the best k are taken. A group of queries is bounded in bytes, so nothing but a few totals reaches the driver,
+and nothing is broadcast. Vectors are shuffled once per group of queries, queries once per group of vectors.
 """
 
 from __future__ import annotations
@@ -17,10 +18,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orderlens.operators.staging import stage
 
+from .memory import tidy
+
 BLOCK = 128
 RUN = 32  # blocks in a run
-QUERIES = 1024  # queries in a tile
-_BLOCKS = "dim int, ids binary, matrix binary, tops binary, bottoms binary"
+STEP = 8  # blocks that are scored at once
+QUERIES = 1024  # queries that are scored at once
+GROUP = 1 << 18  # vectors in a group, about
+_SPREAD = 64  # groups of a smaller table, at most
+_CHUNK = 1024  # neighbouring vectors that go to the same group
+_HELD = 64 * 1024 * 1024  # bytes of the queries of a group, and of their best k
 
 
 def whole_numbers(vector: Column, scale: int = 1024) -> Column:
@@ -30,66 +37,128 @@ def whole_numbers(vector: Column, scale: int = 1024) -> Column:
     return F.when(vector.isNotNull() & good, numbers)
 
 
-def _blobs(rows: DataFrame, most: int, block: int) -> DataFrame:
-    """Rows ``id, numbers`` in the order of their ids as matrices of at most ``most`` rows."""
+class _Best:
+    """The best k (score, id) so far of every query of a group, for vectors of one length."""
 
-    def build(batches):
+    def __init__(self, query_ids, queries, k: int, block: int):
+        import numpy as np
+
+        self.ids, self.queries, self.k, self.block = query_ids, queries, k, block
+        self.least = np.iinfo(np.int64).min  # the score of a place that is not taken yet
+        self.scores = np.full((len(query_ids), k), self.least)
+        self.found = np.full((len(query_ids), k), np.iinfo(np.int64).max)
+        self.largest = float(np.abs(queries.astype(np.float64)).max(initial=0))
+        self.longest = float(np.sqrt((queries.astype(np.float64) ** 2).sum(1).max(initial=0)))
+        self.cast: dict = {}
+
+    def _as(self, kind):
+        if kind not in self.cast:
+            self.cast = {kind: self.queries.astype(kind)}
+        return self.cast[kind]
+
+    def take(self, ids, matrix) -> None:
+        """Score a run: vectors in the order of their ids."""
+        import numpy as np
+
+        wide = matrix.astype(np.float64)
+        # Whole numbers below 2 ** 24 and 2 ** 53 are exact in floats and doubles; no partial sum exceeds the product of the lengths.
+        length = self.longest * float(np.sqrt((wide ** 2).sum(1).max())) * (1 + 1e-9)
+        bound = self.largest * float(np.abs(wide).max(initial=0)) * max(1, matrix.shape[1])
+        exact = np.float32 if length < 2 ** 24 else np.float64 if bound < 2 ** 53 else np.int64
+        rough = np.float64 if bound < 2 ** 53 else np.int64
+        starts = np.arange(0, len(ids), self.block)
+        tops, bottoms = (f.reduceat(matrix, starts, axis=0).astype(rough) for f in (np.maximum, np.minimum))
+        vectors, queries = matrix.astype(exact), self._as(exact)
+        for a in range(0, len(self.ids), QUERIES):
+            asking = slice(a, a + QUERIES)
+            weights = self.queries[asking].astype(rough)
+            bounds = np.maximum(weights, 0) @ tops.T + np.minimum(weights, 0) @ bottoms.T
+            order = np.argsort(-bounds.max(0), kind="stable")
+            for s in range(0, len(order), STEP):
+                chosen = order[s:s + STEP]
+                reach = bounds[:, chosen] >= self.scores[asking, -1:]
+                rows, blocks = np.flatnonzero(reach.any(1)), np.sort(chosen[reach.any(0)])
+                if len(rows):
+                    at = np.concatenate([np.arange(b * self.block, min((b + 1) * self.block, len(ids))) for b in blocks])
+                    self._merge(a + rows, queries[a + rows] @ vectors[at].T, ids[at])
+
+    def _merge(self, rows, scores, ids) -> None:
+        """Take the ``scores`` of the queries at ``rows`` with the vectors ``ids``; a vector is not found for its own id."""
         import numpy as np
-        import pyarrow as pa
 
-        def blobs(ids, matrix):
-            starts = range(0, len(ids), block)
-            ends = [matrix[a:a + block] for a in starts]
-            return [matrix.shape[1], ids.astype("<i8").tobytes(), matrix.astype("<i8").tobytes(),
-                    np.array([m.max(0) for m in ends], "<i8").tobytes(), np.array([m.min(0) for m in ends], "<i8").tobytes()]
-
-        def runs():
-            waiting: dict[int, list] = {}
-            for batch in batches:
-                for key, vector in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    vector = vector.values.to_numpy()
-                    held = waiting.setdefault(len(vector), [])
-                    held.append((key, vector))
-                    if len(held) == most:
-                        yield waiting.pop(len(vector))
-            yield from waiting.values()
-
-        names = [c.split()[0] for c in _BLOCKS.split(", ")]
-        kinds = [pa.int32()] + [pa.binary()] * 4
-        for held in runs():
-            row = blobs(np.array([k for k, _ in held]), np.array([v for _, v in held], dtype=np.int64).reshape(len(held), -1))
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
-
-    return rows.mapInArrow(build, _BLOCKS)
-
-
-def best_of_tile(query_ids, queries, ids, matrix, tops, bottoms, k: int, block: int):
-    """The best k (score, id) of every query among the rows of one run, by block-at-a-time pruning."""
+        kth = self.scores[rows, -1]
+        limit = kth.astype(scores.dtype)
+        if scores.dtype != np.int64:
+            limit[kth == self.least] = -np.inf
+        new = np.flatnonzero(kth == self.least)
+        if len(new) and len(ids) > 2 * self.k:  # the k-th of the step already bounds a query that has fewer than k yet
+            others = np.where(ids[None, :] == self.ids[rows[new], None], limit[new, None], scores[new])
+            limit[new] = np.partition(others, -self.k, axis=1)[:, -self.k]
+        q, v = np.divmod(np.flatnonzero(scores >= limit[:, None]), len(ids))
+        kept = ids[v] != self.ids[rows[q]]
+        q, v = q[kept], v[kept]
+        if not len(q):
+            return
+        values, keys = scores[q, v].astype(np.int64), ids[v]
+        sort = np.lexsort((keys, -values, q))
+        q, values, keys = q[sort], values[sort], keys[sort]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = place < self.k
+        q, values, keys, place = q[kept], values[kept], keys[kept], place[kept]
+        touched, row = np.unique(q, return_inverse=True)
+        both = np.full((len(touched), 2 * self.k), self.least)
+        names = np.full((len(touched), 2 * self.k), np.iinfo(np.int64).max)
+        both[:, :self.k], names[:, :self.k] = self.scores[rows[touched]], self.found[rows[touched]]
+        both[row, self.k + place], names[row, self.k + place] = values, keys
+        # The complement turns the order round without running over.
+        first = np.lexsort((names, ~both), axis=1)[:, :self.k]
+        self.scores[rows[touched]] = np.take_along_axis(both, first, 1)
+        self.found[rows[touched]] = np.take_along_axis(names, first, 1)
+
+    def rows(self, most: int = 10_000):
+        """Arrays of query id, vector id and score, some thousand rows each."""
+        import numpy as np
+
+        step = max(1, most // self.k)
+        for a in range(0, len(self.ids), step):
+            scores = self.scores[a:a + step]
+            q, place = np.nonzero(scores != self.least)
+            if len(q):
+                yield self.ids[a:a + step][q], self.found[a:a + step][q, place], scores[q, place]
+
+
+def _runs(batches, most: int):
+    """``(cell, kind, dim), ids, matrix`` from sorted rows: all neighbours of a kind, for the vectors at most ``most`` of them."""
     import numpy as np
 
-    largest = float(np.abs(queries).max(initial=0)) * float(np.abs(matrix).max(initial=0)) * max(1, queries.shape[1])
-    exact = np.float64 if largest < 2 ** 53 else np.int64  # doubles hold whole numbers below 2 ** 53
-    queries, matrix, tops, bottoms = (m.astype(exact) for m in (queries, matrix, tops, bottoms))
-    bounds = np.maximum(queries, 0) @ tops.T + np.minimum(queries, 0) @ bottoms.T
-    order = np.argsort(-bounds, axis=1, kind="stable")
-    found = [[] for _ in query_ids]  # (-score, id), sorted
-    kth = np.full(len(query_ids), -np.inf)
-    searching = np.arange(len(query_ids))
-    for turn in range(order.shape[1]):
-        chosen = order[searching, turn]
-        open_ = bounds[searching, chosen] >= kth[searching]
-        searching, chosen = searching[open_], chosen[open_]
-        for b in np.unique(chosen):
-            asking = searching[chosen == b]
-            rows = slice(b * block, (b + 1) * block)
-            scores = queries[asking] @ matrix[rows].T
-            good = (scores >= kth[asking, None]) & (ids[rows][None, :] != query_ids[asking, None])
-            for at in np.flatnonzero(good.any(1)):
-                q, hits = asking[at], np.flatnonzero(good[at])
-                found[q] = sorted(found[q] + list(zip((-scores[at, hits]).tolist(), ids[rows][hits].tolist())))[:k]
-                if len(found[q]) == k:
-                    kth[q] = -found[q][-1][0]
-    return found
+    at, held, count = None, [], 0
+
+    def whole():
+        return at, np.concatenate([i for i, _ in held]), np.concatenate([m for _, m in held])
+
+    for batch in batches:
+        cells, kinds, dims, ids = (batch.column(i).to_numpy() for i in range(4))
+        numbers = batch.column(4).flatten().to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(kinds) != 0) | (np.diff(dims) != 0)) + 1
+        ends = np.concatenate([[0], np.cumsum(dims.astype(np.int64))])
+        for a, b in zip([0, *cuts], [*cuts, len(ids)]):
+            if a == b:
+                continue
+            key = int(cells[a]), int(kinds[a]), int(dims[a])
+            if held and key != at:
+                yield whole()
+                held, count = [], 0
+            at = key
+            matrix = numbers[ends[a]:ends[b]].reshape(b - a, key[2])
+            while a < b:
+                n = b - a if key[1] == 0 else min(b - a, most - count)
+                held.append((ids[a:a + n], matrix[:n]))
+                a, matrix, count = a + n, matrix[n:], count + n
+                if key[1] and count == most:
+                    yield whole()
+                    held, count = [], 0
+    if held:
+        yield whole()
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id: str = "vec_id", vector: str = "embedding",
@@ -100,36 +169,58 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id: str = "ve
     null or hold null or non-finite components, take no part; vectors of different lengths do not meet. Repeated
     rows count as often as they occur, on both sides, and the rows of one query id share its ``k`` ranks. Ties go to the smaller id. Empty tables give an empty table.
     """
-    def prepared(df):
+    def prepared(df, label):
         numbers = df.select(F.col(id).cast("bigint").alias("id"), whole_numbers(F.col(vector)).alias("numbers"))
-        return numbers.filter(F.col("id").isNotNull() & F.col("numbers").isNotNull())
-
-    def blocks(df, most):
-        return _blobs(prepared(df).repartitionByRange("id").sortWithinPartitions("id"), most, block)
-
-    runs = stage(blocks(vectors, RUN * block).withColumn("_at", F.monotonically_increasing_id()), "topk-runs")
-    asked = stage(blocks(queries, QUERIES), "topk-queries").select("dim", F.col("ids").alias("query_ids"), F.col("matrix").alias("queries"))
-    # One number per run: the number of runs is that of the vectors divided by 4,096.
-    keys = [r["_at"] for r in runs.select("_at").collect()]
-    if not keys:
-        keys = [-1]
-    tiles = asked.withColumn("_at", F.explode(F.array(*map(F.lit, keys)).cast("array<bigint>"))).join(runs, ["_at", "dim"])
-
+        kept = numbers.filter(F.col("id").isNotNull() & F.col("numbers").isNotNull())
+        return stage(kept.withColumn("_at", F.monotonically_increasing_id()), label)
+
+    def totals(df):
+        largest = F.greatest(F.array_max("numbers"), F.bitwise_not(F.array_min("numbers")))
+        return df.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("numbers")), F.lit(0)), F.coalesce(F.max(largest), F.lit(0))).first()
+
+    every, asked = prepared(vectors, "topk-vectors"), prepared(queries, "topk-queries")
+    (n_vectors, _, most_v), (n_queries, dim, most_q) = totals(every), totals(asked)
+    number = next((kind for kind, bits in (("smallint", 15), ("int", 31)) if max(most_v, most_q) < 1 << bits), "bigint")
+    # Groups of queries are bounded by what a task holds of them, groups of vectors by the work of a task.
+    at_once = max(1, _HELD // max(8 * dim, 16 * k))
+    query_groups = max(1, -(-n_queries // at_once))
+    tasks = int(every.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vector_groups = max(1, -(-n_vectors // GROUP), min(-(-n_vectors // _CHUNK), -(-tasks // query_groups), _SPREAD))
+
+    def dealt(df, kind, own, groups, others, width):
+        """Every row once for each group of the other side; ``own`` is the place of its own group in a cell's number."""
+        group = F.pmod(F.xxhash64(F.shiftright("_at", width)), F.lit(groups))
+        other = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        numbers = F.col("numbers").cast(f"array<{number}>").alias("numbers")
+        rows = df.select("id", numbers, group.alias("_own"), other.alias("_other"))
+        cell = F.col("_own") * others + F.col("_other") if own else F.col("_other") * groups + F.col("_own")
+        return rows.select(cell.cast("int").alias("cell"), F.lit(kind).alias("kind"), F.size("numbers").alias("dim"), "id", "numbers")
+
+    # A cell is numbered by its group of vectors, then its group of queries.
+    both = dealt(asked, 0, False, query_groups, vector_groups, 0).unionAll(
+        dealt(every, 1, True, vector_groups, query_groups, _CHUNK.bit_length() - 1))
+    cells = both.repartitionById(vector_groups * query_groups, F.col("cell")).sortWithinPartitions("cell", "kind", "dim", "id")
+
+    @tidy
     def score(batches):
-        import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                numbers = lambda name: np.frombuffer(row[name], "<i8")  # noqa: E731, B023
-                matrix = lambda name: numbers(name).reshape(-1, row["dim"])  # noqa: E731, B023
-                query_ids = numbers("query_ids")
-                found = best_of_tile(query_ids, matrix("queries"), numbers("ids"), matrix("matrix"), matrix("tops"), matrix("bottoms"), k, block)
-                lines = [(q, i, -int(s)) for q, hits in zip(query_ids.tolist(), found) for s, i in hits]
-                if lines:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*lines)], ["query_id", "vec_id", "score"])
-
-    scored = tiles.select("dim", "query_ids", "queries", "ids", "matrix", "tops", "bottoms").mapInArrow(
-        score, "query_id bigint, vec_id bigint, score bigint")
+        def results(best):
+            for held in best.values():
+                for row in held.rows():
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in row], ["query_id", "vec_id", "score"])
+
+        cell, best = None, {}
+        for (at, kind, dim), ids, matrix in _runs(batches, RUN * block):
+            if at != cell:
+                yield from results(best)
+                cell, best = at, {}
+            if kind == 0:
+                best[dim] = _Best(ids, matrix, k, block)
+            elif dim in best:
+                best[dim].take(ids, matrix)
+        yield from results(best)
+
+    scored = cells.mapInArrow(score, "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -285,6 +285,23 @@ def test_top_k_is_exact(spark):
     assert topk.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_in_cells_broadcasts_nothing_and_numbers_no_run(spark, monkeypatch):
+    """The queries were repeated for every run, one literal each, and broadcast with their repeats."""
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.integers(-3, 4, 4 if i % 3 else 6).astype(float).tolist()) for i in range(600)] + [(7, [1e9] * 4), (9, [-3e6] * 6), (8, [2.0 ** 38] * 4)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(5).cache()
+    for name, value in {"_HELD": 7 * 16 * 5, "_CHUNK": 16, "GROUP": 100, "QUERIES": 4, "STEP": 1, "RUN": 3}.items():
+        monkeypatch.setattr(topk, name, value)
+    found = topk.search(df, df.filter("vec_id % 20 = 0"), 5, block=8)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    want = []
+    whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    for query, q in (r for r in whole if r[0] % 20 == 0):
+        best = sorted((-sum(a * b for a, b in zip(q, v)), i) for i, v in whole if i != query and len(v) == len(q))[:5]
+        want += [(query, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect()) == sorted(want)
+
+
 def test_packing_is_an_exact_round_trip(docs, none):
     text, model = q.tokenizer_text("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.json")
     pieces = packing.pack(packing.cut(docs, text, window=64), window=64).collect()
