@@ -2,9 +2,10 @@
 
 One scan tests the encodings, a second one decodes every line and writes it as a table of (file, block, line, text).
 Position and text are data from then on, so every later step sees the same rows, large files stay split, and
-the header search reads only the blocks that hold the first filled lines. Quoted cells may go over lines and blocks (see
-``records``). The lines are split into cells once, into a second written table, where a row holds its cells by position: names
-of columns are facts about files and meet the rows last, so no name of a file can clash with a column of the loader.
+the header search reads only the blocks that hold the first filled lines; what later steps ask of the blocks is counted once. Quoted
+cells may go over lines and blocks (see ``records``). The lines are split into cells once, into a second written table, where a row
+holds its cells by position, one column each: names of columns are facts about files and meet the rows last, so no name of a file can
+clash with a column of the loader. The written lines are deleted when the rows are there.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from ..functions import strip
 from ..operators.headers import cell_count, choose_delimiters, split_cells
 from ..operators.joins import join_dimension
 from ..operators.matching import suggested_mapping, unique_names
-from ..operators.staging import stage
+from ..operators.staging import DENSE, discard, stage, stage_observed
 from ..plans.clean import ROW
 from . import records
 
@@ -30,6 +31,7 @@ _NAMED = 20          # so many files are named in an error
 _UTF8 = vocab.ENCODINGS[0]
 _BOM = chr(0xFEFF)
 _REPLACEMENT = chr(0xFFFD)
+_SPLIT_BYTES = 16 * 1024 * 1024
 _HEAD_LINES = 3000   # leading lines that are put together to records for the header search, in files with line breaks in cells
 
 
@@ -72,6 +74,20 @@ def _java_charsets(spark: SparkSession):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+@contextmanager
+def _larger_splits(spark: SparkSession):
+    """Within it, written tables are read in splits of _SPLIT_BYTES at least, however small the splits of the files are to be."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)b?", before.strip().lower()).groups()
+    if int(number) << 10 * " kmgtp".index(unit or " ") < _SPLIT_BYTES:
+        spark.conf.set(key, str(_SPLIT_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _readable(code: str) -> Column:
     """The bytes of a line are text in an encoding: none was replaced, or what stands there is the mark itself."""
     text = F.decode(F.col("bytes"), code)
@@ -119,27 +135,37 @@ def land_text(lines: DataFrame, encodings: DataFrame) -> DataFrame:
         decoded = F.when(F.col("encoding").isin(_UTF8, "utf-8"), F.col("bytes").cast("string")).otherwise(F.expr("decode(bytes, encoding)"))
         decoded = known.select("file", "block", "line", decoded.alias("text"))
         text = decoded.withColumn("text", F.when(F.col("text").startswith(_BOM), F.substring("text", 2, 2 ** 31 - 1)).otherwise(F.col("text")))
-        return stage(text.select("*", (~F.col("text").rlike(_blank_line())).alias("filled"), *records.quote_maps(F.col("text"))), "lines")
+        return stage(text.select("*", (~F.col("text").rlike(_blank_line())).alias("filled"), *records.quote_maps(F.col("text"))), "lines", DENSE)
 
 
-def leading_lines(lines: DataFrame, rows: int = vocab.HEADER_SEARCH_ROWS, counted: str | None = "filled") -> DataFrame:
+def _block_facts(lines: DataFrame) -> DataFrame:
+    """``file, block, lines, filled, opens``: one row per block, from one pass over the lines."""
+    return stage(lines.groupBy("file", "block").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if("filled").alias("filled"), F.max(F.col("opens") > 0).alias("opens")), "blocks")
+
+
+def leading_lines(lines: DataFrame, rows: int = vocab.HEADER_SEARCH_ROWS, counted: str | None = "filled",
+                  blocks: DataFrame | None = None) -> DataFrame:
     """First filled lines of every file, or with ``counted=None`` its first lines of any kind.
 
-    Counts per block tell how far a file must be read; the limit then applies within each task before any shuffle.
+    Counts per block (``file, block, lines``; counted here if not given) tell how far a file must be read; the limit then applies
+    within each task before any shuffle.
     """
     filled = lines.filter(counted) if counted else lines
-    blocks = filled.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines"))
+    if blocks is None:
+        blocks = filled.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines"))
     before = F.sum("lines").over(Window.partitionBy("file").orderBy("block")) - F.col("lines")
-    until = blocks.withColumn("_before", before).filter(F.col("_before") < rows).groupBy("file").agg(
-        F.max("block").alias("_until"))
-    head = join_dimension(filled, until, "file", "inner").filter(F.col("block") <= F.col("_until"))
+    until = stage(blocks.withColumn("_before", before).filter(F.col("_before") < rows).groupBy("file").agg(
+        F.max("block").alias("_until")), "until")
+    furthest = until.agg(F.max("_until")).first()[0]
+    head = join_dimension(filled.filter(F.col("block") <= F.lit(furthest)), until, "file", "inner").filter(F.col("block") <= F.col("_until"))
     order = Window.partitionBy("file").orderBy("line")
     return head.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= rows).drop("_n", "_until", "filled")
 
 
-def _leading_records(lines: DataFrame, marks: tuple[str, ...]) -> DataFrame:
+def _leading_records(lines: DataFrame, marks: tuple[str, ...], blocks: DataFrame) -> DataFrame:
     """First filled records (``file, delimiter, line, text``) of files with line breaks in cells, with every delimiter."""
-    head = leading_lines(lines, _HEAD_LINES, None)
+    head = leading_lines(lines, _HEAD_LINES, None, blocks)
     tried = head.withColumn("delimiter", F.explode(F.array(*[F.lit(mark) for mark in marks])))
     # A file and a delimiter are one stream here, and all of its leading lines one block.
     keyed = tried.withColumn("file", F.struct("file", "delimiter")).withColumn("block", F.lit(0))
@@ -167,17 +193,23 @@ def _standard_names(names: Column) -> Column:
     return F.get(F.transform(F.array(suggested_mapping(names)), standard), F.lit(0))
 
 
-def _describe(lines: DataFrame, broken: DataFrame, encodings: DataFrame, delimiter: str | None) -> DataFrame:
+def _straight(df: DataFrame, broken: DataFrame) -> DataFrame:
+    """Rows of files without line breaks in cells."""
+    return join_dimension(df, broken.withColumn("_broken", F.lit(True)), "file", "left").filter("_broken IS NULL").drop("_broken")
+
+
+def _describe(lines: DataFrame, blocks: DataFrame, broken: DataFrame, encodings: DataFrame, delimiter: str | None) -> DataFrame:
     """One row per file: number, encoding, delimiter, header position and column names.
 
     ``broken`` lists the files that may have line breaks in cells. Their leading lines are put together to records first.
     """
     marks = (delimiter,) if delimiter else vocab.DELIMITERS
-    straight = join_dimension(lines, broken.withColumn("_broken", F.lit(True)), "file", "left").filter("_broken IS NULL").drop("_broken")
-    headers = choose_delimiters(leading_lines(straight), ["file"], "line", "text", marks, widths=lambda tied: line_widths(
+    straight = _straight(lines, broken)
+    filled = _straight(blocks, broken).filter("filled > 0").select("file", "block", F.col("filled").alias("lines"))
+    headers = choose_delimiters(leading_lines(straight, blocks=filled), ["file"], "line", "text", marks, widths=lambda tied: line_widths(
         join_dimension(straight, tied, "file", "inner"), marks))
     if not broken.isEmpty():
-        head = _leading_records(join_dimension(lines, broken, "file", "inner"), marks)
+        head = _leading_records(join_dimension(lines, broken, "file", "inner"), marks, join_dimension(blocks, broken, "file", "inner"))
         headers = headers.unionByName(choose_delimiters(head, ["file"], "line", "text", marks))
     padded = F.concat("header_cells", F.array_repeat(
         F.lit(None).cast("string"), F.greatest(F.col("width") - F.size("header_cells"), F.lit(0))))
@@ -201,12 +233,12 @@ def _whole_records(lines: DataFrame, broken: DataFrame, files: DataFrame) -> Dat
     texts = lines.filter(F.col("text") != "").select("file", "line", "text")
     if broken.isEmpty():
         return texts
-    straight = join_dimension(texts, broken.withColumn("_broken", F.lit(True)), "file", "left").filter("_broken IS NULL").drop("_broken")
     marked = join_dimension(lines, broken.join(files.select("file", "delimiter"), "file"), "file", "inner")
-    states = stage(records.line_states(marked), "quote-states")
+    states = records.line_states(marked)
     _refuse(records.unclosed(states), "a quote that is never closed, in")
     _refuse(records.overlong(states), f"a quoted cell of more than {records.LONGEST_RECORD} lines, in")
-    return straight.unionAll(records.records(states).filter(F.col("text") != ""))
+    whole = records.records(states).filter(F.col("text") != "")
+    return whole if _straight(files, broken).isEmpty() else _straight(texts, broken).unionAll(whole)
 
 
 def distinct_ignoring_case(names: list[str], taken: tuple[str, ...] = ()) -> list[str]:
@@ -247,8 +279,16 @@ def load_order_exports(spark: SparkSession, paths: str | list[str], *, encoding:
         raise ValueError("the files hold no lines")
     _refuse(encodings.filter("encoding IS NULL"), "in none of the known encodings; name the encoding of")
     lines = land_text(lines, encodings)
-    broken = stage(lines.filter("opens > 0").select("file").distinct(), "broken")
-    files = _describe(lines, broken, encodings, delimiter)
+    with _larger_splits(spark):
+        return _placed(spark, lines, encodings, delimiter, standard_names, others_as_map)
+
+
+def _placed(spark: SparkSession, lines: DataFrame, encodings: DataFrame, delimiter: str | None, standard_names: bool,
+            others_as_map: bool) -> Export:
+    """The export of written ``lines``, which are deleted."""
+    blocks = _block_facts(lines)
+    broken = stage(blocks.filter("opens").select("file").distinct(), "broken")
+    files = _describe(lines, blocks, broken, encodings, delimiter)
     renamed = _standard_names(F.col("names")) if standard_names or others_as_map else F.col("names")
     files = stage(files.withColumn("columns", renamed), "files")
     _refuse(encodings.join(files, "file", "left_anti"), "no filled line, so no header, in")
@@ -299,12 +339,15 @@ def load_order_exports(spark: SparkSession, paths: str | list[str], *, encoding:
         F.raise_error(F.concat(F.lit("too large: "), "file")))
     entries = F.zip_with("others", aligned("other_slots"), lambda name, value: F.struct(name.alias("name"), value.alias("value")))
     rest = F.map_from_entries(F.filter(entries, lambda entry: entry["value"].isNotNull()))
-    placed = stage(body.select(
+    cells = body.select(
         position.alias("position"), "file", malformed.alias("malformed"), (~malformed & F.when(begins, same_text).otherwise(False)).alias("repeated"),
-        F.when(~malformed, aligned("slots")).alias("values"), F.when(~malformed, rest).alias("rest")), "rows")
-    value = [F.get("values", F.lit(i)) for i in range(len(names))]
-    counted = placed.agg(F.count(F.lit(1)), *[F.count(v) for v in value]).first()[1:]
-    kept = [i for i, count in enumerate(counted) if count]
+        F.when(~malformed, aligned("slots")).alias("values"), F.when(~malformed, rest).alias("rest"))
+    value = [F.col(f"value_{i}") for i in range(len(names))]
+    placed, counted = stage_observed(cells.select(
+        "position", "file", "malformed", "repeated", "rest", *[F.get("values", F.lit(i)).alias(f"value_{i}") for i in range(len(names))]),
+        "rows", {f"value_{i}": F.count(v) for i, v in enumerate(value)} or {"rows": F.count(F.lit(1))}, DENSE)
+    kept = [i for i in range(len(names)) if counted.get(f"value_{i}")]
+    discard(lines)
     held = [*kept, len(names)] if others_as_map else kept
     chosen = distinct_ignoring_case([*names, OTHERS], (ROW,)) if others_as_map else distinct_ignoring_case([names[i] for i in kept], (ROW,))
     shown = [*value, F.col("rest")]
@@ -314,8 +357,8 @@ def load_order_exports(spark: SparkSession, paths: str | list[str], *, encoding:
         F.count_if(~F.col("malformed") & ~F.col("repeated")).alias("rows"),
         F.count_if(F.col("malformed")).alias("malformed_lines"))
     if others_as_map:
-        filled = placed.select("file", F.explode(F.concat(F.map_keys("rest"), F.filter(
-            F.transform("values", lambda cell, i: F.when(cell.isNotNull(), F.get(wanted, i))), lambda name: name.isNotNull()))).alias("name"))
+        filled = placed.select("file", F.explode(F.concat(F.map_keys("rest"), F.array_compact(
+            F.array(*[F.when(v.isNotNull(), F.lit(name)) for v, name in zip(value, names)])))).alias("name"))
         columns = F.coalesce("columns_filled", F.lit(0)).cast("int")
         counts = counts.join(filled.groupBy("file").agg(F.count_distinct("name").alias("columns_filled")), "file", "left")
     else:

@@ -4,6 +4,8 @@ Whether a line starts inside a quoted cell depends on all lines before it, so it
 line only maps one of two states (outside, inside) to another: it keeps the state, swaps it, or sets it. Every
 block of a file sums its lines up to such a map, the maps of the blocks are combined in order, and then each block knows the
 state in which it starts. Lines of records that go over several lines are grouped; all others stay where they are.
+The lines are brought in order within their blocks once and written with both answers, for a block that starts outside and inside;
+the facts of the blocks, one row each, then choose.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import vocab
 from ..operators.headers import ends_inside
+from ..operators.joins import join_dimension
+from ..operators.staging import DENSE, stage
 
 LONGEST_RECORD = 100_000  # lines; a quoted cell with more is taken for a stray quote, and the file is refused
 
@@ -49,19 +53,35 @@ def _running(df: DataFrame, keys: list[str], order: str, start: Column) -> DataF
 
 
 def line_states(lines: DataFrame) -> DataFrame:
-    """``file, block, line, text, before, after``: the states around every line, for lines with their ``delimiter``."""
+    """``file, block, line, text, before, after, start``: the states around every line, for lines with their ``delimiter``, and the
+    position of the first line of its record."""
     maps = lines.withColumns({"_opens": _bit("opens", F.col("delimiter")), "_stays": _bit("stays", F.col("delimiter"))})
     local = _running(maps, ["file", "block"], "line", F.lit(0)).withColumnRenamed("_before", "_if_outside")
+    free = F.col("_last").isNull()  # no line before it in the block sets the state
+    local = local.withColumn("_if_inside", F.when(free, 1 - F.col("_if_outside")).otherwise(F.col("_if_outside")))
+    so_far = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    for state in ("outside", "inside"):
+        first = F.when(F.col(f"_if_{state}") == 0, F.col("line"))
+        local = local.withColumn(f"_start_{state}", F.last(first, ignorenulls=True).over(so_far))
+    local = stage(local.select("file", "block", "line", "text", "_opens", "_stays", "_if_outside", "_if_inside", "_start_outside", "_start_inside"),
+                  "quote-lines", DENSE)
     # What the block does to the other state: the same if it sets a state anywhere, else the opposite.
     ends = local.groupBy("file", "block").agg(
-        F.max_by(_after(F.col("_if_outside")), "line").alias("_opens"),
-        F.max(F.col("_opens") == F.col("_stays")).alias("_sets"))
+        F.max_by(_after(F.col("_if_outside")), "line").alias("_opens"), F.max(F.col("_opens") == F.col("_stays")).alias("_sets"),
+        *[F.max(f"_start_{state}").alias(f"_start_{state}") for state in ("outside", "inside")])
     blocks = ends.withColumn("_stays", F.when(F.col("_sets"), F.col("_opens")).otherwise(1 - F.col("_opens")))
-    known = _running(blocks, ["file"], "block", F.lit(0)).select("file", "block", F.col("_before").alias("_enters"))
-    placed = local.join(known, ["file", "block"])
-    free = F.col("_last").isNull()  # no line before it in the block sets the state
-    before = F.when(free & (F.col("_enters") == 1), 1 - F.col("_if_outside")).otherwise(F.col("_if_outside"))
-    return placed.withColumn("before", before).select("file", "block", "line", "text", "before", _after(F.col("before")).alias("after"))
+    known = _running(blocks, ["file"], "block", F.lit(0)).withColumnRenamed("_before", "_enters")
+
+    def chosen(name: str) -> Column:
+        return F.when(F.col("_enters") == 1, F.col(f"{name}_inside")).otherwise(F.col(f"{name}_outside"))
+
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    known = stage(known.select(F.struct("file", "block").alias("_of_block"), "_enters", F.last(
+        chosen("_start"), ignorenulls=True).over(earlier).alias("_carried")), "quote-blocks")
+    placed = join_dimension(local.withColumn("_of_block", F.struct("file", "block")), known, "_of_block", "inner")
+    placed = placed.withColumn("before", chosen("_if"))
+    return placed.select("file", "block", "line", "text", "before", _after(F.col("before")).alias("after"),
+                         F.coalesce(chosen("_start"), "_carried").alias("start"))
 
 
 def unclosed(states: DataFrame) -> DataFrame:
@@ -71,15 +91,7 @@ def unclosed(states: DataFrame) -> DataFrame:
 
 def _started(states: DataFrame) -> DataFrame:
     """Lines of records with several lines, each with the position of the record's first line in ``start``."""
-    parts = states.filter("before = 1 OR after = 1")
-    within = Window.partitionBy("file", "block").orderBy("line")
-    own = F.last(F.when(F.col("before") == 0, F.col("line")), ignorenulls=True).over(within)
-    parts = parts.withColumn("_own", own)
-    blocks = parts.groupBy("file", "block").agg(F.max(F.when(F.col("before") == 0, F.col("line"))).alias("_start"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select("file", "block", F.last("_start", ignorenulls=True).over(earlier).alias("_carried"))
-    return parts.join(carried, ["file", "block"]).withColumn("start", F.coalesce("_own", "_carried")).select(
-        "file", "start", "block", "line", "text")
+    return states.filter("before = 1 OR after = 1").select("file", "start", "block", "line", "text")
 
 
 def overlong(states: DataFrame) -> DataFrame:

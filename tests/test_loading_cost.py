@@ -2,11 +2,14 @@
 
 import contextlib
 import io
+import pathlib
 
 from pyspark.sql import functions as F
 
 from orderlens import vocab
 from orderlens.operators import headers
+from orderlens.operators.staging import shared_folder
+from orderlens.sources import records
 from orderlens.sources.exports import load_order_exports
 
 
@@ -69,3 +72,33 @@ def test_an_encoding_is_tried_only_where_the_one_before_fails(spark, tmp_path):
     export = load_order_exports(spark, str(tmp_path))
     assert {r["encoding"] for r in export.files.collect()} == {"utf-8-sig", "gb18030"}
     assert {tuple(r) for r in export.rows.drop("_row").collect()} == {("O1", "1"), ("O2", "2")}
+
+
+def test_written_lines_go_and_rows_stay(spark, tmp_path):
+    """Lines and rows lay beside each other, with all cells of a row in one column, and small splits cut the written tables too."""
+    (tmp_path / "a.csv").write_text('订单号,实付金额,备注\nO1,1,"a\nb"\nO2,2,\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("订单号,实付金额\nO3,3\n", encoding="utf-8")
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before, key = set(folder.iterdir()), "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(key, "64k")
+    try:
+        export = load_order_exports(spark, str(tmp_path))
+        assert spark.conf.get(key) == "64k"
+    finally:
+        spark.conf.unset(key)
+    kinds = {path.name.split("-")[1] for path in set(folder.iterdir()) - before}
+    assert "rows" in kinds and "lines" not in kinds
+    assert {tuple(r) for r in export.rows.drop("_row").collect()} == {("O1", "1", "a\nb"), ("O2", "2", None), ("O3", "3", None)}
+    assert sorted(r["rows"] for r in export.files.collect()) == [1, 2]
+
+
+def test_lines_with_breaks_are_shuffled_once(spark):
+    """They were sorted twice for their states, and again for the records, with their texts."""
+    lines = spark.createDataFrame([("f", 0, 0, 'a,"b', 1, 0), ("f", 0, 1, "c", 0, 1), ("f", 9, 9, 'd",e', 0, 0), ("f", 9, 10, "g,h", 0, 1)],
+                                  "file string, block int, line long, text string, opens int, stays int")
+    states = records.line_states(lines.withColumn("delimiter", F.lit(",")))
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        states.explain()
+    assert "Window" not in text.getvalue()
+    assert sorted((r["line"], r["text"]) for r in records.records(states).collect()) == [(0, 'a,"b\nc\nd",e'), (10, "g,h")]
