@@ -238,3 +238,23 @@ def test_report_reads_the_staged_lines_once(spark):
 def test_an_empty_table_gives_an_empty_report(spark):
     cleaned = clean.clean_orders(frame(spark, []))
     assert cleaned.lines.count() == 0 and report_of(cleaned) == {}
+
+
+def test_only_lines_with_a_repeated_hash_are_compared_in_full(spark):
+    """All lines were shuffled with all their columns to find the few that come twice."""
+    rows = [(f"U{n}", None, f"r{n}", 0.0, 1) for n in range(300)] + [("U5", None, "r5", 1.0, 0)] * 2
+    rows += [("a", None, None, 0.0, 0), (None, "a", None, 0.0, 0), (None, None, "a", 0.0, 1), (None, "a", None, 0.0, 1), (None, None, None, 0.0, 0)]
+    df = spark.createDataFrame(rows, "user_id string, city string, remark string, is_anomaly double, _n_x int")
+    found = clean.remove_duplicates(df)
+    copies = {tuple(r[c] for c in ("user_id", "city", "remark")): (r[clean.COPIES], r["_n_x"], r["is_anomaly"]) for r in found.collect()}
+    assert len(copies) == 304 == found.count()
+    assert copies["U5", None, "r5"] == (3, 1, 0.0) and copies[None, "a", None] == (2, 1, 0.0) and copies["a", None, None] == (1, 0, 0.0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    whole, several = plan.split("Aggregate", 1)
+    assert "getbit" in whole and "getbit" in several  # lines that are alone pass by the aggregation
+
+
+def test_lines_of_columns_without_a_hash_are_compared_in_full(spark):
+    df = spark.sql("SELECT explode(array(map('a', 1), map('a', 1), map('b', 1))) AS other_columns, 0D AS is_anomaly, 1 AS _n_x")
+    found = clean.remove_duplicates(df)
+    assert sorted((str(r["other_columns"]), r[clean.COPIES], r["_n_x"]) for r in found.collect()) == [("{'a': 1}", 2, 2), ("{'b': 1}", 1, 1)]
